@@ -88,10 +88,14 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
 
 
 def listing_duration(start: Column | str, end: Column | str) -> Column:
-    """Seconds with one decimal, computed on whole milliseconds; unknown or negative gives a dash."""
-    millis = F.floor(micros(end) / 1000) - F.floor(micros(start) / 1000)
-    text = F.concat(fixed(millis / F.lit(1000.0), 1, "up"), F.lit("s"))
-    return F.when(millis >= 0, text).otherwise(F.lit(PLACEHOLDER))
+    """Seconds with one decimal, computed on whole milliseconds; unknown or negative gives a dash.
+
+    A negative span becomes NULL before it is formatted: inside a condition, Spark would not share
+    the repeated parts of the format and generate several times the code.
+    """
+    millis = F.unix_millis(_col(end).cast("timestamp")) - F.unix_millis(_col(start).cast("timestamp"))
+    known = F.when(millis >= 0, millis)
+    return F.coalesce(F.concat(fixed(known / F.lit(1000.0), 1, "up"), F.lit("s")), F.lit(PLACEHOLDER))
 
 
 def report_duration(duration_us: Column | str) -> Column:

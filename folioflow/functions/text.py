@@ -14,11 +14,18 @@ from pyspark.sql import types as T
 ZERO_WIDTH = "\u200b-\u200d\ufeff"
 CONTROL = "\u0000-\u0008\u000b-\u000c\u000e-\u001f\u007f-\u009f"
 ARABIC = "\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
-LAM_ALEF = "\u0644\u0627"
+LAM_ALEF = "\u0644\u0627"  # what each of the eight ligatures becomes
 LIGATURES = ("\ufef5", "\ufef6", "\ufef7", "\ufef8", "\ufef9", "\ufefa", "\ufefb", "\ufefc")
 IMAGE_REF = r"!\[([^\]]*)\]\(([^)]+)\)"
 DIRECTION_MODES = ("auto", "always")
 
+# Java tests the ranges of a class one after the other for every character.  Meeting the class with
+# a range that common characters fail lets nearly all of them leave after one test.
+_NOT_PRINTABLE = "[^ -~]"
+_CLEAN_CLASS = f"[{_NOT_PRINTABLE}&&[{ZERO_WIDTH}{CONTROL}]]"
+_CONTROL_CLASS = f"[{_NOT_PRINTABLE}&&[{CONTROL}]]"
+_ARABIC_CLASS = f"[\u0600-\ufeff&&[{ARABIC}]]"
+
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -39,17 +46,14 @@ def nfkc(text: Column | str, where: Column | None = None) -> Column:
     payload to Python; the rest travel as NULL and keep the JVM-side value.
     """
     text = _col(text)
-    needed = text.rlike(r"[^\x00-\x7F]")
+    needed = F.octet_length(text) != F.length(text)
     if where is not None:
         needed = where & needed
     return F.coalesce(_nfkc(F.when(needed, text)), text)
 
 
 def expand_ligatures(text: Column | str) -> Column:
-    out = _col(text)
-    for ligature in LIGATURES:
-        out = F.replace(out, F.lit(ligature), F.lit(LAM_ALEF))
-    return out
+    return F.regexp_replace(_col(text), f"[{LIGATURES[0]}-{LIGATURES[-1]}]", LAM_ALEF)
 
 
 def drop_zero_width(text: Column | str) -> Column:
@@ -58,12 +62,12 @@ def drop_zero_width(text: Column | str) -> Column:
 
 def drop_control(text: Column | str) -> Column:
     """Remove control characters, keeping tab, line feed, carriage return and all spaces."""
-    return F.regexp_replace(_col(text), f"[{CONTROL}]", "")
+    return F.regexp_replace(_col(text), _CONTROL_CLASS, "")
 
 
 def clean(text: Column | str) -> Column:
     """Zero-width and control characters in one pass; the two classes are disjoint."""
-    return F.regexp_replace(_col(text), f"[{ZERO_WIDTH}{CONTROL}]", "")
+    return F.regexp_replace(_col(text), _CLEAN_CLASS, "")
 
 
 def post_process(
@@ -81,7 +85,7 @@ def post_process(
 
 
 def has_arabic(text: Column | str) -> Column:
-    return _col(text).rlike(f"[{ARABIC}]")
+    return _col(text).rlike(_ARABIC_CLASS)
 
 
 def map_arabic_lines(text: Column | str, fix: Callable[[Column], Column]) -> Column:
@@ -147,8 +151,10 @@ def arabic_chain(
 
 def changed_lines(before: Column | str, after: Column | str) -> Column:
     """How many lines differ between two texts with the same line structure."""
-    pairs = F.arrays_zip(F.split(_col(before), "\n").alias("b"), F.split(_col(after), "\n").alias("a"))
-    return F.size(F.filter(pairs, lambda p: ~p["b"].eqNullSafe(p["a"])))
+    before, after = _col(before), _col(after)
+    pairs = F.arrays_zip(F.split(before, "\n").alias("b"), F.split(after, "\n").alias("a"))
+    differing = F.size(F.filter(pairs, lambda p: ~p["b"].eqNullSafe(p["a"])))
+    return F.when(before == after, F.lit(0)).otherwise(differing)
 
 
 # ---- Markdown ------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from folioflow.functions import paths
 from folioflow.schemas import IMAGE_TYPE
-from folioflow.sources.objects import RowBatcher, read_object, rows_of
+from folioflow.sources.objects import RowBatcher, read_object, rows_of, spread
 
 
 class UnsupportedFormat(Exception):
@@ -61,9 +61,9 @@ def extract(docs: DataFrame, extractor: Extractor, root: str | None = None, task
     """Run ``extractor`` over ``docs(key, …[, content, lang, backend])``; adds the outcome columns.
 
     With ``root`` the documents are read by key inside the task that extracts them, so ``docs`` is
-    a table of keys: filter it first, and only what is left is ever read.  ``tasks`` then spreads
-    the keys (not the bytes) over that many tasks.  Without ``root`` the ``content`` column is used
-    where it already lies; no bytes are shuffled.
+    a table of keys: filter it first, and only what is left is ever read.  The keys (not the bytes)
+    are spread over ``tasks`` tasks, by default as many as their sizes ask for.  Without ``root``
+    the ``content`` column is used where it already lies; no bytes are shuffled.
 
     Unsupported files become ``skipped`` rows without reaching Python.
     """
@@ -71,10 +71,8 @@ def extract(docs: DataFrame, extractor: Extractor, root: str | None = None, task
     schema = T.StructType([*kept, *OUTCOME])
     ok = paths.is_supported("key")
     wanted = docs.where(ok)
-    if tasks:
-        wanted = wanted.repartition(tasks, "key")
     if root is not None:
-        wanted = wanted.drop("content")
+        wanted = spread(wanted.select("key", *[f.name for f in kept if f.name != "key"]), tasks).select(*[f.name for f in kept])
     wanted = wanted.withColumn("_name", paths.file_name("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,13 +127,11 @@ def run_pending(
     asked = pending.select("job_id", "submitted_at", F.col("file_key").alias("key"), "lang", "arabic_bidi_fix", "backend")
     unit = ["key", "lang", "arabic_bidi_fix", "backend"]
     units = asked.select(*unit).distinct()
-    work = units.join(docs if root is None else docs.select("key", "size"), "key", "left")
-    absent = F.col("size").isNull()
-    finished = finish(
-        extract(work.where(~absent), extractor, root, tasks), source_prefix, target_prefix, F.col("arabic_bidi_fix"), reorder
-    )
+    # An inner join, so that few units may be broadcast to the documents and no bytes move.
+    work = units.join(docs if root is None else docs.select("key", "size"), "key")
+    finished = finish(extract(work, extractor, root, tasks), source_prefix, target_prefix, F.col("arabic_bidi_fix"), reorder)
     finished = materialise(finished, "jobs")
-    missing = work.where(absent).select(
+    missing = units.join(docs.select("key"), "key", "left_anti").select(
         *unit, F.lit("failed").alias("status"), F.concat(F.lit("no such document: "), F.col("key")).alias("error")
     )
     outcome = finished.select(*unit, "status", "error", "page_count", "target_key").unionByName(missing, allowMissingColumns=True)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import fmt, paths
 from folioflow.operators import registry
-from folioflow.plans.views import file_sizes
 
 
 class Defaults(NamedTuple):
@@ -29,11 +28,14 @@ def decide(
 ) -> DataFrame:
     """Judge each request ``(request_id, file_key[, lang, arabic_bidi_fix, backend])``.
 
-    One pass of joins in place of per-key lookups.  ``code`` is 202, 400 (format) or 409 (a job is
-    running); accepted rows carry all that a new job needs.
+    Joins in place of per-key lookups: what is known about each key is put together first, one row
+    per key, and the requests, of which many may name one key, are shuffled for a single join.
+    ``code`` is 202, 400 (format) or 409 (a job is running); accepted rows carry all that a new job
+    needs.
     """
     busy = registry.keys_in(jobs, *conflict_states).withColumn("_busy", F.lit(True))
-    judged = file_sizes(requests, files).join(busy, "file_key", "left")
+    known = files.select(F.col("key").alias("file_key"), "size").join(busy, "file_key", "full")
+    judged = requests.join(known, "file_key", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     ok, free = paths.is_supported("file_key"), F.col("_busy").isNull()
     code = F.when(~ok, 400).when(~free, 409).otherwise(202)
     reason = F.when(~ok, F.concat(F.lit("Unsupported format: "), paths.suffix("file_key"))).when(

@@ -38,23 +38,24 @@ def public_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def job_list(jobs: DataFrame, zone: str = "UTC", with_backend: bool = False) -> DataFrame:
-    """The job list with its display columns, newest first."""
+    """The job list with its display columns, newest first.
+
+    Errors are cut before the sort and the display texts made after it, so that neither travels.
+    """
     extra = ["backend"] if with_backend else []
-    return registry.newest_first(
-        jobs.select(
-            *[c for c in PUBLIC_FIELDS if c != "error"],
-            fmt.short_error("error").alias("error"),
-            *extra,
-            fmt.status_label("status").alias("status_label"),
-            fmt.listing_date("submitted_at", zone).alias("submitted_text"),
-            fmt.listing_date("completed_at", zone).alias("completed_text"),
-            fmt.listing_duration("started_at", "completed_at").alias("duration_text"),
-            fmt.listing_size("file_size").alias("size_text"),
-            fmt.or_dash("page_count").alias("pages_text"),
-            fmt.or_dash(fmt.short_error("error")).alias("error_text"),
-            (F.col("status") == "success").alias("comparable"),
-            F.col("status").isin(*TERMINAL).alias("terminal"),
-        )
+    public = jobs.select(*PUBLIC_FIELDS, *extra).withColumn("error", fmt.short_error("error"))
+    return registry.newest_first(public).select(
+        *PUBLIC_FIELDS,
+        *extra,
+        fmt.status_label("status").alias("status_label"),
+        fmt.listing_date("submitted_at", zone).alias("submitted_text"),
+        fmt.listing_date("completed_at", zone).alias("completed_text"),
+        fmt.listing_duration("started_at", "completed_at").alias("duration_text"),
+        fmt.listing_size("file_size").alias("size_text"),
+        fmt.or_dash("page_count").alias("pages_text"),
+        fmt.or_dash("error").alias("error_text"),
+        (F.col("status") == "success").alias("comparable"),
+        F.col("status").isin(*TERMINAL).alias("terminal"),
     )
 
 

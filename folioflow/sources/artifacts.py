@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import fmt, paths, text
 from folioflow.sources import catalog
-from folioflow.sources.objects import fetch_objects, put_objects
+from folioflow.sources.objects import fetch_objects, list_objects, put_objects
 
 
 def pick_preferred(candidates: DataFrame, document: str, path: str, expected: Column) -> DataFrame:
@@ -26,20 +26,26 @@ def markdown(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     return docs.select(F.col("key").alias("target_key"), text.decode_utf8("content").alias("md"))
 
 
-def _picked(spark: SparkSession, root: str, ending: str) -> DataFrame:
+def _work_objects(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
+    """All objects below the given work folders, listed inside tasks; ``folder`` is the first component."""
+    listed = list_objects(spark, root, work.select("folder"))
+    return listed.withColumn("folder", F.substring_index("key", "/", 1))
+
+
+def _picked(spark: SparkSession, root: str, work: DataFrame, ending: str) -> DataFrame:
     """Choose among the objects with an ending below each work folder, by listing only.
 
-    A work folder is the first component; the expected object is ``{d}/{d}/{d}{ending}``.
+    The expected object is ``{d}/{d}/{d}{ending}``.
     """
-    found = catalog.all_files(spark, root).where(F.col("key").endswith(ending))
-    folder = F.substring_index("key", "/", 1)
+    found = _work_objects(spark, root, work).where(F.col("key").endswith(ending))
+    folder = F.col("folder")
     expected = F.col("key") == F.concat(folder, F.lit("/"), folder, F.lit("/"), folder, F.lit(ending))
-    return pick_preferred(found.withColumn("folder", folder), "folder", "key", expected).select("folder", "key", "size")
+    return pick_preferred(found, "folder", "key", expected).select("folder", "key", "size")
 
 
 def work_markdown(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
     """Markdown per work folder in ``work(folder)``; ``error`` where there is none."""
-    docs = fetch_objects(_picked(spark, root, ".md"), root)
+    docs = fetch_objects(_picked(spark, root, work, ".md"), root)
     md = docs.select("folder", text.decode_utf8("content").alias("md"))
     missing = F.concat(F.lit("no Markdown output below "), F.col("folder"))
     return work.join(md, "folder", "left").select("folder", "md", F.when(F.col("md").isNull(), missing).alias("error"))
@@ -47,18 +53,15 @@ def work_markdown(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
 
 def work_page_counts(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
     """Page count per work folder, 0 where the layout is absent or broken."""
-    docs = fetch_objects(_picked(spark, root, "_middle.json"), root)
+    docs = fetch_objects(_picked(spark, root, work, "_middle.json"), root)
     counts = docs.select("folder", fmt.page_count(text.decode_utf8_lossy("content")).alias("page_count"))
     return work.join(counts, "folder", "left").select("folder", F.coalesce("page_count", F.lit(0)).alias("page_count"))
 
 
-def work_images(spark: SparkSession, root: str) -> DataFrame:
+def work_images(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
     """Images per work folder: those of the expected ``images`` folder, else of the first found."""
-    listed = catalog.all_files(spark, root).where(F.col("key").contains("/images/"))
-    folder = F.substring_index("key", "/", 1)
-    home = F.substring("key", F.lit(1), F.length("key") - F.length(paths.file_name("key")) - 1)
-    images = listed.withColumn("folder", folder).withColumn("home", home)
-    images = images.where(F.col("home").endswith("/images"))
+    home = F.left("key", F.length("key") - F.length(paths.file_name("key")) - 1)
+    images = _work_objects(spark, root, work).withColumn("home", home).where(F.col("home").endswith("/images"))
     homes = images.select("folder", "home").distinct()
     expected = F.col("home") == F.concat("folder", F.lit("/"), "folder", F.lit("/images"))
     chosen = pick_preferred(homes, "folder", "home", expected)

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: What one task of :func:`spread` gets at most on average.
+ROWS_PER_TASK = 1000
+BYTES_PER_TASK = 128 * 1024 * 1024
+
 #: Output batches are handed over once they hold this many bytes.
 FLUSH_BYTES = 16 * 1024 * 1024
 
@@ -64,8 +68,25 @@ def read_object(root: str):
     return read
 
 
-def fetch_objects(keys: DataFrame, root: str, key: str = "key") -> DataFrame:
+def spread(keys: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Hash the rows of a small table over ``tasks`` tasks, because each row stands for large work.
+
+    Adaptive execution would merge partitions by the bytes of the keys, not of the objects behind
+    them; an explicit number is left alone.  Without one it follows from the number of rows, from
+    the ``size`` column and from the cores at hand, which costs one pass over the keys.
+    """
+    if tasks is None:
+        size = F.sum("size") if "size" in keys.columns else F.lit(0)
+        total = keys.agg(F.count("*").alias("n"), size.alias("b")).first()
+        cores = keys.sparkSession.sparkContext.defaultParallelism
+        wanted = max(cores, -(-total["n"] // ROWS_PER_TASK), -(-(total["b"] or 0) // BYTES_PER_TASK))
+        tasks = max(1, min(wanted, total["n"]))
+    return keys.repartition(tasks, keys.columns[0])
+
+
+def fetch_objects(keys: DataFrame, root: str, key: str = "key", tasks: int | None = None) -> DataFrame:
     """Add ``content`` and ``fetch_error`` to a table of keys.  A missing object is a row, not a crash."""
+    keys = spread(keys, tasks)
     schema = T.StructType(
         [*keys.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("fetch_error", T.StringType())]
     )
@@ -131,8 +152,10 @@ def put_objects(objects: DataFrame, root: str, key: str = "key", content: str =
     return objects.select(F.col(key).alias("key"), body.alias("body")).mapInArrow(put, schema)
 
 
-def list_objects(spark: SparkSession, root: str, folders: DataFrame | list[str] | None = None) -> DataFrame:
-    """List below ``root`` inside tasks: one task per entry of ``folders`` (default: ``root`` itself).
+def list_objects(
+    spark: SparkSession, root: str, folders: DataFrame | list[str] | None = None, tasks: int | None = None
+) -> DataFrame:
+    """List below ``root`` inside tasks, the entries of ``folders`` (default: ``root``) spread over them.
 
     The listing never passes through the driver.  ``folders`` holds relative folders that do not
     overlap; a large tree is cut by giving its sub-folders.
@@ -148,7 +171,7 @@ def list_objects(spark: SparkSession, root: str, folders: DataFrame | list[str]
             for folder in batch.column(0).to_pylist():
                 pending = [f"{base}/{folder}".rstrip("/")]
                 while pending:
-                    for info in filesystem.get_file_info(fs.FileSelector(pending.pop())):
+                    for info in filesystem.get_file_info(fs.FileSelector(pending.pop(), allow_not_found=True)):
                         if info.type == fs.FileType.Directory:
                             pending.append(info.path)
                         else:
@@ -158,5 +181,5 @@ def list_objects(spark: SparkSession, root: str, folders: DataFrame | list[str]
     if folders is None:
         folders = [""]
     if isinstance(folders, list):
-        folders = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders)))
-    return folders.select(folders.columns[0]).mapInArrow(listing, schema)
+        folders = spark.createDataFrame([(f,) for f in folders], "folder string")
+    return spread(folders.select(folders.columns[0]), tasks).mapInArrow(listing, schema)
