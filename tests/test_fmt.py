@@ -1,0 +1,104 @@
+import math
+import random
+from datetime import datetime
+from fractions import Fraction
+
+from folioflow.functions import fmt
+
+
+def to_fixed(x, digits):
+    """ECMAScript toFixed: nearest on the exact value, the larger one of two."""
+    n = math.floor(Fraction(x) * 10**digits + Fraction(1, 2))
+    return f"{n // 10**digits}.{n % 10**digits:0{digits}d}"
+
+
+def doubles():
+    rng = random.Random(7)
+    values = [0.0, 0.25, 0.75, 0.05, 0.15, 0.35, 1.005, 1.015, 2.5, 0.125, 1.25, 99.95, 0.96, 1023.95, 360.0]
+    values += [n / 1000 for n in rng.sample(range(10**7), 2000)] + [n * 50 / 1000 for n in range(2000)]
+    return values + [n / 1e6 for n in rng.sample(range(10**10), 2000)] + [rng.random() * 10**6 for _ in range(1000)]
+
+
+def test_fixed_rounds_the_exact_binary_value(column):
+    values = doubles()
+    for digits in (1, 2, 3):
+        assert column(lambda c: fmt.fixed(c, digits), values, "double") == [f"{v:.{digits}f}" for v in values]
+        assert column(lambda c: fmt.fixed(c, digits, "up"), values, "double") == [to_fixed(v, digits) for v in values]
+
+
+def python_size(size):
+    for unit in ("B", "KB", "MB", "GB"):
+        if size < 1024:
+            return f"{size:.1f} {unit}"
+        size /= 1024
+    return f"{size:.1f} TB"
+
+
+def sizes():
+    rng = random.Random(3)
+    edges = [0, 1, 1023, 1024, 1280, 1331, 1024**2 - 1, 1024**2, 1024**3, 1024**4, 1024**5, 3 * 1024**4 + 1024**3 * 256]
+    return edges + [128 * n for n in range(1, 3000)] + [rng.randrange(1024**k) for k in (1, 2, 3, 4) for _ in range(800)]
+
+
+def test_report_size(column):
+    values = sizes()
+    assert column(fmt.report_size, [*values, None], "bigint") == [python_size(v) for v in values] + [None]
+
+
+def test_listing_size(column):
+    def want(n):
+        if not n:
+            return "—"
+        if n < 1024:
+            return f"{n} B"
+        return to_fixed(n / 1024, 1) + " KB" if n < 1024**2 else to_fixed(n / 1024**2, 2) + " MB"
+
+    values = sizes()
+    assert column(fmt.listing_size, [*values, None], "bigint") == [want(v) for v in values] + ["—"]
+
+
+def test_listing_duration(spark):
+    t = datetime.fromisoformat
+    rows = [
+        (t("2024-01-01T00:00:00+00:00"), t("2024-01-01T00:00:03.450000+00:00"), "3.5s"),
+        (t("2024-01-01T00:00:00+00:00"), t("2024-01-01T00:00:00.350900+00:00"), "0.3s"),
+        (t("2024-01-01T00:00:00+00:00"), t("2024-01-01T00:00:00+00:00"), "0.0s"),
+        (t("2024-01-01T00:00:01+00:00"), t("2024-01-01T00:00:00+00:00"), "—"),
+        (None, t("2024-01-01T00:00:00+00:00"), "—"),
+    ]
+    frame = spark.createDataFrame(rows, "a timestamp, b timestamp, want string")
+    # 3.45 and 0.35 lie just above and just below the tie as doubles.
+    assert all(r[0] == r[1] for r in frame.select(fmt.listing_duration("a", "b"), "want").collect())
+
+
+def test_report_pieces(column):
+    assert column(fmt.short_key, ["k" * 28, "a" * 10 + "b" * 25]) == ["k" * 28, "..." + "b" * 25]
+    assert column(lambda c: fmt.pad_right(c, 5), ["ab", "abcdef", "é"]) == ["ab   ", "abcdef", "é    "]
+    assert column(lambda c: fmt.pad_left(c, 5), ["ab", "abcdef"]) == ["   ab", "abcdef"]
+    assert column(fmt.error_line, ["bad", "", None]) == ["  Error: bad", None, None]
+
+
+def test_listing_texts(column):
+    assert column(fmt.status_label, ["pending", "skipped", "odd"]) == ["待处理", "已跳过", "odd"]
+    assert column(fmt.short_error, ["e" * 300, "e" * 301, None]) == ["e" * 300, "e" * 300 + "…", None]
+    assert column(fmt.or_dash, ["", None, "x"]) == ["—", "—", "x"]
+    assert column(lambda c: fmt.or_default(c, "d"), ["", None, "x"]) == ["d", "d", "x"]
+    assert column(fmt.source_kind, ["https://h/A.PDF?x", "a.png"]) == ["pdf", "image"]
+
+
+def test_iso(column):
+    values = ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.5Z", "2024-01-01T02:00:00+02:00", "never", ""]
+    got = column(fmt.parse_iso, values)
+    assert [g and g.isoformat() for g in got] == ["2024-01-01T00:00:00", "2024-01-01T00:00:00.500000", "2024-01-01T00:00:00", None, None]
+    texts = column(fmt.iso_utc, got[:2], "timestamp")
+    assert texts == ["2024-01-01T00:00:00.000000Z", "2024-01-01T00:00:00.500000Z"] and texts == sorted(texts)
+
+
+def test_local_date(column):
+    at = datetime.fromisoformat("2024-01-05T20:03:02+00:00")
+    assert column(lambda c: fmt.listing_date(c, "Asia/Shanghai"), [at, None], "timestamp") == ["2024/1/6 04:03:02", "—"]
+
+
+def test_page_count(column):
+    values = ['{"pdf_info":[{},{},{}]}', '{"pdf_info":[]}', '{"x":1}', "bad{", "", None, '{"pdf_info":{"a":1}}', '{"pdf_info":[1,2],"y":']
+    assert column(fmt.page_count, values) == [3, 0, 0, 0, 0, 0, 0, 0]
