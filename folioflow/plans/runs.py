@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +20,18 @@ from folioflow.session import materialise
 BROADCAST_ROWS = 50_000
 
 
-class BatchOutcome(NamedTuple):
+@dataclass(frozen=True)
+class BatchOutcome:
     results: DataFrame
-    artifacts: DataFrame
-    summary: DataFrame
+    finished: DataFrame
+
+    @property
+    def summary(self) -> DataFrame:
+        return report.summary(self.results)
+
+    @property
+    def artifacts(self) -> DataFrame:
+        return artifacts_of(self.finished, overwritten(self.finished), "key")
 
 
 def finish(
@@ -91,14 +99,22 @@ def run_batch(
     mode = defaults.arabic_bidi_fix if defaults is not None else "auto"
     finished = finish(extract(docs, extractor, root, tasks), source_prefix, target_prefix, mode, reorder)
     finished = materialise(finished, "batch")
-    results = results_of(finished)
-    artifacts = artifacts_of(finished, overwritten(finished), "key")
-    return BatchOutcome(results, artifacts, report.summary(results))
+    return BatchOutcome(results_of(finished), finished)
+
 
+#: What makes the work of two jobs equal.
+UNIT = ["key", "lang", "arabic_bidi_fix", "backend"]
 
-class JobRun(NamedTuple):
+
+@dataclass(frozen=True)
+class JobRun:
     updates: DataFrame
-    artifacts: DataFrame
+    finished: DataFrame
+    lost: DataFrame
+
+    @property
+    def artifacts(self) -> DataFrame:
+        return artifacts_of(self.finished, self.lost, UNIT)
 
 
 def run_pending(
@@ -125,17 +141,16 @@ def run_pending(
     """
     pending = registry.with_options(registry.with_status(jobs, "pending"), *defaults)
     asked = pending.select("job_id", "submitted_at", F.col("file_key").alias("key"), "lang", "arabic_bidi_fix", "backend")
-    unit = ["key", "lang", "arabic_bidi_fix", "backend"]
-    units = asked.select(*unit).distinct()
+    units = asked.select(*UNIT).distinct()
     # An inner join, so that few units may be broadcast to the documents and no bytes move.
     work = units.join(docs if root is None else docs.select("key", "size"), "key")
     finished = finish(extract(work, extractor, root, tasks), source_prefix, target_prefix, F.col("arabic_bidi_fix"), reorder)
     finished = materialise(finished, "jobs")
     missing = units.join(docs.select("key"), "key", "left_anti").select(
-        *unit, F.lit("failed").alias("status"), F.concat(F.lit("no such document: "), F.col("key")).alias("error")
+        *UNIT, F.lit("failed").alias("status"), F.concat(F.lit("no such document: "), F.col("key")).alias("error")
     )
-    outcome = finished.select(*unit, "status", "error", "page_count", "target_key").unionByName(missing, allowMissingColumns=True)
-    done = asked.join(outcome, unit)
+    outcome = finished.select(*UNIT, "status", "error", "page_count", "target_key").unionByName(missing, allowMissingColumns=True)
+    done = asked.join(outcome, UNIT)
     good = F.col("status") == "success"
     updates = done.select(
         "job_id",
@@ -149,7 +164,7 @@ def run_pending(
         "target_key",
         good.alias("set_target_key"),
     )
-    last = F.max_by(F.struct(*unit), F.struct("submitted_at", "job_id"))
+    last = F.max_by(F.struct(*UNIT), F.struct("submitted_at", "job_id"))
     won = done.where(good).groupBy("target_key").agg(last.alias("_won")).select("_won.*")
-    lost = finished.where(good).select(*unit).join(won, unit, "left_anti")
-    return JobRun(updates, artifacts_of(finished, lost, unit))
+    lost = finished.where(good).select(*UNIT).join(won, UNIT, "left_anti")
+    return JobRun(updates, finished, lost)

@@ -1,0 +1,27 @@
+"""A few queries of each family against their SQL; tools/check_oracle.py runs all of them."""
+
+import sys
+
+import pytest
+from conftest import SF
+
+import __spark_entry__ as entry
+
+sys.path.insert(0, "tools")
+
+
+@pytest.mark.parametrize(
+    "name", ["j1_catalog_status", "w1_latest_per_key", "k5_update", "c1_submission", "c4_stuck_sweep", "u1_bundle_manifest", "c6_text_report", "t9_arabic_chain", "c3_job_lifecycle", "r2_live_registry"]
+)
+def test_query_agrees_with_its_sql(spark, name):
+    from check_oracle import canonical, connect
+
+    got = entry.queries()[name](spark, SF).toPandas()
+    want = connect(SF).sql(entry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert canonical(got) == canonical(want)
+
+
+def test_entry_has_rows_and_its_schema(spark):
+    frame = entry.entry(spark)
+    assert frame.columns == ["key", "size", "job_status", "job_id"] and frame.count() > 0
