@@ -41,7 +41,7 @@ def latest_for_keys(jobs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def with_keys(jobs: DataFrame, keys: DataFrame, key: str = "file_key") -> DataFrame:
     """Jobs whose key is among ``keys``: a semi join in place of a long IN list."""
-    return jobs.join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_semi")
+    return jobs.join(apart(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key), key, "left_semi")
 
 
 def get_job(jobs: DataFrame, job_id: str) -> DataFrame:
@@ -80,9 +80,20 @@ def keys_in(jobs: DataFrame, *statuses: str) -> DataFrame:
     return chosen.select("file_key").distinct()
 
 
+def apart(keys: DataFrame, key: str) -> DataFrame:
+    """Hide that ``keys`` is already partitioned by ``key``, for a join with a side full of copies.
+
+    A join that reuses the partitioning of an aggregate has no shuffle of its own on that side, and
+    adaptive execution then leaves a hot partition of the other side whole.  One more shuffle of
+    the distinct keys lets it be split.
+    """
+    return keys.withColumn(key, F.concat(F.col(key), F.lit("")))
+
+
 def conflicts(keys: DataFrame, jobs: DataFrame, *statuses: str) -> DataFrame:
     """The given keys that already have a job in a conflicting state (default: running)."""
-    return keys.join(keys_in(jobs, *(statuses or ("running",))), "file_key", "left_semi")
+    busy = apart(keys_in(jobs, *(statuses or ("running",))), "file_key")
+    return keys.join(busy, "file_key", "left_semi")
 
 
 def with_options(jobs: DataFrame, lang: str, arabic_bidi_fix: str, backend: str) -> DataFrame:

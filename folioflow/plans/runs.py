@@ -71,7 +71,7 @@ def overwritten(finished: DataFrame) -> DataFrame:
     """Keys of results that a later key of the same target overwrites; keys are listed in order."""
     good = finished.where(F.col("status") == "success").select("key", "target_key")
     shared = good.groupBy("target_key").agg(F.max("key").alias("_last"), F.count("*").alias("_n")).where("_n > 1")
-    return good.join(shared, "target_key").where(F.col("key") != F.col("_last")).select("key")
+    return good.join(registry.apart(shared, "target_key"), "target_key").where(F.col("key") != F.col("_last")).select("key")
 
 
 def results_of(finished: DataFrame, *extra: str) -> DataFrame:

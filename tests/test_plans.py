@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioflow.operators import registry
-from folioflow.plans import derived, submission, views
+from folioflow.plans import derived, runs, submission, views
 
 #: The only queries that may run Python; all others stay in built-in expressions.
 PYTHON = ("t1_", "t5_", "t8_direction_fix", "t9_", "a4_", "e1_", "k1_", "s2_", "s5_")
@@ -90,6 +90,45 @@ def test_a_hot_key_is_reduced_before_the_shuffle(spark, tmp_path, operator):
     assert counts and max(counts) <= 10_000
 
 
+SPLITTING = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "25KB",
+    "spark.sql.shuffle.partitions": "32",
+}
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda jobs, files: registry.with_keys(jobs, files.select("key")),
+        lambda jobs, files: registry.conflicts(jobs.select("job_id", "file_key"), jobs),
+        lambda jobs, files: views.file_sizes(jobs.select("job_id", "file_key"), files),
+        lambda jobs, files: submission.decide(
+            jobs.select(F.col("job_id").alias("request_id"), "file_key"), files, jobs, derived.AS_OF, submission.Defaults("a", "b", "c")
+        ),
+        lambda jobs, files: runs.overwritten(jobs.select(F.col("job_id").alias("key"), F.col("file_key").alias("target_key"), F.lit("success").alias("status"))),
+    ],
+)
+def test_the_hot_side_of_a_join_is_split(spark, tmp_path, operator):
+    hot_jobs(spark).write.parquet(str(tmp_path / "jobs"))
+    jobs = spark.read.parquet(str(tmp_path / "jobs"))
+    jobs.select(F.col("file_key").alias("key"), F.lit(1).cast("bigint").alias("size")).distinct().write.parquet(str(tmp_path / "files"))
+    for key, value in SPLITTING.items():
+        spark.conf.set(key, value)
+    try:
+        frame = operator(jobs, spark.read.parquet(str(tmp_path / "files")))
+        counted = frame.agg(*[F.count(c).alias(c) for c in frame.columns])
+        counted.collect()
+        final = plan(counted).split("Initial Plan")[0]
+    finally:
+        for key in SPLITTING:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "skew=true" in final
+
+
 def test_requests_are_shuffled_for_one_join_only(spark):
     """Behind autoBroadcast off: one join on the request side, which adaptive execution can split."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
