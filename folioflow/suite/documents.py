@@ -20,7 +20,6 @@ from folioflow.sources.objects import fetch_objects, list_objects, put_objects
 from folioflow.suite import query
 from folioflow.suite.display import PAGES_SQL
 from folioflow.suite.registry import COLUMNS
-from folioflow.suite.texts import _clean
 
 # ---- extraction over web pages -------------------------------------------------------------
 
