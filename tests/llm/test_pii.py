@@ -1,0 +1,85 @@
+"""Personal data against Python's regular expressions."""
+
+import hashlib
+import re
+
+from folioflow.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+TEXTS = [
+    None,
+    "",
+    "no data here",
+    "mail a.b@c.de and a@b.c_x@d.e, x@y no, q@w..e q@w.e.",
+    "ip 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 000001.2.3.255 1.2.3",
+    "card 4111 1111 1111 1111, 4111111111111111 4111-1111-1111-1112 4111 1111 1111 1111 5",
+    "call +1 (743) 555-3824 or +49 30 1234567 or +1 2, +12345678901234567, +1..2",
+    "é🙂 mail ü@x.com a@x.com 🙂 +1 (743) 555-3824 日本 10.0.0.1",
+    "IBAN GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, GB82 WEST 1234 5698 7654 33",
+    "a" * 50000 + "@" + "b" * 10 + ".com " + "7" * 60000 + " 4.4.4.4" + " 1" * 3000,
+    "8.8.8.8 " * 1500 + "x@y.zz",
+    "+" + "1(" * 200 + " " * 5000,
+]
+
+
+def test_base_spans(spark):
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, spans string")
+    rows = {r.doc_id: r for r in pii.digest(pii.find(docs)).collect()}
+    for i, text in enumerate(TEXTS):
+        want, row = base(text or ""), rows[i]
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        spans = [x for x in row.spans.split(",") if x]
+        assert ",".join(x for x in spans if not x.startswith("iban")) == joined, i
+        assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == n for k, _, _ in want) for n in PATTERNS]
+    assert rows[8].n_iban == 2
+
+
+def test_context_raises_the_score(spark):
+    docs = spark.createDataFrame([(1, "server 10.0.0.1"), (2, "value 10.0.0.1")], "doc_id bigint, text string")
+    got = {r.doc_id: r.pii_ip[0].score for r in pii.find(docs).collect()}
+    assert got[1] > got[2]
+
+
+def test_extra_columns_repeats_and_nothing(spark):
+    docs = spark.createDataFrame([(None, "x@y.zz", 1, 2), (None, "x@y.zz", 1, 2)], "doc_id bigint, text string, pii_email int, __gaps int")
+    rows = pii.find(docs).collect()
+    assert len(rows) == 2 and rows[0].pii_email[0].match == "x@y.zz"
+    assert pii.digest(pii.find(docs.limit(0))).count() == 0
+
+
+def test_mask(spark):
+    texts = [None, "", "clean", "mail a@b.cc now", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "8.8.8.8x@y.zz+1 (743) 555-3824!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert [got[i] for i in range(6)] == [None, "", "clean", "mail [EMAIL] now", "card [CARD] and 4111 1111 1111 1112", "[EMAIL][PHONE]!"]
