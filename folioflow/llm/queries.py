@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, pii, sharding
+from folioflow.llm import bpe, decontam, fingerprints, langid, pii, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,12 +30,37 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.against_next(docs, fingerprints.lexicon(docs))
+
+
+@query
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(sharding.sizes(table(spark, sf_dir, "documents")), "doc_id", [1.0] * SHARDS)
     return placed.withColumn("law", F.lit("key"))
 
 
+@query
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.shown(F.col("__fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    prototypes = langid.learn(docs.where(~out))
+    return langid.predict(docs.select("doc_id", "text"), prototypes).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
