@@ -100,7 +100,7 @@ def _pieces(gaps: Column, matches: Column) -> Column:
     )
 
 
-def _positions(pieces: Column) -> tuple[Column, Column]:
+def positions(pieces: Column) -> tuple[Column, Column]:
     """Where each block of matches starts (to be held as ``__starts``) and all matches as spans; linear but within a block."""
     blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
 
@@ -139,7 +139,7 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -
         gated = gated.withColumn("__gaps", F.when(F.col("__hit"), F.split(content, kind.pattern, -1)))
         gated = gated.withColumn("__pieces", F.when(F.col("__hit"), _pieces(F.col("__gaps"), F.regexp_extract_all(content, F.lit(kind.pattern), F.lit(0)))))
         some = F.size("__pieces") > 0
-        starts, spans = _positions(F.col("__pieces"))
+        starts, spans = positions(F.col("__pieces"))
         gated = gated.withColumn("__starts", F.when(some, starts))
         confirmed = F.transform(
             F.filter(spans, lambda s: valid(kind.name, s["match"])),

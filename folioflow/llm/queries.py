@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, decontam, fingerprints, langid, pii, repeats, sharding, simhash
+from folioflow.llm import bpe, decontam, fingerprints, langid, pii, repeats, secrets, sharding, simhash, warc
+from folioflow.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +54,19 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.shown(F.col("__fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = materialise(secrets.dictionary(docs), "dictionary")
+    found = materialise(secrets.described(materialise(secrets.findings(docs), "findings"), words), "described")
+    labelled = found.where(~langid.held_out(F.col("doc_id"))).withColumn("label", secrets.weak_label(F.col("before"), F.col("value")))
+    scored = secrets.fit(labelled).score(found)
+    return scored.select(
+        "doc_id", "path", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "transitions", "covered", "probability",
+        (F.col("probability") >= 0.5).alias("is_secret"),
+    )
+
+
 @query
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -61,6 +75,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), prototypes).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 @query
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
@@ -75,3 +94,44 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _sql(text: str) -> str:
+    """A string for DuckDB."""
+    return "'" + text.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _warc_sql() -> str:
+    text = "html"
+    for pattern, to in warc.TAGS:
+        text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(to)}, 'g')"
+    for name, sign in warc.ENTITIES:
+        text = f"replace({text}, {_sql(name)}, {_sql(sign)})"
+    for pattern, to in warc.SPACES:
+        text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(to)}, 'g')"
+    text = f"trim(regexp_replace({text}, {_sql(r'^' + chr(92) + 'n|' + chr(92) + 'n$')}, '', 'g'), ' ')"
+    crlf = "chr(13) || chr(10)"
+
+    def urn(*parts: str) -> str:
+        joined = "md5(concat_ws(chr(31), " + ", ".join(parts) + "))"
+        return f"(select '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' from (select {joined} as h))"
+
+    head = f"'HTTP/1.1 200 OK' || {crlf} || 'http-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'http-header: Content-Length: ' || strlen(html)"
+    return f"""
+      with p as (select page_id, url, coalesce(html, '') as html from pages),
+      q as (select *, {text} as txt, 'sha256:' || sha256(html) as source_digest,
+              {urn("'response'", "coalesce(page_id::varchar, '')", "coalesce(url, '')")} as refers_to,
+              trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^<>]*>([^<]*)', 1), '\\s+', ' ', 'g'), ' ') as title,
+              regexp_extract(html, '(?i)<html\\b[^<>]*?\\blang=["'']?([A-Za-z-]+)', 1) as language,
+              len(regexp_extract_all(html, '(?i)<a\\b[^<>]*\\bhref=')) as links from p),
+      r as (select *, {urn("'conversion'", "refers_to")} as conversion_id, {urn("'metadata'", "refers_to")} as metadata_id,
+              'source-payload-digest: ' || source_digest || {crlf} || 'http-status-line: ' || {head} || {crlf} || 'title: ' || title || {crlf}
+              || 'language: ' || language || {crlf} || 'outlinks: ' || links || {crlf} || 'text-length: ' || strlen(txt) || {crlf} as fields from q),
+      s as (select page_id, 'metadata' as record_type, metadata_id as record_id, refers_to, conversion_id as concurrent_to, url, source_digest,
+              'application/warc-fields' as content_type, fields as block from r
+            union all select page_id, 'conversion', conversion_id, refers_to, null, url, source_digest, 'text/plain; charset=utf-8', txt from r)
+      select page_id, record_type, record_id, refers_to, concurrent_to, url as target_uri, '2024-01-01T00:00:00Z' as date, content_type, source_digest,
+        'sha256:' || sha256(block) as block_digest, strlen(block)::bigint as content_length, block from s"""
+
+
+ORACLE["op7_warc_derivatives"] = _warc_sql()
