@@ -28,8 +28,10 @@ BLOCK = 1_500_000
 #: Windows of a text worked on at a time.
 PART = 4_000_000
 
-TEXT = ("t1", "t2")
-_RUN = "t1 bigint, t2 bigint, at bigint, n bigint, times bigint, anchor bigint, u1 bigint, u2 bigint"
+#: Columns that stand for a text.
+TEXT = ("__t1", "__t2")
+_RUN = ("at", "n", "off", "times", "anchor", "u1", "u2")
+_CONTENT = ("__t1", "__t2", "key", "u1", "u2", "weight", "at", "n", "off", "low", "high")
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -57,11 +59,12 @@ def _least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(end[:n], begin[width - 1 : width - 1 + n])
 
 
-def runs(data: bytes, least: int = LEAST) -> list[tuple[int, int, int, int, int, int]]:
-    """(first window, windows, times, anchor, hash, hash) of the runs of a text; equal ones in a row count as one with times."""
+def runs(data: bytes, least: int = LEAST) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(first window, windows, bytes from there to the anchor, times, anchor, hash, hash) of the runs of a text; equal ones
+    in a row count as one with times."""
     from xxhash import xxh3_128_intdigest
 
-    out: list[tuple[int, int, int, int, int, int]] = []
+    out: list[tuple[int, int, int, int, int, int, int]] = []
     low = np.uint64((1 << 23) - 1)
     for part in range(0, max(0, len(data) - least + 1), PART):
         stop = min(len(data) - least + 1, part + PART)
@@ -71,20 +74,21 @@ def runs(data: bytes, least: int = LEAST) -> list[tuple[int, int, int, int, int,
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         counts = np.diff(np.append(first, len(at)))
         anchors = hashes[at[first]].view(np.int64)
-        for s, n, anchor in zip((first + part).tolist(), counts.tolist(), anchors.tolist()):
+        offsets = at[first] - first
+        for s, n, off, anchor in zip((first + part).tolist(), counts.tolist(), offsets.tolist(), anchors.tolist()):
             whole = xxh3_128_intdigest(data[s : s + n - 1 + least])
             u1, u2 = (whole & (1 << 64) - 1) - (1 << 63), (whole >> 64) - (1 << 63)
-            if out and out[-1][1] == n and out[-1][4:] == (u1, u2):
-                out[-1] = (*out[-1][:2], out[-1][2] + 1, *out[-1][3:])
+            if out and out[-1][1] == n and out[-1][5:] == (u1, u2):
+                out[-1] = (*out[-1][:3], out[-1][3] + 1, *out[-1][4:])
             else:
-                out.append((s, n, 1, anchor, u1, u2))
+                out.append((s, n, off, 1, anchor, u1, u2))
     return out
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with the two hashes that stand for a text; NULL counts as empty."""
     content = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"t1": F.xxhash64(content), "t2": F.xxhash64(F.lit(7), content)})
+    return docs.withColumns({TEXT[0]: F.xxhash64(content), TEXT[1]: F.xxhash64(F.lit(7), content)})
 
 
 def _runs(keyed: DataFrame, text: str, least: int) -> DataFrame:
@@ -96,35 +100,45 @@ def _runs(keyed: DataFrame, text: str, least: int) -> DataFrame:
             if rows:
                 who, *rest = zip(*rows)
                 take = pa.array(who)
-                yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), *[pa.array(c, pa.int64()) for c in rest]], names=["t1", "t2", "at", "n", "times", "anchor", "u1", "u2"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in TEXT], *[pa.array(c, pa.int64()) for c in rest]], names=[*TEXT, *_RUN])
 
-    return keyed.select("t1", "t2", F.col(text).alias("x")).where(F.octet_length("x") >= least).mapInArrow(run, _RUN)
+    texts = keyed.select(*TEXT, F.col(text).alias("x")).where(F.octet_length("x") >= least)
+    return texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*TEXT, *_RUN)))
 
 
 def _bytes_of(kinds: DataFrame, keyed: DataFrame, text: str, least: int) -> DataFrame:
     """``kinds`` with the bytes of their runs, taken from one copy of each text."""
     once = keyed.where(F.octet_length(text) >= least).groupBy(*TEXT).agg(F.first(text).alias("x"))
 
-    listed = kinds.groupBy(*TEXT).agg(F.collect_list(F.struct("key", "u1", "u2", "weight", "at", "n")).alias("all"))
-    schema = "t1 bigint, t2 bigint, key bigint, u1 bigint, u2 bigint, weight bigint, at bigint, n bigint, content binary"
+    listed = kinds.groupBy(*TEXT).agg(F.collect_list(F.struct(*_CONTENT[2:])).alias("all"))
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for t1, t2, all_, text_ in zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), batch.column("all").to_pylist(), batch.column("x")):
-                data = text_.as_py().encode()
-                rows.extend((t1, t2, r["key"], r["u1"], r["u2"], r["weight"], r["at"], r["n"], data[r["at"] : r["at"] + r["n"] - 1 + least]) for r in all_)
-            if rows:
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:8]], pa.array(columns[8], pa.binary())], names=["t1", "t2", "key", "u1", "u2", "weight", "at", "n", "content"])
+            rows, content = [], []
+            for t1, t2, all_, value in zip(*(batch.column(c).to_pylist() for c in (*TEXT, "all")), batch.column("x")):
+                data = value.as_py().encode()
+                rows.extend((t1, t2, *(r[c] for c in _CONTENT[2:])) for r in all_)
+                content.extend(data[r["at"] : r["at"] + r["n"] - 1 + least] for r in all_)
+            yield _contents(rows, content)
+
+    return listed.join(once, [*TEXT]).mapInArrow(cut, _schema())
+
+
+def _schema() -> str:
+    return ", ".join(f"{c} bigint" for c in _CONTENT) + ", content binary"
+
 
-    return listed.join(once, [*TEXT]).mapInArrow(cut, schema)
+def _contents(rows: list[tuple], content: list[bytes]):
+    import pyarrow as pa
+
+    columns = list(zip(*rows)) or [()] * len(_CONTENT)
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(content, pa.binary())], names=[*_CONTENT, "content"])
 
 
 def _compared(contents: DataFrame, least: int) -> DataFrame:
-    """``t1``, ``t2``, ``start``, ``end`` of repeats in runs of weight 1; all runs of a key meet in one block."""
+    """``__t1``, ``__t2``, ``start``, ``end`` of repeats in runs of weight 1; all runs of a key meet in one block."""
     dealt = contents.repartition("key").sortWithinPartitions("key")
 
     def run(batches):
@@ -136,9 +150,9 @@ def _compared(contents: DataFrame, least: int) -> DataFrame:
             for owner, offset, length in zip(*(c.tolist() for c in found.covered())):
                 r = rows[owner]
                 if r["weight"] == 1:
-                    out.append((r["t1"], r["t2"], r["at"] + offset, r["at"] + offset + length))
+                    out.append((r[TEXT[0]], r[TEXT[1]], r["at"] + offset, r["at"] + offset + length))
             columns = list(zip(*out)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t1", "t2", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*TEXT, "start", "end"])
 
         held, size = [], 0
         for batch in batches:
@@ -151,30 +165,34 @@ def _compared(contents: DataFrame, least: int) -> DataFrame:
         if held:
             yield block(held)
 
-    return dealt.mapInArrow(run, "t1 bigint, t2 bigint, start bigint, `end` bigint")
+    return dealt.mapInArrow(run, "__t1 bigint, __t2 bigint, start bigint, `end` bigint")
 
 
 def _halved(contents: DataFrame, least: int) -> DataFrame:
-    """Both halves of each run; the new key is the hash of old key, side and the bytes that all windows of the half share."""
+    """Both halves of each run, cut at the same place relative to the anchor, so that equal windows stay in equal halves.
+
+    A half has windows that begin ``low`` up to ``high - 1`` bytes before the anchor; its key is the hash of the old key and of
+    the bytes that all windows of such a half share.
+    """
 
     def run(batches):
-        import pyarrow as pa
         from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
         for batch in batches:
-            out = []
+            rows, content = [], []
             for r in batch.to_pylist():
-                middle, data = max(1, r["n"] // 2), r["content"]
-                for a, b in ((0, middle), (middle, r["n"])):
+                middle, data, n, off = (r["low"] + r["high"]) // 2, r["content"], r["n"], r["off"]
+                cut = min(n, max(0, off - middle + 1))
+                for a, b, low, high in ((0, cut, middle, r["high"]), (cut, n, r["low"], middle)):
                     if a < b:
-                        own, shared = data[a : b - 1 + least], data[b - 1 : a + least]
+                        own, shared = data[a : b - 1 + least], data[off - low : off - high + 1 + least]
                         whole = xxh3_128_intdigest(own)
-                        key = xxh3_64_intdigest(shared, r["key"] & 0xFFFFFFFF) - (1 << 63)
-                        out.append((r["t1"], r["t2"], key, (whole & (1 << 64) - 1) - (1 << 63), (whole >> 64) - (1 << 63), r["weight"], r["at"] + a, b - a, own))
-            columns = list(zip(*out)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:8]], pa.array(columns[8], pa.binary())], names=batch.schema.names)
+                        key = xxh3_64_intdigest(shared + low.to_bytes(4, "little"), r["key"] & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                        rows.append((r[TEXT[0]], r[TEXT[1]], key, (whole & (1 << 64) - 1) - (1 << 63), (whole >> 64) - (1 << 63), r["weight"], r["at"] + a, b - a, off - a, low, high))
+                        content.append(own)
+            yield _contents(rows, content)
 
-    return contents.mapInArrow(run, contents.schema)
+    return contents.mapInArrow(run, _schema())
 
 
 def _whole(rows: DataFrame, least: int) -> DataFrame:
@@ -182,7 +200,7 @@ def _whole(rows: DataFrame, least: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
-    """``t1``, ``t2`` (hashes of a text) and ``spans`` (``start``, ``end`` bytes) of the repeats of every text that has some.
+    """``__t1``, ``__t2`` (hashes of a text) and ``__spans`` (``start``, ``end`` bytes) of the repeats of every text that has some.
 
     A repeat is a string of ``least`` bytes (over ``GRAM``) that also starts elsewhere in ``docs``, in the same text or
     another; copies of a text are others.  Spans may overlap and touch.
@@ -191,11 +209,12 @@ def spans(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     found = materialise(_runs(keyed, text, least), "runs")
     counts = found.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select("anchor")
     shared = materialise(found.join(counts, "anchor"), "shared-runs")
-    kinds = shared.groupBy("anchor", "n", "u1", "u2").agg(F.sum("times").alias("weight"), F.min(F.struct(*TEXT, "at")).alias("one"))
+    kinds = shared.groupBy("anchor", "n", "u1", "u2").agg(F.sum("times").alias("weight"), F.min(F.struct(*TEXT, "at", "off")).alias("one"))
     many = kinds.where("weight > 1").select("anchor", "n", "u1", "u2")
     equal = shared.join(many, ["anchor", "n", "u1", "u2"])
     parts = [_whole(equal.withColumn("n", F.col("n") * F.col("times")), least)]
-    kinds = kinds.select(F.col("anchor").alias("key"), "n", "u1", "u2", "weight", "one.*")
+    reach = F.lit(least - GRAM + 1).cast("long")
+    kinds = kinds.select(F.col("anchor").alias("key"), "n", "u1", "u2", "weight", "one.*", F.lit(0).cast("long").alias("low"), reach.alias("high"))
     mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("weight") == 1).cast("long")).alias("single")).where("kinds > 1 and single > 0")
     contents = materialise(_bytes_of(kinds.join(mixed.select("key"), "key"), keyed, text, least), "contents")
     while True:
@@ -209,14 +228,14 @@ def spans(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
         again = total.where("sum > 1").select("key", "n", "u1", "u2")
         parts.append(_whole(halves.where("weight = 1").join(again, ["key", "n", "u1", "u2"]), least))
         # One run of each kind goes on, as a counterpart if it is settled; keys without open ones are done.
-        first = halves.join(total, ["key", "n", "u1", "u2"]).where("one.t1 = t1 and one.t2 = t2 and one.at = at")
-        first = first.select(*TEXT, "key", "u1", "u2", F.col("sum").alias("weight"), "at", "n", "content")
+        first = halves.join(total, ["key", "n", "u1", "u2"]).where("one.__t1 = __t1 and one.__t2 = __t2 and one.at = at")
+        first = first.withColumn("weight", F.col("sum")).select(*_CONTENT, "content")
         left = total.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("sum") == 1).cast("long")).alias("single")).where("kinds > 1 and single > 0")
         contents = materialise(first.join(left.select("key"), "key"), "contents")
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
-    return every.groupBy(*TEXT).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return every.groupBy(*TEXT).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
 
 
 def _joined(spans_: list[dict]) -> list[list[int]]:
@@ -239,7 +258,7 @@ def remove(docs: DataFrame, text: str = "text", least: int = LEAST, keep_bytes:
     given = _keyed(docs.drop("n_bytes", "removed", "n_removed", "kept_sha256", "kept"), text)
     found = spans(docs, text, least)
     met = given.withColumn("__x", F.col(text)).drop(text).join(found, [*TEXT], "left").drop(*TEXT)
-    rest = met.drop("__x", "spans")
+    rest = met.drop("__x", "__spans")
     kinds = {"n_bytes": "bigint", "removed": "array<struct<start:bigint,end:bigint>>", "n_removed": "bigint", "kept_sha256": "string"}
     kinds |= {"kept": "binary"} if keep_bytes else {}
     names = rest.columns
@@ -249,7 +268,7 @@ def remove(docs: DataFrame, text: str = "text", least: int = LEAST, keep_bytes:
 
         for batch in batches:
             rows = []
-            for value, spans_ in zip(batch.column("__x"), batch.column("spans").to_pylist()):
+            for value, spans_ in zip(batch.column("__x"), batch.column("__spans").to_pylist()):
                 data, cut = (value.as_py() or "").encode(), _joined(spans_ or ())
                 edges = [0, *[x for pair in cut for x in pair], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if cut else data
