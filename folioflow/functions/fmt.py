@@ -23,14 +23,14 @@ def _col(value: Column | str) -> Column:
 
 
 def fixed(value: Column | str, digits: int, half: str = "even") -> Column:
-    """Decimal text of a non-negative double, rounded on its exact binary value.
+    """Decimal text of a double, its absolute value rounded on its exact binary value.
 
     ``half`` says what happens on an exact tie: ``even`` as in C and Python formatting, ``up`` as
     in ECMAScript ``toFixed``.  Spark's own rounding works on the shortest decimal form of a
     double and differs on values such as 1.005.  The tie test here is exact: the product with
     ``2 * 10**digits`` is kept as a double plus its rounding error (a two-product).
     """
-    x = _col(value).cast("double")
+    x = F.abs(_col(value).cast("double"))
     scale = float(2 * 10**digits)
     product = x * F.lit(scale)
     split = x * F.lit(134217729.0)  # 2**27 + 1 cuts a double into two 26-bit halves
@@ -42,7 +42,8 @@ def fixed(value: Column | str, digits: int, half: str = "even") -> Column:
     needed = F.when(units % 2 == 1, -0.5).otherwise(0.5) if half == "even" else F.lit(-0.5)
     rounded = units + (beyond_tie > needed).cast("long")
     unit = F.lit(Decimal(1).scaleb(-digits))
-    return (rounded.cast("decimal(18,0)") * unit).cast(f"decimal(20,{digits})").cast("string")
+    sign = F.when(_col(value) < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, (rounded.cast("decimal(18,0)") * unit).cast(f"decimal(20,{digits})").cast("string"))
 
 
 # Units of the report size and their divisors.

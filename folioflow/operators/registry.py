@@ -127,12 +127,9 @@ def insert(jobs: DataFrame, rows: DataFrame) -> DataFrame:
     """Append pending jobs.  A duplicate id fails the query, as a primary key would."""
     fresh = new_jobs(rows)
     clash = duplicate_ids(jobs, rows).withColumn("_clash", F.lit(True))
-    checked = fresh.join(clash, "job_id", "left").withColumn(
-        "job_id",
-        F.when(F.col("_clash"), F.raise_error(F.concat(F.lit("duplicate job_id: "), F.col("job_id")))).otherwise(
-            F.col("job_id")
-        ),
-    )
+    # As a filter, which no projection or count over the result prunes away.
+    refused = F.raise_error(F.concat(F.lit("duplicate job_id: "), F.col("job_id"))).cast("boolean")
+    checked = fresh.join(clash, "job_id", "left").where(F.when(F.col("_clash"), refused).otherwise(F.lit(True)))
     return jobs.unionByName(checked.drop("_clash"), allowMissingColumns=True)
 
 
@@ -171,7 +168,19 @@ def fold_updates(updates: DataFrame, order: str) -> DataFrame:
 
 
 def apply_updates(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Overlay at most one update row per job.  An explicit NULL is written, not skipped."""
+    """Overlay one update row per job; several rows of a job fail the query.  An explicit NULL is written, not skipped."""
+    names = update_fields(updates)
+    if not names:
+        return jobs
+    rest = [c for c in updates.columns if c != "job_id"]
+    one = updates.groupBy("job_id").agg(F.count("*").alias("_rows"), *[F.first(F.struct(c)).alias(f"_one_{c}") for c in rest])
+    refused = F.raise_error(F.concat(F.lit("several updates of job_id: "), F.col("job_id"))).cast("boolean")
+    one = one.where(F.when(F.col("_rows") > 1, refused).otherwise(F.lit(True)))
+    return _overlay(jobs, one.select("job_id", *[F.col(f"_one_{c}.{c}").alias(c) for c in rest]))
+
+
+def _overlay(jobs: DataFrame, updates: DataFrame) -> DataFrame:
+    """``jobs`` with update rows whose ``job_id`` is known to be unique."""
     names = update_fields(updates)
     if not names:
         return jobs
@@ -193,7 +202,7 @@ def apply_updates(jobs: DataFrame, updates: DataFrame) -> DataFrame:
 
 def update(jobs: DataFrame, updates: DataFrame, order: str) -> DataFrame:
     """Apply any number of updates per job in the given order."""
-    return apply_updates(jobs, fold_updates(updates, order))
+    return _overlay(jobs, fold_updates(updates, order))
 
 
 # ---- delete --------------------------------------------------------------------------------
@@ -211,6 +220,10 @@ def deleted_count(jobs: DataFrame, ids: DataFrame) -> DataFrame:
 
 # ---- sweep and recovery --------------------------------------------------------------------
 
+# The messages of a swept job.
+NEVER_STARTED = "Task stuck: no started_at timestamp"
+TOO_LONG = "Task stuck for more than {} hours, automatically marked as failed"
+
 
 def stuck_reason(jobs: DataFrame, as_of: datetime | str | Column, max_hours: float = MAX_HOURS) -> Column:
     """Why a running job counts as stuck, else NULL: never started, or running for too long.
@@ -219,9 +232,9 @@ def stuck_reason(jobs: DataFrame, as_of: datetime | str | Column, max_hours: flo
     """
     running = F.col("status") == "running"
     age = fmt.micros(clock(jobs, as_of)) - fmt.micros("started_at")
-    return F.when(running & F.col("started_at").isNull(), F.lit("Task stuck: no started_at timestamp")).when(
+    return F.when(running & F.col("started_at").isNull(), F.lit(NEVER_STARTED)).when(
         running & (age > F.lit(round(max_hours * 3_600_000_000))),
-        F.lit(f"Task stuck for more than {max_hours} hours, automatically marked as failed"),
+        F.lit(TOO_LONG.format(max_hours)),
     )
 
 
@@ -233,6 +246,20 @@ def stuck_updates(jobs: DataFrame, as_of: datetime | str | Column, max_hours: fl
     ).where(F.col("error").isNotNull())
 
 
+def first_stuck(jobs: DataFrame, ticks: DataFrame, max_hours: float = MAX_HOURS) -> DataFrame:
+    """Update rows of the jobs that are stuck at one of the ``ticks``, as of the first such tick.
+
+    ``ticks`` is one row with a sorted array of the table's own timestamp flavour.
+    """
+    running = jobs.where("status = 'running'").join(F.broadcast(ticks), F.size("ticks") > 0)
+    least = F.lit(round(max_hours * 3_600_000_000))
+    began = fmt.micros("started_at")
+    late = F.filter("ticks", lambda t: F.col("started_at").isNull() | (fmt.micros(t) - began > least))
+    reason = F.when(F.col("started_at").isNull(), F.lit(NEVER_STARTED)).otherwise(F.lit(TOO_LONG.format(max_hours)))
+    found = running.select("job_id", F.lit("failed").alias("status"), reason.alias("error"), F.get(late, 0).alias("completed_at"))
+    return found.where("completed_at is not null")
+
+
 def sweep(jobs: DataFrame, as_of: datetime | str | Column, max_hours: float = MAX_HOURS) -> DataFrame:
     """The table after the sweep: one pass over the rows, no join and no shuffle."""
     reason = stuck_reason(jobs, as_of, max_hours)

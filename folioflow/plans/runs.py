@@ -14,10 +14,7 @@ from folioflow.operators.extraction import Extractor, extract
 from folioflow.plans import report
 from folioflow.plans.submission import Defaults
 from folioflow.session import materialise
-
-
-#: Most rows a broadcast may have; with keys of up to 1 KB this stays below 50 MB.
-BROADCAST_ROWS = 50_000
+from folioflow.sources import artifacts as stored
 
 
 @dataclass(frozen=True)
@@ -33,6 +30,16 @@ class BatchOutcome:
     def artifacts(self) -> DataFrame:
         return artifacts_of(self.finished, overwritten(self.finished), "key")
 
+    def delivered(self, root: str, **tries) -> BatchOutcome:
+        """Write the artifacts below ``root``: a document whose Markdown cannot be written has failed, its page count stays.
+
+        A failed image does not fail its document.  The outcome of the writes is kept once.
+        """
+        failed = deliver(self.artifacts, root, **tries)
+        finished = self.finished.join(failed, "target_key", "left")
+        told = failed_writes(F.col("status") == "success")
+        return BatchOutcome(results_of(finished.withColumns(told)), finished.withColumns(told).drop("write_error"))
+
 
 def finish(
     extracted: DataFrame, source_prefix: str, target_prefix: str, mode: Column | str = "auto", reorder=None
@@ -49,22 +56,31 @@ def finish(
     )
 
 
-def exclude(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """Anti join of wide ``rows`` with usually few ``keys``.
+def artifacts_of(finished: DataFrame, lost: DataFrame, on: str | list[str]) -> DataFrame:
+    """Results to be kept: one per target key, as later results overwrite earlier ones.
 
-    The keys are counted first: none leaves the rows as they are, few are broadcast so that the
-    rows need no shuffle, and beyond :data:`BROADCAST_ROWS` both sides are shuffled.
+    The keys of the others are written first, so that Spark knows their size and moves the keys rather than the results
+    where they are few.
     """
-    found = keys.limit(BROADCAST_ROWS + 1).count()
-    if not found:
-        return rows
-    return rows.join(F.broadcast(keys) if found <= BROADCAST_ROWS else keys, on, "left_anti")
+    good = finished.where(F.col("status") == "success").join(materialise(lost, "lost"), on, "left_anti")
+    return good.select("key", "target_key", "md", "page_count", "images")
 
 
-def artifacts_of(finished: DataFrame, lost: DataFrame, on: str | list[str]) -> DataFrame:
-    """Results to be kept: one per target key, as later results overwrite earlier ones."""
-    good = exclude(finished.where(F.col("status") == "success"), lost, on)
-    return good.select("key", "target_key", "md", "page_count", "images")
+def deliver(artifacts: DataFrame, root: str, **tries) -> DataFrame:
+    """Write Markdown and images; ``target_key, write_error`` of the results whose Markdown could not be written."""
+    images = stored.write_image_objects(artifacts, root, **tries)
+    written = stored.write_markdown_objects(artifacts, root, **tries)
+    outcome = materialise(written.withColumn("kind", F.lit("md")).union(images.withColumn("kind", F.lit("image"))), "written")
+    bad = outcome.where("kind = 'md' and error is not null")
+    return bad.select(F.col("key").alias("target_key"), F.concat(F.lit("cannot write "), "key", F.lit(": "), "error").alias("write_error"))
+
+
+def failed_writes(good: Column) -> dict[str, Column]:
+    lost = good & F.col("write_error").isNotNull()
+    return {
+        "error": F.when(lost, F.col("write_error")).otherwise(F.col("error")),
+        "status": F.when(lost, F.lit("failed")).otherwise(F.col("status")),
+    }
 
 
 def overwritten(finished: DataFrame) -> DataFrame:
@@ -116,6 +132,17 @@ class JobRun:
     def artifacts(self) -> DataFrame:
         return artifacts_of(self.finished, self.lost, UNIT)
 
+    def delivered(self, root: str, **tries) -> DataFrame:
+        """Write the artifacts below ``root`` and give the update rows: a job whose Markdown cannot be written has failed.
+
+        A job whose result another one overwrites shares the outcome of that write.
+        """
+        failed = deliver(self.artifacts, root, **tries)
+        joined = self.updates.join(failed, "target_key", "left")
+        lost = F.col("write_error").isNotNull() & (F.col("status") == "success")
+        told = failed_writes(F.col("status") == "success") | {"set_error": F.col("set_error") | lost, "set_target_key": F.col("set_target_key") & ~lost}
+        return joined.withColumns(told).select(*self.updates.columns)
+
 
 def run_pending(
     jobs: DataFrame,
@@ -141,8 +168,8 @@ def run_pending(
     """
     pending = registry.with_options(registry.with_status(jobs, "pending"), *defaults)
     asked = pending.select("job_id", "submitted_at", F.col("file_key").alias("key"), "lang", "arabic_bidi_fix", "backend")
-    units = asked.select(*UNIT).distinct()
-    # An inner join, so that few units may be broadcast to the documents and no bytes move.
+    # Written first, so that Spark knows their size: few units go to the documents, and no bytes move.
+    units = materialise(asked.select(*UNIT).distinct(), "units")
     work = units.join(docs if root is None else docs.select("key", "size"), "key")
     finished = finish(extract(work, extractor, root, tasks), source_prefix, target_prefix, F.col("arabic_bidi_fix"), reorder)
     finished = materialise(finished, "jobs")

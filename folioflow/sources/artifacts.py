@@ -21,9 +21,12 @@ def pick_preferred(candidates: DataFrame, document: str, path: str, expected: Co
 
 
 def markdown(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """``target_key, md`` of the Markdown objects below the prefix, one string per object."""
-    docs = catalog.documents(spark, root, prefix).where(F.col("key").endswith(".md"))
-    return docs.select(F.col("key").alias("target_key"), text.decode_utf8("content").alias("md"))
+    """``target_key, md, error`` of the Markdown objects below the prefix; only those are read."""
+    keys = catalog.all_files(spark, root, prefix).where(F.col("key").endswith(".md"))
+    docs = fetch_objects(keys, root)
+    md = text.decode_utf8("content")
+    error = F.when(md.isNull(), F.coalesce("fetch_error", F.lit("not UTF-8")))
+    return docs.select(F.col("key").alias("target_key"), md.alias("md"), error.alias("error"))
 
 
 def _work_objects(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
@@ -44,18 +47,22 @@ def _picked(spark: SparkSession, root: str, work: DataFrame, ending: str) -> Dat
 
 
 def work_markdown(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
-    """Markdown per work folder in ``work(folder)``; ``error`` where there is none."""
+    """Markdown per work folder in ``work(folder)``; ``error`` where there is none, or why it could not be read."""
     docs = fetch_objects(_picked(spark, root, work, ".md"), root)
-    md = docs.select("folder", text.decode_utf8("content").alias("md"))
+    decoded = text.decode_utf8("content")
+    broken = F.when(F.col("content").isNotNull() & decoded.isNull(), F.concat(F.lit("not UTF-8: "), F.col("key")))
+    md = docs.select("folder", decoded.alias("md"), F.coalesce("fetch_error", broken).alias("problem"))
     missing = F.concat(F.lit("no Markdown output below "), F.col("folder"))
-    return work.join(md, "folder", "left").select("folder", "md", F.when(F.col("md").isNull(), missing).alias("error"))
+    joined = work.join(md, "folder", "left")
+    return joined.select("folder", "md", F.when(F.col("md").isNull(), F.coalesce("problem", missing)).alias("error"))
 
 
 def work_page_counts(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
-    """Page count per work folder, 0 where the layout is absent or broken."""
+    """Page count per work folder: 0 where the layout is absent or broken, NULL and ``error`` where it could not be read."""
     docs = fetch_objects(_picked(spark, root, work, "_middle.json"), root)
-    counts = docs.select("folder", fmt.page_count(text.decode_utf8_lossy("content")).alias("page_count"))
-    return work.join(counts, "folder", "left").select("folder", F.coalesce("page_count", F.lit(0)).alias("page_count"))
+    counts = docs.select("folder", fmt.page_count(text.decode_utf8_lossy("content")).alias("pages"), F.col("fetch_error").alias("error"))
+    joined = work.join(counts, "folder", "left")
+    return joined.select("folder", F.when(F.col("error").isNull(), F.coalesce("pages", F.lit(0))).alias("page_count"), "error")
 
 
 def work_images(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
@@ -87,16 +94,11 @@ def explode_images(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def write_markdown_table(artifacts: DataFrame, path: str) -> None:
-    """Results as one Parquet table, replacing what lies at ``path``."""
-    artifacts.write.mode("overwrite").parquet(path)
-
-
-def write_markdown_objects(artifacts: DataFrame, root: str) -> DataFrame:
+def write_markdown_objects(artifacts: DataFrame, root: str, **tries) -> DataFrame:
     """Results as one object per document; see :func:`put_objects`."""
-    return put_objects(artifacts, root, "target_key", "md")
+    return put_objects(artifacts, root, "target_key", "md", F.lit("text/markdown; charset=utf-8"), **tries)
 
 
-def write_image_objects(artifacts: DataFrame, root: str) -> DataFrame:
+def write_image_objects(artifacts: DataFrame, root: str, **tries) -> DataFrame:
     """All images of all results as objects; a failed image is a row with its error."""
-    return put_objects(explode_images(artifacts), root, "key", "content")
+    return put_objects(explode_images(artifacts), root, "key", "content", F.col("content_type"), **tries)

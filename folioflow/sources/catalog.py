@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import paths
-
-
-def _bare(root: str) -> str:
-    """Path part of a root without scheme, ending in ``/``."""
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!/[^/])", "", root).rstrip("/").removeprefix("file:") + "/"
-
-
-def key_below(path: Column, root: str) -> Column:
-    """Key of a full path relative to ``root``."""
-    bare = F.lit(_bare(root))
-    return F.substring(path, F.instr(path, bare) + F.length(bare), F.length(path))
-
-
-def _binary(spark: SparkSession, root: str, prefix: str) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    folder = prefix.rpartition("/")[0]
-    if folder:
-        # Only the folder that can hold the prefix is listed; an absent one simply has no files.
-        try:
-            return reader.load(f"{root.rstrip('/')}/{folder}")
-        except AnalysisException as problem:
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-    return reader.load(root)
+from folioflow.sources.objects import fetch_objects, list_objects, put_objects
 
 
 def all_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """``key, size`` of everything below ``root`` whose key starts with ``prefix``.
+    """``key, size`` of everything below ``root`` whose key starts with ``prefix``; no name is left out.
 
-    File bytes are not read: the ``content`` column is pruned from the scan.
+    Only the folder that can hold the prefix is listed; see :func:`list_objects`.
     """
-    scan = _binary(spark, root, prefix)
-    files = scan.select(key_below(F.col("path"), root).alias("key"), F.col("length").alias("size"))
+    files = list_objects(spark, root, below=prefix.rpartition("/")[0])
     return files.where(F.col("key").startswith(prefix)) if prefix else files
 
 
@@ -55,10 +28,14 @@ def list_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
 
 
 def documents(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """``key, size, content`` of everything below the prefix, for extraction in place."""
-    scan = _binary(spark, root, prefix)
-    docs = scan.select(key_below(F.col("path"), root).alias("key"), F.col("length").alias("size"), "content")
-    return docs.where(F.col("key").startswith(prefix)) if prefix else docs
+    """``key, size, content`` of everything below the prefix; an object that cannot be read fails the query.
+
+    To isolate unreadable documents, extract by key: ``extract(list_files(...), extractor, root)``.
+    """
+    found = fetch_objects(all_files(spark, root, prefix), root)
+    reason = F.concat(F.lit("cannot read "), F.col("key"), F.lit(": "), F.col("fetch_error"))
+    content = F.when(F.col("fetch_error").isNotNull(), F.raise_error(reason).cast("binary")).otherwise(F.col("content"))
+    return found.select("key", "size", content.alias("content"))
 
 
 def split_supported(files: DataFrame) -> DataFrame:
@@ -84,6 +61,24 @@ def ingest(uploads: DataFrame, source_prefix: str = "") -> DataFrame:
     )
 
 
+def store_uploads(uploads: DataFrame, root: str, source_prefix: str = "", **tries) -> DataFrame:
+    """Store accepted uploads (``name, content``) at their catalog keys: ``name, key, size, error`` of every upload.
+
+    ``size`` is that of the bytes written; a refused upload has its reason, one that could not be written the store's.
+    """
+    ok = paths.is_supported("name")
+    taken = uploads.where(ok).select(paths.ingest_key("name", source_prefix).alias("key"), "content")
+    written = put_objects(taken, root, content_type=paths.content_type("key"), **tries)
+    size = F.when(F.col("error").isNull(), F.col("size")).alias("size")
+    refused = uploads.where(~ok).select(
+        "name",
+        F.lit(None).cast("string").alias("key"),
+        F.lit(None).cast("long").alias("size"),
+        F.concat(F.lit("Unsupported format: "), paths.suffix("name")).alias("error"),
+    )
+    return written.select(paths.file_name("key").alias("name"), "key", size, "error").unionByName(refused)
+
+
 def target_collisions(files: DataFrame, source_prefix: str = "", target_prefix: str = "") -> DataFrame:
     """Targets that several sources would share, with their number and first and last source."""
     keyed = files.select("key", paths.target_key("key", source_prefix, target_prefix).alias("target_key"))

@@ -4,35 +4,66 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.schemas import align_jobs
 
 
-def _snapshots(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _store(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, root: str, pattern: str) -> list[int]:
+    path, fs = _store(spark, root)
     if not fs.exists(path):
         return []
-    found = []
-    for status in fs.listStatus(path):
-        match = re.fullmatch(r"snapshot=(\d+)", status.getPath().getName())
-        # A snapshot counts once its commit marker is there; a half-written one is never read.
-        if match and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(match.group(1)))
-    return sorted(found)
+    found = (re.fullmatch(pattern, status.getPath().getName()) for status in fs.listStatus(path))
+    return sorted(int(m.group(1)) for m in found if m)
+
+
+def _snapshots(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of complete snapshots: one counts once its commit marker is there."""
+    path, fs = _store(spark, root)
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [n for n in _numbers(spark, root, r"snapshot=(\d+)") if fs.exists(made(path, f"snapshot={n:012d}/_SUCCESS"))]
+
+
+def latest_version(spark: SparkSession, root: str) -> int:
+    """Number of the latest complete snapshot, 0 before the first."""
+    return max(_snapshots(spark, root), default=0)
+
+
+def load_jobs(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A complete snapshot (the latest), brought to the current columns; an empty table before the first."""
+    version = latest_version(spark, root) if version is None else version
+    if not version:
+        return align_jobs(spark.createDataFrame([], "job_id string, submitted_at timestamp"))
+    return align_jobs(spark.read.parquet(f"{root}/snapshot={version:012d}"))
+
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has changed the table since it was read."""
 
-def load_jobs(spark: SparkSession, root: str) -> DataFrame:
-    """Latest complete snapshot, brought to the current columns."""
-    latest = _snapshots(spark, root)[-1]
-    return align_jobs(spark.read.option("mergeSchema", True).parquet(f"{root}/snapshot={latest:012d}"))
 
+def save_jobs(jobs: DataFrame, root: str, read_version: int | None = None) -> int:
+    """Write the next snapshot.  The one being read stays as it is, so ``jobs`` may derive from it.
 
-def save_jobs(jobs: DataFrame, root: str) -> int:
-    """Write the next snapshot.  The one being read stays as it is, so ``jobs`` may derive from it."""
+    ``read_version`` is the snapshot ``jobs`` derives from; a table that has changed since then is not overwritten.  A number
+    is claimed by creating its claim file, which one of two writers can do; the other one fails.  A claim without snapshot is
+    left by a writer that died; its number is not used again.
+    """
     spark = jobs.sparkSession
-    number = (_snapshots(spark, root) or [0])[-1] + 1
-    align_jobs(jobs).write.mode("overwrite").parquet(f"{root}/snapshot={number:012d}")
+    path, fs = _store(spark, root)
+    latest = latest_version(spark, root)
+    if read_version is not None and read_version != latest:
+        raise ConcurrentChange(f"{root} is at version {latest}, not {read_version}")
+    number = max([latest, *_numbers(spark, root, r"claim=(\d+)")]) + 1
+    claim = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"claim={number:012d}")
+    try:
+        fs.create(claim, False).close()
+    except Py4JJavaError as taken:
+        raise ConcurrentChange(f"another writer makes version {number} of {root}") from taken
+    align_jobs(jobs).write.mode("errorifexists").parquet(f"{root}/snapshot={number:012d}")
     return number

@@ -1,25 +1,35 @@
 """Object reads, writes and listing by key, done inside tasks.
 
-Spark's ``binaryFile`` source lists a whole tree on the driver and reads what it lists.  The
-functions here take a *table of keys* instead: the keys may first be joined, filtered and
-repartitioned like any other table, and only the objects left are touched, each by the task that
-holds its key.
+Spark's own file sources list a whole tree on the driver and leave out names that begin with ``_``
+or ``.``.  The functions here list inside tasks, every name, and otherwise take a *table of keys*:
+the keys may first be joined, filtered and repartitioned like any other table, and only the objects
+left are touched, each by the task that holds its key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from folioflow.session import materialise
+
 #: What one task of :func:`spread` gets at most on average.
 ROWS_PER_TASK = 1000
 BYTES_PER_TASK = 128 * 1024 * 1024
 
+#: Further tries of a read or write that failed for a passing reason, and seconds between them.
+RETRIES, PAUSE = 3, 5.0
+
+#: Folders that are enough to keep every core busy with whole sub-trees, per core.
+FOLDERS_PER_CORE = 4
+
 #: Output batches are handed over once they hold this many bytes.
 FLUSH_BYTES = 16 * 1024 * 1024
 
@@ -53,19 +63,63 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
 def _open_root(root: str):
     from pyarrow import fs
 
+    if root.startswith(("s3a://", "s3n://")):
+        root = "s3" + root[3:]
     filesystem, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
     return filesystem, base.rstrip("/")
 
 
-def read_object(root: str):
+def persistently(action: Callable[[], object], retries: int, pause: float):
+    """Result of ``action``, tried again after failures of the store that may pass; a missing object does not."""
+    lasting = (FileNotFoundError, NotADirectoryError, IsADirectoryError, PermissionError)
+    for left in reversed(range(retries + 1)):
+        try:
+            return action()
+        except OSError as problem:
+            if not left or isinstance(problem, lasting):
+                raise
+            time.sleep(pause)
+
+
+def read_object(root: str, retries: int = RETRIES, pause: float = PAUSE):
     """A ``key -> bytes`` reader bound to ``root``, to be made once per task."""
     filesystem, base = _open_root(root)
 
-    def read(key: str) -> bytes:
+    def once(key: str) -> bytes:
         with filesystem.open_input_stream(f"{base}/{key}") as stream:
             return stream.read()
 
-    return read
+    return lambda key: persistently(lambda: once(key), retries, pause)
+
+
+def write_object(root: str, retries: int = RETRIES, pause: float = PAUSE):
+    """A ``(key, bytes, content type)`` writer bound to ``root``, to be made once per task.
+
+    On file systems with rename the object appears whole or not at all; it grows in a folder beside the root, so that a
+    listing never meets it.  A store with object metadata gets the content type.
+    """
+    import uuid
+
+    filesystem, base = _open_root(root)
+    renames = filesystem.type_name in ("local", "hdfs")
+    above, _, own = base.rpartition("/")
+    parts, made = f"{above}/.{own}.parts", set()
+
+    def once(key: str, body: bytes, content_type: str | None) -> None:
+        path = f"{base}/{key}"
+        parent = path.rpartition("/")[0]
+        if renames:
+            for folder in {parent, parts} - made:
+                filesystem.create_dir(folder, recursive=True)
+                made.add(folder)
+        place = f"{parts}/{uuid.uuid4().hex}" if renames else path
+        metadata = {"Content-Type": content_type} if content_type and not renames else None
+        with filesystem.open_output_stream(place, metadata=metadata) as stream:
+            stream.write(body)
+        if renames:
+            filesystem.move(place, path)
+
+    return lambda key, body, content_type=None: persistently(lambda: once(key, body, content_type), retries, pause)
 
 
 def spread(keys: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -84,7 +138,9 @@ def spread(keys: DataFrame, tasks: int | None = None) -> DataFrame:
     return keys.repartition(tasks, keys.columns[0])
 
 
-def fetch_objects(keys: DataFrame, root: str, key: str = "key", tasks: int | None = None) -> DataFrame:
+def fetch_objects(
+    keys: DataFrame, root: str, key: str = "key", tasks: int | None = None, retries: int = RETRIES, pause: float = PAUSE
+) -> DataFrame:
     """Add ``content`` and ``fetch_error`` to a table of keys.  A missing object is a row, not a crash."""
     keys = spread(keys, tasks)
     schema = T.StructType(
@@ -92,7 +148,7 @@ def fetch_objects(keys: DataFrame, root: str, key: str = "key", tasks: int | Non
     )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, out = read_object(root), RowBatcher(schema)
+        read, out = read_object(root, retries, pause), RowBatcher(schema)
         for batch in batches:
             for row in rows_of(batch):
                 content, error = None, None
@@ -106,12 +162,20 @@ def fetch_objects(keys: DataFrame, root: str, key: str = "key", tasks: int | Non
     return keys.mapInArrow(fetch, schema)
 
 
-def put_objects(objects: DataFrame, root: str, key: str = "key", content: str = "content") -> DataFrame:
+def put_objects(
+    objects: DataFrame,
+    root: str,
+    key: str = "key",
+    content: str = "content",
+    content_type: Column | None = None,
+    retries: int = RETRIES,
+    pause: float = PAUSE,
+) -> DataFrame:
     """Write each row's bytes (or text) to ``root/key`` and report ``key, size, error`` per object.
 
     Writing the same key again gives the same object, so a retried or doubled task does no harm.
-    On file systems with rename the object appears whole or not at all.  One failed object does not
-    fail the others.  The writes happen when the returned table is evaluated.
+    One failed object does not fail the others; see :func:`write_object`.  The writes happen when the
+    returned table is evaluated.
     """
     schema = T.StructType(
         [
@@ -122,25 +186,12 @@ def put_objects(objects: DataFrame, root: str, key: str = "key", content: str =
     )
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        filesystem, base = _open_root(root)
-        renames = filesystem.type_name in ("local", "hdfs")
-        out, made = RowBatcher(schema), set()
+        write, out = write_object(root, retries, pause), RowBatcher(schema)
         for batch in batches:
             for row in rows_of(batch):
                 name, body, error = row["key"], row["body"], None
                 try:
-                    path = f"{base}/{name}"
-                    parent = path.rpartition("/")[0]
-                    if renames and parent not in made:
-                        filesystem.create_dir(parent, recursive=True)
-                        made.add(parent)
-                    place = f"{parent}/.part-{uuid.uuid4().hex}" if renames else path
-                    with filesystem.open_output_stream(place) as stream:
-                        stream.write(body)
-                    if renames:
-                        filesystem.move(place, path)
+                    write(name, body, row["content_type"])
                 except Exception as problem:
                     error = str(problem) or type(problem).__name__
                 yield from out.add({"key": name, "size": len(body) if body is not None else 0, "error": error}, 64)
@@ -149,37 +200,73 @@ def put_objects(objects: DataFrame, root: str, key: str = "key", content: str =
     body = F.col(content)
     if isinstance(objects.schema[content].dataType, T.StringType):
         body = F.encode(body, "UTF-8")
-    return objects.select(F.col(key).alias("key"), body.alias("body")).mapInArrow(put, schema)
+    kind = (F.lit(None) if content_type is None else content_type).cast("string")
+    return objects.select(F.col(key).alias("key"), body.alias("body"), kind.alias("content_type")).mapInArrow(put, schema)
 
 
-def list_objects(
-    spark: SparkSession, root: str, folders: DataFrame | list[str] | None = None, tasks: int | None = None
-) -> DataFrame:
-    """List below ``root`` inside tasks, the entries of ``folders`` (default: ``root``) spread over them.
+_LISTED = T.StructType(
+    [T.StructField("key", T.StringType()), T.StructField("size", T.LongType()), T.StructField("folder", T.BooleanType())]
+)
 
-    The listing never passes through the driver.  ``folders`` holds relative folders that do not
-    overlap; a large tree is cut by giving its sub-folders.
-    """
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("size", T.LongType())])
+
+def _entries(folders: DataFrame, root: str, tasks: int | None, deep: bool) -> DataFrame:
+    """What lies in the given relative folders: one level, with its folders, or everything below."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         filesystem, base = _open_root(root)
-        out = RowBatcher(schema)
+        out = RowBatcher(_LISTED)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 pending = [f"{base}/{folder}".rstrip("/")]
                 while pending:
                     for info in filesystem.get_file_info(fs.FileSelector(pending.pop(), allow_not_found=True)):
-                        if info.type == fs.FileType.Directory:
+                        down = info.type == fs.FileType.Directory
+                        if down and deep:
                             pending.append(info.path)
                         else:
-                            yield from out.add({"key": info.path[len(base) + 1 :], "size": info.size}, 64)
+                            key = info.path[len(base) + 1 :]
+                            yield from out.add({"key": key, "size": None if down else info.size, "folder": down}, 64)
         yield from out.flush()
 
-    if folders is None:
-        folders = [""]
-    if isinstance(folders, list):
-        folders = spark.createDataFrame([(f,) for f in folders], "folder string")
-    return spread(folders.select(folders.columns[0]), tasks).mapInArrow(listing, schema)
+    return spread(folders.select(folders.columns[0]), tasks).mapInArrow(listing, _LISTED)
+
+
+def list_objects(
+    spark: SparkSession, root: str, folders: DataFrame | list[str] | None = None, tasks: int | None = None, below: str = ""
+) -> DataFrame:
+    """``key, size`` of every object below ``root``, whatever its name, listed inside tasks.
+
+    ``folders`` holds relative folders that do not overlap, each listed by one task.  Without it the
+    folder ``below`` is listed level by level, each level's folders spread over tasks and kept below
+    the shared folder, until there are enough of them to give every core whole sub-trees.  Keys never
+    reach the driver, only a number of folders for each level.  One flat folder is one task; where a
+    store writes inventories of it, :func:`from_inventory` takes its place.
+    """
+    if folders is not None:
+        if isinstance(folders, list):
+            folders = spark.createDataFrame([(f,) for f in folders], "folder string")
+        return _entries(folders, root, tasks, deep=True).select("key", "size")
+    enough = FOLDERS_PER_CORE * spark.sparkContext.defaultParallelism
+    found, front = None, spark.createDataFrame([(below,)], "folder string")
+    filesystem, base = _open_root(root)
+    if filesystem.get_file_info(base).type.name == "NotFound":
+        # An absent folder holds nothing, an absent root is an error.
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {root}")
+    while True:
+        level = materialise(_entries(front, root, tasks, deep=False), "listing")
+        files = level.where("not folder").select("key", "size")
+        found = files if found is None else found.union(files)
+        front = level.where("folder").select(F.col("key").alias("folder"))
+        wide = front.count()
+        if not wide:
+            return found
+        if wide >= enough:
+            return found.union(_entries(front, root, tasks, deep=True).select("key", "size"))
+
+
+def from_inventory(inventory: DataFrame, prefix: str = "") -> DataFrame:
+    """The same table from a store's own inventory (``key``, ``size``)."""
+    rows = inventory.select("key", F.col("size").cast("long").alias("size"))
+    return rows.where(F.col("key").startswith(prefix)) if prefix else rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,21 +12,11 @@ from pyspark.sql import types as T
 from folioflow.functions import paths
 from folioflow.operators import registry
 from folioflow.schemas import TERMINAL
-from folioflow.sources.catalog import key_below
+from folioflow.sources.catalog import list_files
 
 #: A second submission of a key counts as a repeat while the first job may still be running.
 GUARD_DELAY = "2 hours"
 
-BINARY_FILE = T.StructType(
-    [
-        T.StructField("path", T.StringType(), False),
-        T.StructField("modificationTime", T.TimestampType(), False),
-        T.StructField("length", T.LongType(), False),
-        T.StructField("content", T.BinaryType(), True),
-    ]
-)
-
-
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Append everything available to Parquet at ``out``, exactly once across restarts."""
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(
@@ -44,13 +35,39 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 # ---- discovery -----------------------------------------------------------------------------
 
 
-def file_arrivals(spark: SparkSession, root: str) -> DataFrame:
-    """Supported documents as they appear below ``root``; each file is seen once."""
-    stream = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).load(root)
-    files = stream.select(
-        key_below(F.col("path"), root).alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("seen_at")
-    )
-    return files.where(paths.is_supported("key"))
+def discover_on_ticks(ticks: DataFrame, root: str, jobs: Callable[[], DataFrame], log: str, checkpoint: str, prefix: str = "") -> None:
+    """List below ``root`` once per micro-batch of ``ticks(at)`` and log pending jobs for documents that have none.
+
+    ``jobs`` gives the registry as it is when the batch runs; documents of earlier batches count as known, too.  Each batch
+    owns the folder ``batch=<id>`` of the log and overwrites it, so a replay logs every document once.  Listing and anti join
+    run in tasks; nothing remembers the files seen but the log.
+    """
+
+    def discover(batch: DataFrame, batch_id: int) -> None:
+        at = batch.agg(F.max("at").cast("string").alias("at")).first()["at"]
+        if at is not None:
+            fresh = discovered_jobs(list_files(batch.sparkSession, root, prefix), jobs(), at)
+            earlier = _earlier(batch.sparkSession, log, batch_id)
+            if earlier is not None:
+                fresh = fresh.join(earlier.select("file_key"), "file_key", "left_anti")
+            fresh.write.mode("overwrite").parquet(f"{log}/batch={batch_id:012d}")
+
+    _each_batch(ticks, discover, checkpoint)
+
+
+def _each_batch(ticks: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    ticks.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _earlier(spark: SparkSession, log: str, batch_id: int) -> DataFrame | None:
+    """The log of the batches before ``batch_id``; None if there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if batch_id == 0 or not fs.exists(path):
+        return None
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    before = [f"{log}/{n}" for n in names if n.startswith("batch=") and int(n.removeprefix("batch=")) < batch_id]
+    return spark.read.parquet(*before) if before else None
 
 
 def discovered_jobs(arrivals: DataFrame, jobs: DataFrame, at: datetime | str | Column) -> DataFrame:
@@ -91,23 +108,26 @@ def watched_status(events: DataFrame, *order: str) -> DataFrame:
 
 
 def sweep_on_ticks(
-    ticks: DataFrame, jobs: DataFrame, log: str, checkpoint: str, max_hours: float = registry.MAX_HOURS
+    ticks: DataFrame, jobs: DataFrame | Callable[[], DataFrame], log: str, checkpoint: str, max_hours: float = registry.MAX_HOURS
 ) -> None:
-    """Sweep once per micro-batch of ``ticks(at)``, as of the latest tick in it.
+    """Sweep on every tick of ``ticks(at)``: a job is failed at the first tick at which it is stuck, and never again.
 
-    Each batch owns the folder ``batch=<id>`` of the log and overwrites it, so a batch replayed
-    after a crash leaves the same log.
+    ``jobs`` is the registry, or a function that gives it as it is when a batch runs; what earlier batches failed is left out.
+    Each batch owns the folder ``batch=<id>`` of the log and overwrites it, so a batch replayed after a crash leaves the same
+    log, which has one row for each swept job.
     """
 
     def sweep(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.agg(F.max("at").cast("string").alias("at")).first()["at"]
-        if latest is not None:
-            updates = registry.stuck_updates(jobs, latest, max_hours).withColumn("seq", F.lit(batch_id))
-            updates.write.mode("overwrite").parquet(f"{log}/batch={batch_id:012d}")
-
-    ticks.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+        # The ticks of one batch in order, one small row.
+        order = batch.where("at is not null").agg(F.array_sort(F.collect_set("at")).alias("ticks"))
+        current = jobs() if callable(jobs) else jobs
+        earlier = _earlier(batch.sparkSession, log, batch_id)
+        if earlier is not None:
+            current = current.join(earlier.select("job_id"), "job_id", "left_anti")
+        updates = registry.first_stuck(current, order, max_hours).withColumn("seq", F.lit(batch_id))
+        updates.write.mode("overwrite").parquet(f"{log}/batch={batch_id:012d}")
+
+    _each_batch(ticks, sweep, checkpoint)
 
 
 # ---- submission guard ----------------------------------------------------------------------

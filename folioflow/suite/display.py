@@ -103,12 +103,12 @@ def _(spark, sf_dir):
 @query(
     "n11_elapsed_hours",
     f"""select event_id, (epoch_us(timestamp '{AS_OF}') - epoch_us(ts)) / 1e6 / 3600 as hours,
-      format('{{:.1f}}', (epoch_us(timestamp '{AS_OF}') - epoch_us(ts)) / 1e6 / 3600) as hours_text from events where ts <= timestamp '{AS_OF}'""",
+      format('{{:.1f}}', (epoch_us(timestamp '{AS_OF}') - epoch_us(ts)) / 1e6 / 3600) as hours_text from events""",
 )
 def _(spark, sf_dir):
     events = derived.table(spark, sf_dir, "events")
     now = F.lit(AS_OF).cast(events.schema["ts"].dataType)
-    return events.where(F.col("ts") <= now).select(
+    return events.select(
         "event_id", fmt.elapsed_hours("ts", now).alias("hours"), fmt.elapsed_hours_text("ts", now).alias("hours_text")
     )
 

@@ -250,7 +250,7 @@ def _(spark, sf_dir):
 
 @query("s3_markdown_scan", sql_with("artifacts", body="select target_key, md from artifacts"))
 def _(spark, sf_dir):
-    return stored.markdown(spark, _stored_markdown(spark, sf_dir), "out/")
+    return stored.markdown(spark, _stored_markdown(spark, sf_dir), "out/").select("target_key", "md")
 
 
 @query("s2_fetch_bytes", sql_with("artifacts", body="select target_key as key, octet_length(encode(md)) as size, md5(md) as digest from artifacts"))

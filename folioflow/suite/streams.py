@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflow.operators import registry
 from folioflow.plans import derived
 from folioflow.plans.derived import AS_OF, sql_with
-from folioflow.session import new_path
+from folioflow.session import materialise, new_path
 from folioflow.sources.objects import put_objects
 from folioflow.streaming import streams
 from folioflow.suite import query
 from folioflow.suite.catalog import SUPPORTED_SQL
-from folioflow.suite.registry import sweep_sql
+from folioflow.suite.registry import COLUMNS
 
 STATUS = {"signup": "pending", "view": "running", "purchase": "success", "error": "failed", "click": "skipped"}
 STATUS_SQL = "case event_type when 'signup' then 'pending' when 'view' then 'running' when 'purchase' then 'success' when 'error' then 'failed' else 'skipped' end"
@@ -36,11 +38,17 @@ def _collect(spark, stream):
     sql_with("files", "jobs", body=f"select key as file_key, doc_id as file_size from files where {SUPPORTED_SQL} and key not in (select file_key from jobs)"),
 )
 def _(spark, sf_dir):
-    root = new_path(spark, "incoming")
-    files = derived.files(spark, sf_dir).select("key", F.repeat(F.lit("x"), F.col("doc_id").cast("int")).alias("body"))
-    put_objects(files, root, "key", "body").write.parquet(new_path(spark, "written"))
-    jobs = streams.discovered_jobs(streams.file_arrivals(spark, root), derived.jobs(spark, sf_dir), AS_OF)
-    return _collect(spark, jobs).select("file_key", "file_size")
+    """Three listings, between which files arrive; each file without a job is logged once."""
+    root, log, ticks = new_path(spark, "incoming"), new_path(spark, "discovered"), new_path(spark, "ticks")
+    progress = new_path(spark, "progress")
+    files = derived.files(spark, sf_dir).select("doc_id", "key", F.repeat(F.lit("x"), F.col("doc_id").cast("int")).alias("body"))
+    for step in range(3):
+        put_objects(files.where(F.col("doc_id") % 3 == step), root, "key", "body").write.parquet(new_path(spark, "written"))
+        at = F.to_timestamp_ntz(F.lit(f"{AS_OF[:11]}0{step}:00:00")).alias("at")
+        spark.range(1).select(at).write.mode("append").parquet(ticks)
+        stream = streams.read_stream(spark, ticks, spark.read.parquet(ticks).schema, files_per_batch=1)
+        streams.discover_on_ticks(stream, root, lambda: derived.jobs(spark, sf_dir), log, progress)
+    return spark.read.option("recursiveFileLookup", True).parquet(log).select("file_key", "file_size")
 
 
 def _status_events(spark, sf_dir):
@@ -76,14 +84,40 @@ def _(spark, sf_dir):
     return streams.current_jobs(base, _collect(spark, _status_events(spark, sf_dir)), "at")
 
 
-@query("r3_stuck_sweep", sql_with("jobs", body=sweep_sql("(select max(ts) from events)")))
+TICKS_SQL = "select distinct cast(date_trunc('day', ts) as timestamp) as t from events"
+
+
+@query(
+    "r3_stuck_sweep",
+    sql_with(
+        "jobs",
+        extra=f"""ticks as ({TICKS_SQL}),
+          found as (select job_id, min(t) as tick, bool_or(started_at is null) as never from jobs, ticks
+            where status = 'running' and (started_at is null or t > started_at + interval '2' hour) group by job_id)""",
+        body="select "
+        + ", ".join(
+            {
+                "status": "case when tick is not null then 'failed' else status end as status",
+                "error": f"case when tick is null then error when never then '{registry.NEVER_STARTED}' else '{registry.TOO_LONG.format(2.0)}' end as error",
+                "completed_at": "coalesce(tick, completed_at) as completed_at",
+            }.get(c, f"jobs.{c}")
+            for c in COLUMNS.split(", ")
+        )
+        + " from jobs left join found on found.job_id = jobs.job_id",
+    ),
+)
 def _(spark, sf_dir):
-    jobs, log = derived.jobs(spark, sf_dir), new_path(spark, "sweeps")
+    """One tick a day in four micro-batches; the first tick at which a job is stuck fails it."""
+    jobs, log, path = derived.jobs(spark, sf_dir), new_path(spark, "sweeps"), new_path(spark, "ticks")
     # Ticks carry the clock of the job table, so no zone enters.
-    ticks = _event_stream(spark, sf_dir).select(F.col("ts").alias("at"))
+    days = derived.table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).distinct()
+    days = materialise(days.withColumn("part", F.ntile(4).over(Window.orderBy("at"))), "days")
+    for part in range(1, 5):
+        days.where(F.col("part") == part).select("at").coalesce(1).write.mode("append").parquet(path)
+    ticks = streams.read_stream(spark, path, days.select("at").schema, files_per_batch=1)
     streams.sweep_on_ticks(ticks, jobs, log, new_path(spark, "progress"))
     updates = spark.read.option("recursiveFileLookup", True).parquet(log)
-    return streams.current_jobs(jobs, updates, "seq")
+    return registry.apply_updates(jobs, updates.drop("seq"))
 
 
 @query("r4_submission_guard", sql_with("jobs", body="select distinct file_key from jobs"))

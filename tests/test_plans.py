@@ -7,16 +7,17 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folioflow import suite
 from folioflow.operators import registry
 from folioflow.plans import derived, runs, submission, views
 
 #: The only queries that may run Python; all others stay in built-in expressions.
-PYTHON = ("t1_", "t5_", "t8_direction_fix", "t9_", "a4_", "e1_", "k1_", "s2_", "s5_")
+PYTHON = ("t1_", "t5_", "t8_direction_fix", "t9_", "a4_", "e1_", "k1_", "s1_", "s2_", "s5_")
 
 #: These write tables or run streams before they return a plan.
 EAGER = ("r", "c2_", "c3_", "k2_", "k7_", "k8_", "s2_", "s3_", "s5_", "s6_")
 
-PLAIN = [n for n in entry.queries() if not n.startswith(EAGER)]
+PLAIN = [n for n in suite.QUERIES if not n.startswith(EAGER)]
 
 
 def plan(frame):
@@ -24,12 +25,12 @@ def plan(frame):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(suite.QUERIES) == set(suite.ORACLE) and set(suite.QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", PLAIN)
 def test_no_cross_join_and_python_only_where_needed(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(suite.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert bool(re.search("ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas", text)) == name.startswith(PYTHON)
 

@@ -17,18 +17,17 @@ def test_discovery_sees_each_file_once_across_restarts(spark, make_jobs, tmp_pat
     root, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
     jobs = make_jobs({"job_id": "1", "file_key": "a/known.pdf"})
 
-    def run():
-        arrivals = streams.file_arrivals(spark, str(root))
-        streams.run_to_end(streams.discovered_jobs(arrivals, jobs, "2024-01-05 00:00:00"), out, progress)
-        return sorted(r["file_key"] for r in spark.read.parquet(out).collect())
-
-    put(root, "a/known.pdf", "a/new.pdf", "a/readme.txt")
-    assert run() == ["a/new.pdf"]
-    assert run() == ["a/new.pdf"]
+    def run(*times):
+        streams.discover_on_ticks(ticks(spark, str(tmp_path / "ticks"), *times), str(root), lambda: jobs, out, progress)
+        return sorted(r["file_key"] for r in spark.read.option("recursiveFileLookup", True).parquet(out).collect())
+
+    put(root, "a/known.pdf", "a/new.pdf", "a/readme.txt", "_hidden/.x/_y.pdf")
+    assert run("2024-01-05 00:00:00") == ["_hidden/.x/_y.pdf", "a/new.pdf"]
+    assert run() == ["_hidden/.x/_y.pdf", "a/new.pdf"]
     put(root, "b/later.png")
-    assert run() == ["a/new.pdf", "b/later.png"]
-    new = registry.insert(jobs, spark.read.parquet(out))
-    assert new.where("status = 'pending'").count() == 3
+    assert run("2024-01-05 00:05:00", "2024-01-05 00:10:00") == ["_hidden/.x/_y.pdf", "a/new.pdf", "b/later.png"]
+    new = registry.insert(jobs, spark.read.option("recursiveFileLookup", True).parquet(out))
+    assert new.where("status = 'pending'").count() == 4
 
 
 def test_log_and_base_give_the_same_table_as_single_updates(spark, make_jobs, tmp_path):

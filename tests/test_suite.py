@@ -1,4 +1,4 @@
-"""A few queries of each family against their SQL; tools/check_oracle.py runs all of them."""
+"""Every query against its SQL."""
 
 import sys
 
@@ -6,18 +6,17 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from folioflow import suite
 
 sys.path.insert(0, "tools")
 
 
-@pytest.mark.parametrize(
-    "name", ["j1_catalog_status", "w1_latest_per_key", "k5_update", "c1_submission", "c4_stuck_sweep", "u1_bundle_manifest", "c6_text_report", "t9_arabic_chain", "c3_job_lifecycle", "r2_live_registry"]
-)
+@pytest.mark.parametrize("name", sorted(suite.QUERIES))
 def test_query_agrees_with_its_sql(spark, name):
     from check_oracle import canonical, connect
 
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = connect(SF).sql(entry.oracle_sql()[name]).df()
+    got = suite.QUERIES[name](spark, SF).toPandas()
+    want = connect(SF).sql(suite.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 
