@@ -1,8 +1,9 @@
 """I-Match document fingerprints with randomised lexicons.
 
-The lexicon holds the terms whose inverse document frequency lies in a chosen band.  Several random parts of it are drawn,
-from every second term down to one in a thousand.  A document keeps its terms of a part, sorted and distinct, and their hash
-is one signature; the fingerprint is all signatures.  Dense parts tell near-equal texts apart, sparse ones survive edits.
+The lexicon holds the terms whose inverse document frequency lies in a chosen band.  Beside the whole lexicon, random parts
+of it are drawn, from one in 16 of its terms down to one in 512.  A document keeps its terms of a part, sorted and distinct,
+and their hash is one signature; the fingerprint is all signatures.  Any edit changes the first one; the sparser a part, the
+more edits its signature survives, and the longer a text must be to have one.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from folioflow.llm.frames import with_fields
 #: terms on average, so the lexicon has at most D * exp(IDF_HIGH) terms, however many documents there are.
 IDF_LOW, IDF_HIGH = 2.302, 6.908
 #: A part of level j holds one in 2**j terms; DRAWS parts of each level.
-LEVELS, DRAWS = range(1, 11), 6
-PARTS = len(LEVELS) * DRAWS
+LEVELS, DRAWS = range(4, 10), 10
+#: The whole lexicon and the drawn parts.
+PARTS = 1 + len(LEVELS) * DRAWS
 #: Distinct terms a task counts before it hands them on.
 HELD_TERMS = 1_000_000
 NO_TERM = "00000000"
@@ -73,11 +75,11 @@ class Parts:
         self.place = {t: i for i, t in enumerate(lexicon)}
         digests = [hashlib.blake2b(t.encode(), digest_size=8 + 2 * DRAWS).digest() for t in lexicon]
         self.hash = np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64)
-        mask = np.zeros(len(lexicon), np.uint64)
+        mask = np.ones(len(lexicon), np.uint64)
         for draw in range(DRAWS):
             drawn = np.array([int.from_bytes(d[8 + 2 * draw : 10 + 2 * draw], "little") for d in digests], np.int64)
             for k, level in enumerate(LEVELS):
-                mask |= (drawn % (1 << level) == 0).astype(np.uint64) << np.uint64(k * DRAWS + draw)
+                mask |= (drawn % (1 << level) == 0).astype(np.uint64) << np.uint64(1 + k * DRAWS + draw)
         self.mask = mask
 
     def signatures(self, text: str) -> str:
