@@ -38,7 +38,7 @@ def terms(text: str) -> set[str]:
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``term``, ``n`` (documents with it); the NULL term has the number of all documents.  NULL texts count as empty."""
+    """``term``, ``n`` (documents with it).  NULL texts count as empty."""
 
     def run(batches):
         import pyarrow as pa
@@ -48,7 +48,6 @@ def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
         counts: Counter = Counter()
         for batch in batches:
-            counts[None] += batch.num_rows
             for value in batch.column(0):
                 counts.update(terms(value.as_py() or ""))
                 if len(counts) > HELD_TERMS:
@@ -61,10 +60,9 @@ def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def lexicon(docs: DataFrame, text: str = "text", idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> list[str]:
     """Terms within the band, sorted; see ``IDF_LOW`` for their greatest number."""
-    counted = frequencies(docs, text)
-    every = counted.groupBy().agg(F.max(F.when(F.col("term").isNull(), F.col("n"))).alias("every"))
-    idf = F.ln(F.col("every") / F.col("n"))
-    banded = counted.where("term is not null").crossJoin(F.broadcast(every)).where(idf.between(idf_low, idf_high))
+    every = docs.count()
+    idf = F.ln(F.lit(every) / F.col("n"))
+    banded = frequencies(docs, text).where(idf.between(idf_low, idf_high))
     return sorted(r["term"] for r in banded.select("term").collect())
 
 

@@ -70,8 +70,7 @@ def dictionary(docs: DataFrame, text: str = "text", share: float = SHARE) -> Dat
     """``word``: lower-case words of ``WORD`` letters that at least ``share`` of the documents have; counted over all of them."""
     letters = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?<!\p{L})\p{L}{%d,%d}+(?!\p{L})" % WORD), F.lit(0))
     words = docs.select(F.explode(F.array_distinct(letters)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    every = docs.select(F.count(F.lit(1)).alias("every"))
-    return words.join(F.broadcast(every), F.col("n") >= F.col("every") * share).select("word")
+    return words.where(F.col("n") >= docs.count() * share).select("word")
 
 
 def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
