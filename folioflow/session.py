@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,16 +43,38 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     master = spark.conf.get("spark.master", None) or ""
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     fallback = tempfile.mkdtemp(prefix="folioflow-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 
+#: Where a run keeps what it writes for itself, while :func:`run_folder` is open.
+RUN_FOLDER = "spark.folioflow.run.dir"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; no run ever reuses or clears another run's path."""
-    return f"{shared_dir(spark)}/folioflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the run's folder or the shared one; no run ever reuses or clears another run's path."""
+    folder = spark.conf.get(RUN_FOLDER, "") or f"{shared_dir(spark)}/folioflow"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """A folder of the caller's own for all that is materialised inside the block; it goes at the end of the block.
+
+    Results must have been written elsewhere, or collected, by then.
+    """
+    before = spark.conf.get(RUN_FOLDER, "")
+    path = new_path(spark, name)
+    spark.conf.set(RUN_FOLDER, path)
+    try:
+        yield path
+    finally:
+        spark.conf.set(RUN_FOLDER, before)
+        held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from folioflow.suite.registry import COLUMNS
 
 
 def page_extractor(content: bytes, name: str, lang: str | None, backend: str | None) -> Extracted:
-    """Takes UTF-8 pages: the page as Markdown, one layout entry per 2000 characters, one image."""
+    """Takes UTF-8 pages: the page as Markdown, one layout entry per 2000 characters, two images, not in name order."""
     body = content.decode("utf-8")
     if 'lang="de"' in body:
         raise ValueError(f"no model for {name}")
@@ -34,7 +34,7 @@ def page_extractor(content: bytes, name: str, lang: str | None, backend: str | N
     stem = name.rpartition(".")[0]
     layout = json.dumps({"pdf_info": [{}] * (1 + len(body) // 2000)})
     digest = hashlib.md5(content).hexdigest().encode()
-    return Extracted(f"# {stem}\n\n![page](images/{stem}.png)\n\n{body}\n", layout, ((f"{stem}.png", digest),))
+    return Extracted(f"# {stem}\n\n![page](images/{stem}.png)\n\n{body}\n", layout, ((f"{stem}.png", digest), (f"{stem}-0.png", digest)))
 
 
 PAGE_ENDING = "case page_id % 6 when 0 then '.html' when 1 then '.PDF' else '.png' end"
@@ -111,8 +111,8 @@ def _(spark, sf_dir):
 @query(
     "k2_image_rows",
     PAGES_RUN
-    + """ select concat('out/', stem, '.md') as target_key, 0 as position, concat('out/', stem, '/images/', stem, '.png') as key,
-      'image/png' as content_type, md5(html) as content from run where status = 'success'""",
+    + """ select concat('out/', stem, '.md') as target_key, position, concat('out/', stem, '/images/', stem, ending) as key,
+      'image/png' as content_type, md5(html) as content from run, (values (0, '-0.png'), (1, '.png')) as i(position, ending) where status = 'success'""",
 )
 def _(spark, sf_dir):
     images = stored.explode_images(_batch(spark, sf_dir).artifacts)
@@ -288,8 +288,8 @@ def _(spark, sf_dir):
 @query(
     "s6_image_scan",
     PAGES_RUN
-    + """ select concat('out/', stem, '/images/', stem, '.png') as key, 32::bigint as size, concat('out/', stem, '/images/') as images_prefix
-      from run where status = 'success'""",
+    + """ select concat('out/', stem, '/images/', stem, ending) as key, 32::bigint as size, concat('out/', stem, '/images/') as images_prefix
+      from run, (values ('-0.png'), ('.png')) as i(ending) where status = 'success'""",
 )
 def _(spark, sf_dir):
     root = new_path(spark, "objects")

@@ -190,6 +190,10 @@ def _(spark, sf_dir):
     return views.result_view(derived.jobs(spark, sf_dir), derived.artifacts(spark, sf_dir), "https://store/")
 
 
+GONE_SQL = """case when file_size % 5 = 0 then concat(file_key, '.gone') else file_key end as file_key,
+  case when file_size % 7 = 0 then concat(target_key, '.gone') else target_key end as target_key"""
+
+
 @query(
     "c9_comparison",
     sql_with(
@@ -198,16 +202,15 @@ def _(spark, sf_dir):
         "artifacts",
         body=f"""select job_id, file_key as title, case when f.key is not null then concat('src://', f.key) end as source_url,
           case when f.key is null then null when contains(lower(f.key), '.pdf') then 'pdf' else 'image' end as source_kind, r.md as result_md
-          from (select * from jobs where status = 'success') j left join (select * from files where {SUPPORTED_SQL}) f on f.key = j.file_key
-          left join (select target_key, {REWRITE_SQL.format('https://store/')} as md from artifacts where lang is not null) r
-          on r.target_key = j.target_key""",
+          from (select * replace ({GONE_SQL}) from jobs where status = 'success') j left join files f on f.key = j.file_key
+          left join (select target_key, {REWRITE_SQL.format('https://store/')} as md from artifacts) r on r.target_key = j.target_key""",
     ),
 )
 def _(spark, sf_dir):
-    # Some sources and some results are absent, so that either side can be NULL.
-    files = catalog.supported(derived.files(spark, sf_dir))
-    results = derived.artifacts(spark, sf_dir).where("lang is not null")
-    return views.comparison(derived.jobs(spark, sf_dir), files, results, "src://", "https://store/")
+    # Some jobs name a source or a result that is no longer there, so that either side can be NULL.
+    gone = lambda c, n: F.when(F.col("file_size") % n == 0, F.concat(c, F.lit(".gone"))).otherwise(F.col(c))
+    jobs = derived.jobs(spark, sf_dir).withColumns({"file_key": gone("file_key", 5), "target_key": gone("target_key", 7)})
+    return views.comparison(jobs, derived.files(spark, sf_dir), derived.artifacts(spark, sf_dir), "src://", "https://store/")
 
 
 @query(
@@ -224,16 +227,17 @@ def _(spark, sf_dir):
         "jobs",
         "files",
         "artifacts",
+        "images",
         body="""select job_id, file_key as object_key from jobs join files on key = file_key
-          union all select job_id, target_key as object_key from jobs join artifacts using (target_key)""",
+          union all select job_id, target_key as object_key from jobs join artifacts using (target_key)
+          union all select job_id, key as object_key from jobs join images on starts_with(key, concat(left(target_key, length(target_key) - 3), '/images/'))""",
     ),
 )
 def _(spark, sf_dir):
     jobs = derived.jobs(spark, sf_dir)
-    none = derived.images(spark, sf_dir).where("false")
     results = derived.artifacts(spark, sf_dir).select(F.col("target_key").alias("key"), F.length("md").cast("long").alias("size"))
-    parts = bundle.manifest(jobs, jobs, derived.files(spark, sf_dir).drop("doc_id"), results.unionByName(none))
-    return parts.where("part <> 'image'").select("job_id", F.col("source_key").alias("object_key"))
+    parts = bundle.manifest(jobs, jobs, derived.files(spark, sf_dir).drop("doc_id"), results.unionByName(derived.images(spark, sf_dir).select("key", "size")))
+    return parts.select("job_id", F.col("source_key").alias("object_key"))
 
 
 FOLDER_SQL = r"left(regexp_replace(regexp_extract(file_key, '[^/]+$', 0), '(.)\.[^.]+$', '\1'), 80)"

@@ -146,3 +146,14 @@ def test_first_stuck_tick_counts(spark, make_jobs):
     ticks = spark.createDataFrame([(at,)], "t array<string>").select(F.transform("t", lambda x: x.cast("timestamp")).alias("ticks"))
     got = {r.job_id: str(r.completed_at) for r in registry.first_stuck(table, ticks).collect()}
     assert got == {"a": at[1], "n": at[0]}
+
+
+def test_a_run_folder_goes_with_its_block(spark):
+    import os
+
+    from folioflow.session import materialise, run_folder
+
+    with run_folder(spark, "trial") as path:
+        assert materialise(spark.range(3), "x").count() == 3
+        assert os.listdir(path)
+    assert not os.path.exists(path)
