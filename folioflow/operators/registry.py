@@ -70,6 +70,11 @@ def has_result(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.nullif("target_key", F.lit("")).isNotNull())
 
 
+def last_submissions(jobs: DataFrame, key: str = "file_key") -> DataFrame:
+    """``last_submitted`` of each key."""
+    return jobs.groupBy(key).agg(F.max("submitted_at").alias("last_submitted"))
+
+
 def keys_in(jobs: DataFrame, *statuses: str) -> DataFrame:
     """Distinct keys with a job in one of the states (any state if none is named).
 

@@ -137,6 +137,22 @@ def _texts(spark, sf_dir):
     return derived.files(spark, sf_dir).join(body, "doc_id").drop("doc_id")
 
 
+@query(
+    "u2_outcome_union",
+    sql_with(
+        "files",
+        body=r"""select key as file_key, size as file_size, case when ending = '' or ending = '.txt' then 'skipped' when contains(text, '@') then 'failed' else 'success' end as status,
+          case when ending = '' or ending = '.txt' then concat('Unsupported format: ', ending)
+            when contains(text, '@') then concat('pipeline cannot read ', regexp_extract(key, '[^/]+$', 0)) end as error
+          from (select f.*, d.text, lower(regexp_extract(key, '\.[^./]+$', 0)) as ending from files f join documents d on d.doc_id = f.doc_id)""",
+    ),
+)
+def _(spark, sf_dir):
+    """Skipped, failed and finished documents of one run, as one table."""
+    run = runs.run_batch(_texts(spark, sf_dir), text_extractor, SOURCE_PREFIX, TARGET_PREFIX, Defaults("ch", "never", "pipeline"))
+    return run.results.select("file_key", "file_size", "status", "error")
+
+
 def _pending_run(spark, sf_dir):
     jobs = derived.jobs(spark, sf_dir)
     clocks = (AS_OF, AS_OF.replace("00:00:00", "00:01:00"))

@@ -9,6 +9,8 @@ from folioflow.operators import registry
 from folioflow.plans import derived
 from folioflow.plans.derived import AS_OF, sql_with
 from folioflow.schemas import JOB_SCHEMA, TERMINAL, UPDATABLE
+from folioflow.session import new_path
+from folioflow.sources import jobs as stored
 from folioflow.suite import query
 
 COLUMNS = ", ".join(f.name for f in JOB_SCHEMA.fields)
@@ -17,7 +19,10 @@ LATEST_SQL = f"select {COLUMNS} from jobs qualify row_number() over (partition b
 
 @query("s7_job_table", sql_with("jobs", body=f"select {COLUMNS} from jobs"))
 def _(spark, sf_dir):
-    return derived.jobs(spark, sf_dir)
+    """Through a snapshot on disk."""
+    root = new_path(spark, "registry")
+    stored.save_jobs(derived.jobs(spark, sf_dir), root, read_version=0)
+    return stored.load_jobs(spark, root)
 
 
 @query("s8_key_manifest", sql_with("jobs", "files", body=f"select {COLUMNS} from jobs where file_key in (select key from files where ends_with(key, '.pdf'))"))
@@ -46,7 +51,7 @@ def _(spark, sf_dir):
 
 @query("a2_last_submission", sql_with("jobs", body="select file_key, max(submitted_at) as last_submitted from jobs group by file_key"))
 def _(spark, sf_dir):
-    return derived.jobs(spark, sf_dir).groupBy("file_key").agg(F.max("submitted_at").alias("last_submitted"))
+    return registry.last_submissions(derived.jobs(spark, sf_dir))
 
 
 @query(
@@ -177,8 +182,12 @@ def _new_rows(spark, sf_dir, jobs):
 
 @query("k4_insert", sql_with("jobs", "files", body=f"select {COLUMNS} from jobs union all {NEW_SQL}"))
 def _(spark, sf_dir):
-    jobs = derived.jobs(spark, sf_dir)
-    return registry.insert(jobs, _new_rows(spark, sf_dir, jobs))
+    """Read one snapshot, insert, and commit the next one."""
+    root = new_path(spark, "registry")
+    first = stored.save_jobs(derived.jobs(spark, sf_dir), root)
+    jobs = stored.load_jobs(spark, root, first)
+    second = stored.save_jobs(registry.insert(jobs, _new_rows(spark, sf_dir, jobs)), root, read_version=first)
+    return stored.load_jobs(spark, root, second)
 
 
 @query(

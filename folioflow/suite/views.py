@@ -115,12 +115,17 @@ def _(spark, sf_dir):
         "files",
         "jobs",
         extra=DECISION_SQL,
-        body="select request_id, file_key from judged where (select count(*) from judged where code <> 202) = 0",
+        body="""select 'all' as batch, file_key from judged where (select count(*) from judged where code <> 202) = 0
+          union all select 'accepted' as batch, file_key from judged where code = 202""",
     ),
 )
 def _(spark, sf_dir):
-    jobs = submission.accepted_jobs(_decisions(spark, sf_dir), strict=True)
-    return jobs.select(F.col("job_id").alias("request_id"), "file_key")
+    """All requests together, one of which is refused, and those that were accepted."""
+    decisions = _decisions(spark, sf_dir)
+    batches = {"all": decisions, "accepted": decisions.where("code = 202")}
+    both = [submission.accepted_jobs(d, strict=True).withColumn("batch", F.lit(name)) for name, d in batches.items()]
+    jobs = both[0].union(both[1])
+    return jobs.select("batch", "file_key")
 
 
 @query(
@@ -326,23 +331,6 @@ def _(spark, sf_dir):
     return ordered.select("job_id", "file_key", "file_size", "page_count", "duration_us", "status", "error")
 
 
-@query(
-    "u2_outcome_union",
-    sql_with(
-        "files",
-        body=f"""select key as file_key, size as file_size, case when not ok then 'skipped' when size > 2000000 then 'failed' else 'success' end as status,
-          case when not ok then concat('Unsupported format: ', lower(regexp_extract(key, '^.+(\\.[^.]+)$', 1))) when size > 2000000 then 'too large' end as error
-          from (select *, {SUPPORTED_SQL} as ok from files)""",
-    ),
-)
-def _(spark, sf_dir):
-    routed = catalog.split_supported(derived.files(spark, sf_dir).select("key", "size"))
-    large, todo = F.col("size") > 2000000, F.col("status").isNull()
-    status = F.when(todo, F.when(large, "failed").otherwise("success")).otherwise(F.col("status"))
-    error = F.when(todo, F.when(large, "too large")).otherwise(F.col("error"))
-    return routed.select(F.col("key").alias("file_key"), F.col("size").alias("file_size"), status.alias("status"), error.alias("error"))
-
-
 REPORT_SQL = _over_results(
     more=""", total as (select count(*) as t, count(*) filter (where status = 'success') as s, count(*) filter (where status = 'failed') as f,
         count(*) filter (where status = 'skipped') as k from results),

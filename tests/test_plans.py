@@ -15,7 +15,7 @@ from folioflow.plans import derived, runs, submission, views
 PYTHON = ("t1_", "t5_", "t8_direction_fix", "t9_", "a4_", "e1_", "k1_", "s1_", "s2_", "s5_")
 
 #: These write tables or run streams before they return a plan.
-EAGER = ("r", "c2_", "c3_", "k2_", "k7_", "k8_", "s2_", "s3_", "s5_", "s6_")
+EAGER = ("r", "c2_", "c3_", "k2_", "k4_insert", "k7_", "k8_", "s2_", "s3_", "s5_", "s6_", "s7_", "u2_")
 
 PLAIN = [n for n in suite.QUERIES if not n.startswith(EAGER)]
 
