@@ -47,12 +47,19 @@ class ConcurrentChange(RuntimeError):
     """Another writer has changed the table since it was read."""
 
 
-def save_jobs(jobs: DataFrame, root: str, read_version: int | None = None) -> int:
+def folded_upto(spark: SparkSession, root: str, version: int) -> int:
+    """Last batch of a status log that a snapshot holds, -1 for none."""
+    found = _numbers(spark, f"{root}/folded={version:012d}", r"batch=(\d+)") if version else []
+    return max(found, default=-1)
+
+
+def save_jobs(jobs: DataFrame, root: str, read_version: int | None = None, folded: int | None = None) -> int:
     """Write the next snapshot.  The one being read stays as it is, so ``jobs`` may derive from it.
 
     ``read_version`` is the snapshot ``jobs`` derives from; a table that has changed since then is not overwritten.  A number
     is claimed by creating its claim file, which one of two writers can do; the other one fails.  A claim without snapshot is
-    left by a writer that died; its number is not used again.
+    left by a writer that died; its number is not used again.  ``folded`` is the last batch of a status log that ``jobs`` holds;
+    without it the snapshot holds what the one before held.
     """
     spark = jobs.sparkSession
     path, fs = _store(spark, root)
@@ -65,5 +72,8 @@ def save_jobs(jobs: DataFrame, root: str, read_version: int | None = None) -> in
         fs.create(claim, False).close()
     except Py4JJavaError as taken:
         raise ConcurrentChange(f"another writer makes version {number} of {root}") from taken
+    held = folded_upto(spark, root, latest) if folded is None else folded
+    if held >= 0:  # before the snapshot counts
+        fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"folded={number:012d}/batch={held:012d}"), True).close()
     align_jobs(jobs).write.mode("errorifexists").parquet(f"{root}/snapshot={number:012d}")
     return number

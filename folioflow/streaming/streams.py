@@ -13,6 +13,7 @@ from folioflow.functions import paths
 from folioflow.operators import registry
 from folioflow.schemas import TERMINAL
 from folioflow.sources.catalog import list_files
+from folioflow.sources.jobs import folded_upto, latest_version, load_jobs, save_jobs
 
 #: A second submission of a key counts as a repeat while the first job may still be running.
 GUARD_DELAY = "2 hours"
@@ -61,12 +62,7 @@ def _each_batch(ticks: DataFrame, action: Callable[[DataFrame, int], None], chec
 
 def _earlier(spark: SparkSession, log: str, batch_id: int) -> DataFrame | None:
     """The log of the batches before ``batch_id``; None if there are none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if batch_id == 0 or not fs.exists(path):
-        return None
-    names = [status.getPath().getName() for status in fs.listStatus(path)]
-    before = [f"{log}/{n}" for n in names if n.startswith("batch=") and int(n.removeprefix("batch=")) < batch_id]
+    before = [f"{log}/batch={n:012d}" for n in _batches(spark, log) if n < batch_id]
     return spark.read.parquet(*before) if before else None
 
 
@@ -91,6 +87,44 @@ def current_jobs(base: DataFrame, log: DataFrame, order: str) -> DataFrame:
     return registry.update(base, log, order)
 
 
+def log_batches(updates: DataFrame, log: str, checkpoint: str) -> None:
+    """Append a stream of update rows to a log with one folder for each micro-batch; a replayed batch overwrites its own."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id:012d}")
+
+    _each_batch(updates, append, checkpoint)
+
+
+def _batches(spark: SparkSession, log: str) -> list[int]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def live_jobs(spark: SparkSession, base: str, log: str, order: str) -> DataFrame:
+    """The table at ``base`` (see :mod:`folioflow.sources.jobs`) with the batches of the log that it does not hold yet."""
+    version = latest_version(spark, base)
+    jobs, held = load_jobs(spark, base, version), folded_upto(spark, base, version)
+    newer = [f"{log}/batch={n:012d}" for n in _batches(spark, log) if n > held]
+    return current_jobs(jobs, spark.read.parquet(*newer), order) if newer else jobs
+
+
+def compact(spark: SparkSession, base: str, log: str, order: str) -> int:
+    """Fold the batches of the log into the next snapshot of ``base``, so that later reads fold only newer ones.
+
+    Batches must be complete and in order of time: an update of a later batch counts after those of earlier ones.
+    """
+    version, done = latest_version(spark, base), _batches(spark, log)
+    if not done or done[-1] <= folded_upto(spark, base, version):
+        return version
+    upto = done[-1]
+    return save_jobs(live_jobs(spark, base, log, order), base, read_version=version, folded=upto)
+
+
 def watched_status(events: DataFrame, *order: str) -> DataFrame:
     """What a poller that stops at the first terminal state shows last, per job.
 
@@ -133,9 +167,32 @@ def sweep_on_ticks(
 # ---- submission guard ----------------------------------------------------------------------
 
 
+def first_of_batch(requests: DataFrame, key: str = "file_key", at: str = "at") -> DataFrame:
+    """Of the rows a task reads at once, the earliest of each key, and the latest of all for the watermark.
+
+    The guard admits one row of a key in a micro-batch at most, so nothing is lost, and a hot key is shuffled as one row for
+    each Arrow batch instead of all its rows.
+    """
+
+    def reduce(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order = pc.sort_indices(batch.column(at), null_placement="at_start").to_pylist()
+            keys, first = batch.column(key).to_pylist(), {}
+            for i in order:
+                first.setdefault(keys[i], i)
+            yield batch.take(pa.array(sorted({*first.values(), order[-1]})))
+
+    return requests.mapInArrow(reduce, requests.schema)
+
+
 def guarded_submissions(requests: DataFrame, delay: str = GUARD_DELAY) -> DataFrame:
     """Drop repeats of a ``file_key`` within ``delay`` of its first request ``(file_key, at)``.
 
     State is one timestamp per key and leaves with the watermark.
     """
-    return requests.withWatermark("at", delay).dropDuplicatesWithinWatermark(["file_key"])
+    return first_of_batch(requests).withWatermark("at", delay).dropDuplicatesWithinWatermark(["file_key"])

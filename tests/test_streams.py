@@ -103,3 +103,31 @@ def test_a_crash_in_the_middle_is_resumed_without_loss_or_repeats(spark, tmp_pat
     assert 0 < spark.read.parquet(out).count() < 4
     streams.run_to_end(stream(), out, progress)
     assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+
+
+def test_compaction_leaves_newer_batches_to_fold(spark, make_jobs, tmp_path):
+    from folioflow.sources import jobs as stored
+
+    base, log, source, progress = (str(tmp_path / n) for n in ("base", "log", "source", "progress"))
+    stored.save_jobs(make_jobs({"job_id": "a", "file_key": "x"}, {"job_id": "b", "file_key": "y"}), base)
+
+    def report(*rows):
+        for row in rows:
+            spark.createDataFrame([row], "job_id string, seq int, status string").coalesce(1).write.mode("append").parquet(source)
+        stream = streams.read_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+        streams.log_batches(stream, log, progress)
+        return {k: v["status"] for k, v in by(streams.live_jobs(spark, base, log, "seq"), "job_id").items()}
+
+    assert report(("a", 1, "running"), ("b", 1, "running")) == {"a": "running", "b": "running"}
+    assert streams.compact(spark, base, log, "seq") == 2 and streams.compact(spark, base, log, "seq") == 2
+    assert stored.folded_upto(spark, base, 2) == 1 and by(stored.load_jobs(spark, base), "job_id")["a"]["status"] == "running"
+    assert report(("a", 2, "success")) == {"a": "success", "b": "running"}
+    plan = streams.live_jobs(spark, base, log, "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "batch=000000000002" in plan and "batch=000000000000" not in plan
+
+
+def test_a_hot_key_is_reduced_before_the_guard(spark):
+    rows = [("hot", f"2024-01-01 00:{k % 60:02d}:00") for k in range(500)] + [("a", "2024-01-01 00:30:00"), ("hot", "2024-01-01 05:00:00")]
+    frame = spark.createDataFrame(rows, "file_key string, at string").select("file_key", F.col("at").cast("timestamp").alias("at")).coalesce(1)
+    got = sorted((r.file_key, str(r.at)) for r in streams.first_of_batch(frame).collect())
+    assert got == [("a", "2024-01-01 00:30:00"), ("hot", "2024-01-01 00:00:00"), ("hot", "2024-01-01 05:00:00")]
