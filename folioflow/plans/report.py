@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import fmt
 
+# The rules of the report; its header lines and labels below are fixed, too.
 RULE, THIN_RULE = "=" * 60, "-" * 60
 
 

@@ -38,6 +38,7 @@ def decide(
     judged = requests.join(known, "file_key", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     ok, free = paths.is_supported("file_key"), F.col("_busy").isNull()
     code = F.when(~ok, 400).when(~free, 409).otherwise(202)
+    # The two messages.
     reason = F.when(~ok, F.concat(F.lit("Unsupported format: "), paths.suffix("file_key"))).when(
         ~free, F.concat(F.lit("Job already running for: "), F.col("file_key"))
     )

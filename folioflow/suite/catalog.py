@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions import paths, text
-from folioflow.plans import derived
-from folioflow.plans.derived import AS_OF, SOURCE_PREFIX, TARGET_PREFIX, sql_with
+from folioflow.suite import derived
+from folioflow.suite.derived import AS_OF, SOURCE_PREFIX, TARGET_PREFIX, sql_with
 from folioflow.session import new_path
 from folioflow.sources import catalog
 from folioflow.sources.objects import put_objects

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions import fmt
-from folioflow.plans import derived
-from folioflow.plans.derived import AS_OF, sql_with
+from folioflow.suite import derived
+from folioflow.suite.derived import AS_OF, sql_with
 from folioflow.suite import query
 from folioflow.suite.views import SIZE_SQL
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from folioflow.functions import fmt, text
 from folioflow.operators import registry
 from folioflow.operators.extraction import Extracted, UnsupportedFormat, extract
-from folioflow.plans import derived, runs
-from folioflow.plans.derived import AS_OF, SOURCE_PREFIX, TARGET_PREFIX, sql_with
+from folioflow.plans import runs
+from folioflow.suite import derived
+from folioflow.suite.derived import AS_OF, SOURCE_PREFIX, TARGET_PREFIX, sql_with
 from folioflow.plans.submission import Defaults
 from folioflow.session import new_path
 from folioflow.sources import artifacts as stored

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import fmt
 from folioflow.operators import registry
-from folioflow.plans import derived
-from folioflow.plans.derived import AS_OF, sql_with
+from folioflow.suite import derived
+from folioflow.suite.derived import AS_OF, sql_with
 from folioflow.schemas import JOB_SCHEMA, TERMINAL, UPDATABLE
 from folioflow.session import new_path
 from folioflow.sources import jobs as stored

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import registry
-from folioflow.plans import derived
-from folioflow.plans.derived import AS_OF, sql_with
+from folioflow.suite import derived
+from folioflow.suite.derived import AS_OF, sql_with
 from folioflow.session import materialise, new_path
 from folioflow.sources.objects import put_objects
 from folioflow.streaming import streams

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import fmt
 from folioflow.operators import registry
-from folioflow.plans import bundle, derived, report, submission, views
-from folioflow.plans.derived import AS_OF, sql_with
+from folioflow.plans import bundle, report, submission, views
+from folioflow.suite import derived
+from folioflow.suite.derived import AS_OF, sql_with
 from folioflow.schemas import TERMINAL
 from folioflow.session import new_path
 from folioflow.sources import catalog

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from folioflow import suite
 from folioflow.operators import registry
-from folioflow.plans import derived, runs, submission, views
+from folioflow.plans import runs, submission, views
+from folioflow.suite import derived
 
 #: The only queries that may run Python; all others stay in built-in expressions.
 PYTHON = ("t1_", "t5_", "t8_direction_fix", "t9_", "a4_", "e1_", "k1_", "s1_", "s2_", "s5_")
