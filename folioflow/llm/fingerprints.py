@@ -129,12 +129,30 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
+def _packed(batches):
+    """``text`` compressed by itself: the shuffle's own compression leaves about half as much again."""
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = pa.array([pack(t.as_py().encode()) for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed, batch.column("tie")], names=["doc_id", "text", "tie"])
+
+
+def _unpacker():
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return lambda data: unpack(data).decode()
+
+
 def against_next(docs: DataFrame, words: list[str]) -> DataFrame:
     """Fingerprints of every text, of its edited text and their likenesses; the next document is that of descending ``doc_id``.
 
     The last document's next is the first (one document is its own).  NULL ids come last, repeated ids follow the hash of
-    their texts, NULL texts are empty.  Texts are shuffled once, by range of ids; a task goes through its rows in order and
-    keeps back only the last, which needs the first of the next range: one row of each range meets in a small window.
+    their texts, NULL texts are empty.  Texts are shuffled once, compressed, by range of ids; a task goes through its rows in
+    order and keeps back only the last, which needs the first of the next range: one row of each range meets in a small window.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(words)
@@ -142,9 +160,10 @@ def against_next(docs: DataFrame, words: list[str]) -> DataFrame:
     given = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     given = given.withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
-    # A stated number, so that both readers below see the same ranges.
-    dealt = given.repartitionByRange(ranges, *order)
     kind = dict(docs.dtypes)["doc_id"]
+    packed = given.mapInArrow(_packed, f"doc_id {kind}, text binary, tie bigint")
+    # A stated number, so that both readers below see the same ranges.
+    dealt = packed.repartitionByRange(ranges, *order)
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -165,11 +184,11 @@ def against_next(docs: DataFrame, words: list[str]) -> DataFrame:
         """Every row of a range but the last."""
         import pyarrow as pa
 
-        parts, held, kind_ = Parts(shared.value), None, None
+        parts, held, kind_, unpack = Parts(shared.value), None, None, _unpacker()
         for batch in batches:
             kind_, rows, ids = batch.schema.field("doc_id").type, [], []
             for id_, value in zip(batch.column("doc_id"), batch.column("text")):
-                text = value.as_py()
+                text = unpack(value.as_py())
                 print_ = parts.signatures(text)
                 if held:
                     ids.append(held[0])
@@ -192,13 +211,13 @@ def against_next(docs: DataFrame, words: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([place, last.column("doc_id"), last.column("text"), first.column("text")], names=["place", "doc_id", "text", "head"])
 
     def outer(batches):
-        parts = Parts(shared.value)
+        parts, unpack = Parts(shared.value), _unpacker()
         for batch in batches:
-            texts, following = batch.column("text").to_pylist(), batch.column("following").to_pylist()
+            texts, following = (list(map(unpack, batch.column(c).to_pylist())) for c in ("text", "following"))
             yield compared(parts, batch.column("doc_id"), [(t, parts.signatures(t), f, parts.signatures(f)) for t, f in zip(texts, following)])
 
     sorted_ = dealt.sortWithinPartitions(*order)
-    one_each = sorted_.mapInArrow(ends, f"place int, doc_id {kind}, text string, head string")
+    one_each = sorted_.mapInArrow(ends, f"place int, doc_id {kind}, text binary, head binary")
     along = Window.orderBy("place")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = F.coalesce(F.lead("head").over(along), F.first("head").over(whole))
