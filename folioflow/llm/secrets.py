@@ -17,9 +17,39 @@ from pyspark.sql import functions as F
 from folioflow.llm import pii
 from folioflow.session import materialise
 
-#: Signs of a candidate: 12 or more with a digit among them, or 20 of any kind; or 8 to 200 in quotes after a sign of assignment.
+#: Names of credentials; lookbehinds are of one width each, so that any expression engine takes them.
+_NAMES = ("token", "secret", "passwd", "apikey", "api_key", "api-key", "password", "credential", "privatekey", "private_key")
+
+
+def _after_name(end: str = "") -> str:
+    """Behind a credential's name, perhaps quoted, a sign of assignment with a space or none on either side, and ``end``."""
+    same = ["|".join(n for n in _NAMES if len(n) == size) for size in sorted({len(n) for n in _NAMES})]
+    forms = [rf"{q}{s}[=:]{t}{end}" for q in ("", r"[\x22']") for s in ("", r"\x20") for t in ("", r"\x20")]
+    return "(?:" + "|".join(rf"(?<=(?i:{names}){form})" for names in same for form in forms) + ")"
+
+
+def _quoted(sign: str, rule: str) -> str:
+    """What lies between two quotes of one kind, the other kind and escaped signs included; ``rule`` stands for its length."""
+    pairs = ((r"\x22", "'"), ("'", r"\x22"))
+    return "(?:" + "|".join(rf"(?<={q})" + rule.format(sign=rf"(?:[{sign.format(q=q, other=other)}]|\\[^\r\n])", q=q) + rf"(?={q})" for q, other in pairs) + ")"
+
+
 _SIGN = "[A-Za-z0-9+/_-]"
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9]){_SIGN}{{12,}}+|{_SIGN}{{20,}}+)|(?<=[=:]\x20?[\x22'])[^\s\x22']{{8,200}}+(?=[\x22'])"
+_ENOUGH = r"(?:(?=[^\s0-9{q}]*+[0-9]){sign}{{12,}}+|{sign}{{20,}}+)"
+#: An unquoted value ends at white space, a quote or the next ``name=``; closing signs at its end are not its own.
+_OPEN = r"(?:[^\s\x22'&,;)\]}]|(?![&,;][A-Za-z0-9_]{1,64}+[=:])[&,;)\]}](?![&,;)\]}]{0,8}+(?:[\s\x22']|\Z)))"
+_PLAIN = r"[!#-%(*+\--:<>-\\^-|~]"
+#: Candidates, the whole value each, the wider ones first: what is assigned to a credential's name, in quotes (with spaces) or
+#: not, from 8 signs; what is assigned in quotes without spaces, from 8; what else stands in quotes or is assigned without, and
+#: at last any run of ``_SIGN``, of 12 signs with a digit among them or 20 of any kind.  None has a greatest length.
+CANDIDATE = "|".join((
+    rf"(?<=[\x22']){_after_name(r'[\x22' + chr(39) + ']')}" + _quoted(r"^{q}\\\r\n", "{sign}{{8,}}+"),
+    r"(?<=[=:]\x20?[\x22'])" + _quoted(r"^{q}\\\s", "{sign}{{8,}}+"),
+    r"(?<=[\x22'])" + _quoted(r"!#-&(-\[\]-~{other}", _ENOUGH),
+    rf"(?:(?<=[=:])|(?<=[=:]\x20))(?![\x22'\s]){_after_name()}{_OPEN}{{8,}}+",
+    rf"(?:(?<==)|(?<=[=:]\x20)){_ENOUGH.format(sign=_PLAIN, q=chr(92) + 'x22' + chr(39) + '&,;)=' + chr(92) + ']}')}(?:={{1,2}}+(?![A-Za-z0-9\x22'=]))?+",
+    rf"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9]){_SIGN}{{12,}}+|{_SIGN}{{20,}}+)",
+))
 #: Code points on either side that are looked at.
 NEAR = 60
 #: Labelled findings a forest learns from at most: those least by hash.
@@ -27,10 +57,12 @@ LABELLED = 20_000
 #: A word is in the dictionary if this share of the documents has it; D distinct words a document bound it to D / SHARE words.
 SHARE = 0.002
 WORD = (3, 8)
+#: Places of a value that are looked at together.
+PIECE = 256
 BUCKETS = 16
 TREES, DEPTH, SEED = 24, 6, 7
 
-_CREDENTIAL = r"(?:token|secret|passw(?:or)?d|api_?key|private_?key|credential)[\x22']?\s*[=:]\s*[\x22']?$"
+_CREDENTIAL = r"(?:token|secret|passw(?:or)?d|api[_-]?key|private_?key|credential)[\x22']?\s*[=:]\s*[\x22']?$"
 
 
 def findings(docs: DataFrame, text: str = "text", path: str = "source") -> DataFrame:
@@ -74,15 +106,22 @@ def dictionary(docs: DataFrame, text: str = "text", share: float = SHARE) -> Dat
 
 
 def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
-    """``value``, ``covered``: the share of each distinct value's signs that lie in a dictionary word."""
-    values = found.select("value").distinct()
-    size = F.length("value")
-    at = values.select("value", F.explode(F.sequence(F.lit(1), size - WORD[0] + 1)).alias("at"))
-    part = at.select("value", "at", F.explode(F.sequence(F.lit(WORD[0]), F.least(F.lit(WORD[1]), size - F.col("at") + 1))).alias("n"))
-    part = part.select("value", "at", "n", F.lower(F.col("value").substr(F.col("at"), F.col("n"))).alias("word"))
-    met = part.join(words, "word").groupBy("value", "at").agg(F.max("n").alias("n"))
-    signs = met.select("value", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("sign")).distinct()
-    return signs.groupBy("value").agg((F.count(F.lit(1)) / F.first(F.length("value"))).alias("covered"))
+    """``__key`` (digest of the value), ``covered``: the share of each distinct value's signs that lie in a dictionary word.
+
+    Only digests go with the parts of a value, and parts are taken from pieces of ``PIECE`` places, so that a long value
+    costs no more than its length.
+    """
+    values = found.select(F.sha2("value", 256).alias("__key"), "value").dropDuplicates(["__key"])
+    size, most = F.length("value"), WORD[1]
+    pieces = values.select("__key", "value", size.alias("size"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / PIECE).cast("int"))).alias("p"))
+    pieces = pieces.where("size > 0").select("__key", "size", (F.col("p") * PIECE).alias("p"), F.col("value").substr(F.col("p") * PIECE + 1, F.lit(PIECE + most - 1)).alias("piece"))
+    long = F.length("piece")
+    at = pieces.where(long >= WORD[0]).select("__key", "size", "p", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), long - WORD[0] + 1))).alias("at"))
+    part = at.select("__key", "size", "p", "piece", "at", F.explode(F.sequence(F.lit(WORD[0]), F.least(F.lit(most), F.length("piece") - F.col("at") + 1))).alias("n"))
+    part = part.select("__key", "size", (F.col("p") + F.col("at")).alias("at"), "n", F.lower(F.col("piece").substr(F.col("at"), F.col("n"))).alias("word"))
+    met = part.join(words, "word").groupBy("__key", "size", "at").agg(F.max("n").alias("n"))
+    signs = met.select("__key", "size", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("sign")).distinct()
+    return signs.groupBy("__key").agg((F.count(F.lit(1)) / F.first("size")).alias("covered"))
 
 
 def _bucket(word: Column) -> list[Column]:
@@ -92,7 +131,8 @@ def _bucket(word: Column) -> list[Column]:
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
     """``found`` with ``covered``, ``transitions`` (share of neighbouring signs of different class) and the vector ``features``."""
-    rows = found.drop("covered").join(coverage(found, words), "value", "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    rows = found.drop("covered").withColumn("__key", F.sha2("value", 256)).join(coverage(found, words), "__key", "left").drop("__key")
+    rows = rows.withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     value, size = F.col("value"), F.length("value")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "b"), "[0-9]+", "0")
     rows = rows.withColumn("transitions", (F.length(F.regexp_replace(classes, "[^ab0]+", "-")) - 1) / F.greatest(size - 1, F.lit(1)))

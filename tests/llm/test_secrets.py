@@ -75,3 +75,32 @@ def test_query_holds_on_the_quarter_it_did_not_learn_from(spark):
     told = got.join(truth, "doc_id").where(langid.held_out(F.col("doc_id")))
     told = told.withColumn("secret", F.expr("""regexp_like(substring(t, greatest(start - 8, 1), start - greatest(start - 8, 1) + 1), 'token = "$')""")).toPandas()
     assert len(told) > 80 and (told.secret == told.is_secret).mean() > 0.97
+
+
+def test_values_are_whole(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.sflKx_w5c.a1"
+    long, closing = "k9$" * 400, "Ab12!" * 30_000
+    whole = {
+        'token = "abcdef123456$xyzTAIL"': "abcdef123456$xyzTAIL",
+        'say "Passw0rd1234!moreSecret" now': "Passw0rd1234!moreSecret",
+        f"jwt: '{jwt}'": jwt,
+        'key="QUJDREVGR0hJSktMTU5P12=="': "QUJDREVGR0hJSktMTU5P12==",
+        f'blob = "{long}"': long,
+        f'blob = "{closing}"': closing,
+        "password=Hunter2!x and more": "Hunter2!x",
+        f"password={closing}": closing,
+        "login(password=Hunter2!x), then": "Hunter2!x",
+        "http://a/?id=5&token=abc123def456&x=1": "abc123def456",
+        'API-Key: "it\'s a pass phrase"': "it's a pass phrase",
+        'secret = "abc\\"1234567890$"': 'abc\\"1234567890$',
+        "'password' => 'Passw0rd1234!x'": "Passw0rd1234!x",
+        "AUTH=Ab12Cd34Ef56$xyzTAIL next": "Ab12Cd34Ef56$xyzTAIL",
+        'token = "0123456789abcdef"': "0123456789abcdef",
+    }
+    docs = spark.createDataFrame([(k, "p", t) for k, t in enumerate(whole)], "doc_id bigint, source string, text string")
+    got = {}
+    for r in secrets.findings(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.value)
+    assert {t: got.get(k) for k, t in enumerate(whole)} == {t: [v] for t, v in whole.items()}
+    words = spark.createDataFrame([("ab",), ("pass",), ("phrase",)], "word string")
+    assert secrets.described(secrets.findings(docs), words).where("value = \"it's a pass phrase\"").first().covered == 10 / 18
