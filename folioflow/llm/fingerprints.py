@@ -29,6 +29,8 @@ PARTS = 1 + len(LEVELS) * DRAWS
 #: Distinct terms a task counts before it hands them on.
 HELD_TERMS = 1_000_000
 NO_TERM = "00000000"
+#: A text keeps to the lexicon if this share of its distinct terms is in it: a third replaced by other text changes neither side.
+BANDED = 0.35
 
 _TERM = re.compile(r"[^\W_]+")
 
@@ -66,32 +68,37 @@ def lexicon(docs: DataFrame, text: str = "text", idf_low: float = IDF_LOW, idf_h
     return sorted(r["term"] for r in banded.select("term").collect())
 
 
+def _drawn(terms_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each term, and a bit for each part that it is in."""
+    digests = [hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8 + 2 * DRAWS).digest() for t in terms_]
+    mask = np.ones(len(terms_), np.uint64)
+    for draw in range(DRAWS):
+        drawn = np.array([int.from_bytes(d[8 + 2 * draw : 10 + 2 * draw], "little") for d in digests], np.int64)
+        for k, level in enumerate(LEVELS):
+            mask |= (drawn % (1 << level) == 0).astype(np.uint64) << np.uint64(1 + k * DRAWS + draw)
+    return np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64), mask
+
+
 class Parts:
     """The randomised parts of a lexicon."""
 
     def __init__(self, lexicon: list[str]) -> None:
         self.place = {t: i for i, t in enumerate(lexicon)}
-        digests = [hashlib.blake2b(t.encode(), digest_size=8 + 2 * DRAWS).digest() for t in lexicon]
-        self.hash = np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64)
-        mask = np.ones(len(lexicon), np.uint64)
-        for draw in range(DRAWS):
-            drawn = np.array([int.from_bytes(d[8 + 2 * draw : 10 + 2 * draw], "little") for d in digests], np.int64)
-            for k, level in enumerate(LEVELS):
-                mask |= (drawn % (1 << level) == 0).astype(np.uint64) << np.uint64(1 + k * DRAWS + draw)
-        self.mask = mask
+        self.hash, self.mask = _drawn(lexicon)
 
     def signatures(self, text: str) -> str:
         """Eight digits for each part, zeros where the text has no term of it.
 
-        A text without any term of the lexicon has the hash of the text itself in every place.
+        A text of which less than ``BANDED`` of the terms is in the lexicon (a member of a large group of copies, a short text of
+        common words) has the parts drawn from all its own terms; one without any term has the hash of the text in every place.
         """
         from xxhash import xxh32_hexdigest
 
-        get = self.place.get
-        own = np.array(sorted(p for t in terms(text) if (p := get(t)) is not None), np.int64)
-        if not len(own):
+        every, get = terms(text), self.place.get
+        if not every:
             return xxh32_hexdigest(text.encode("utf-8", "replace")) * PARTS
-        hashes, masks = self.hash[own], self.mask[own]
+        own = np.array(sorted(p for t in every if (p := get(t)) is not None), np.int64)
+        hashes, masks = (self.hash[own], self.mask[own]) if len(own) >= BANDED * len(every) else _drawn(sorted(every))
         chosen = (masks[None, :] >> np.arange(PARTS, dtype=np.uint64)[:, None]) & np.uint64(1) == 1
         part, term = np.nonzero(chosen)
         data, cuts = hashes[term].tobytes(), np.searchsorted(part, np.arange(PARTS + 1)) * 8

@@ -68,3 +68,16 @@ def test_repeated_ids_and_clashing_columns(spark, odd):
     for r in prints.collect():
         by_text.setdefault(r.text or "", set()).add(r.fingerprint)
     assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_near_copies_that_hold_a_third_of_the_rows_stay_near(spark, corpus):
+    shared = " ".join(f"common{k}" for k in range(400))
+    rows = [(i, t) for i, t, _ in corpus[:120]] + [(10_000 + k, f"{shared} odd{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = fp.lexicon(docs)
+    assert not any(w.startswith("common") for w in words)
+    got = [r for r in fp.against_next(docs, words).collect() if r.doc_id >= 10_000]
+    assert len(got) == 60 and sum(r.near_next for r in got) / 60 > 0.8 and sum(r.near_edited > 0 for r in got) >= 59
+    parts = fp.Parts(words)
+    assert fp.likeness(parts.signatures(shared + " x"), parts.signatures(shared + " y")) > 0.8
+    assert parts.signatures("...") != parts.signatures("!!!") and parts.signatures("") == parts.signatures("")
