@@ -19,8 +19,12 @@ Q = 9
 EDIT_RATE = 0.08
 #: Shared q-grams asked for at least; a short item is allowed fewer edits for it.
 LEAST_SHARED = 4
-#: Items of fewer normalised code points identify nothing and are left out.
+#: Items of fewer normalised code points are searched for without edits, at word bounds; but for lone words under ``Q``.
 MIN_ITEM = 24
+#: Items of half as much again are searched for by their segments too, of which each sign is in two.
+SEGMENT = 64
+#: Code points by which short items are looked up.
+PREFIX = 8
 #: Normalised code points of benchmark text that are searched for in one pass; a larger benchmark takes several.
 BLOCK = 8_000_000
 #: Code points of documents worked on at a time.
@@ -61,18 +65,18 @@ def places(text: str) -> np.ndarray:
     return kept if sum(lengths) == len(text) else np.repeat(np.arange(len(text)), lengths)[kept]
 
 
-def grams(signs: np.ndarray) -> np.ndarray:
-    """Hash of the ``Q`` code points from each place; equal q-grams have equal hashes."""
-    if len(signs) < Q:
+def grams(signs: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of the ``q`` code points from each place; equal q-grams have equal hashes."""
+    if len(signs) < q:
         return np.zeros(0, np.uint64)
-    power, size = signs.astype(np.uint64), 1  # hashes of 1, 2, 4 ... code points, joined as the bits of Q say
+    power, size = signs.astype(np.uint64), 1  # hashes of 1, 2, 4 ... code points, joined as the bits of q say
     whole, done = None, 0
     while True:
-        if Q & size:
-            n = len(signs) - Q + 1
+        if q & size:
+            n = len(signs) - q + 1
             part = power[done : done + n]
             whole, done = part if whole is None else whole * np.uint64(0x165667B19E3779F9) + (part ^ (part >> np.uint64(29))), done + size
-        if done == Q:
+        if done == q:
             return whole * np.uint64(0xD6E8FEB86659FD93) ^ (whole >> np.uint64(32))
         power = power[:-size] * np.uint64(0x9E3779B97F4A7C15) + (power[size:] ^ (power[size:] >> np.uint64(29)))
         size *= 2
@@ -226,15 +230,105 @@ class Index:
         return self.regions(signs, *self.hits(signs))
 
 
+#: Scripts that write words without spaces: no bound is asked for beside their signs.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xFFDC), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+def _spaced(signs: np.ndarray) -> np.ndarray:
+    """Which signs belong to words that spaces divide."""
+    out = signs != _SPACE
+    for first, last in _UNSPACED:
+        out &= (signs < first) | (signs > last)
+    return out
+
+
+class Exact:
+    """Short items, found as they are."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray]]) -> None:
+        self.items: dict[bytes, list] = {}
+        for id_, signs in items:
+            self.items.setdefault(signs.tobytes(), []).append(id_)
+        self.prefixes: dict[int, tuple[np.ndarray, dict[bytes, set[int]]]] = {}
+        for own in self.items:
+            size = min(PREFIX, len(own) // 4)
+            table, lengths = self.prefixes.setdefault(size, (np.zeros(1 << 20, bool), {}))
+            table[grams(np.frombuffer(own, np.uint32)[:size], size) >> np.uint64(44)] = True
+            lengths.setdefault(own[: 4 * size], set()).add(len(own) // 4)
+
+    def search(self, signs: np.ndarray) -> list[tuple[object, int, int, int]]:
+        """(item, start, end, 0) of the occurrences at word bounds that do not overlap an earlier one of their item."""
+        found = []
+        for size, (table, lengths) in self.prefixes.items():
+            for k in range(0, len(signs), PART):
+                at = k + np.flatnonzero(table[grams(signs[k : k + PART + size - 1], size) >> np.uint64(44)])
+                at = at[~(_spaced(signs[np.maximum(at - 1, 0)]) & _spaced(signs[at]) & (at > 0))]
+                for start in at.tolist():
+                    for length in lengths.get(signs[start : start + size].tobytes(), ()):
+                        end = start + length
+                        ids = self.items.get(signs[start:end].tobytes(), ()) if end <= len(signs) else ()
+                        if ids and not (end < len(signs) and _spaced(signs[end - 1 : end + 1]).all()):
+                            found += [(start, end, n, id_) for n, id_ in enumerate(ids)]
+        out, last = [], {}
+        for start, end, n, id_ in sorted(found, key=lambda r: r[:3]):
+            own = (signs[start:end].tobytes(), n)
+            if start >= last.get(own, 0):
+                last[own] = end
+                out.append((id_, start, end, 0))
+        return out
+
+
+class Search:
+    """All items of a block: short ones as they are, long ones as a whole and by their segments."""
+
+    def __init__(self, block: list[tuple[object, np.ndarray]], edit_rate: float = EDIT_RATE) -> None:
+        long = [(i, s) for i, s in block if len(s) >= MIN_ITEM]
+        self.exact = Exact([(i, s) for i, s in block if len(s) < MIN_ITEM])
+        self.whole, parts = len(long), []
+        self.owner = list(range(len(long)))
+        for k, (id_, signs) in enumerate(long):
+            if 2 * len(signs) >= 3 * SEGMENT:
+                last = len(signs) - SEGMENT
+                for at in [*range(0, last, SEGMENT // 2), last]:
+                    parts.append((id_, signs[at : at + SEGMENT]))
+                    self.owner.append(k)
+        self.index = Index(long + parts, edit_rate)
+
+    def search(self, texts: list[np.ndarray]) -> list[list[tuple[object, int, int, int]]]:
+        """(item, start, end, edits) for each text.  Segments within a whole occurrence of their item tell nothing new; others
+        that overlap are one partial occurrence, whose edits are the most that one of its segments has."""
+        out = []
+        for text, regions in zip(texts, self.index.search(texts)):
+            rows, parts, whole = [], {}, {}
+            for k, start, end, edits in regions:
+                if k < self.whole:
+                    rows.append((self.index.ids[k], start, end, edits))
+                    whole.setdefault(k, []).append((start, end))
+                else:
+                    parts.setdefault(self.owner[k], []).append((start, end, edits))
+            for k, own in sorted(parts.items()):
+                joined: list[list[int]] = []
+                for start, end, edits in sorted(own):
+                    if any(start < e and s < end for s, e in whole.get(k, ())):
+                        continue
+                    if joined and start < joined[-1][1]:
+                        joined[-1][1:] = max(end, joined[-1][1]), max(edits, joined[-1][2])
+                    else:
+                        joined.append([start, end, edits])
+                rows += [(self.index.ids[k], *j) for j in joined]
+            out.append(rows + self.exact.search(text))
+        return out
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, np.ndarray]]]:
     """Normalised items, at most about ``BLOCK`` code points in memory at a time."""
     held, size = [], 0
     for row in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
         own = normal(row["t"])
-        if len(own) < MIN_ITEM:
+        if not len(own) or (len(own) < Q and _SPACE not in own and _spaced(own).all()):
             continue
         held.append((row["i"], own))
-        size += len(own)
+        size += len(own) * (3 if 2 * len(own) >= 3 * SEGMENT else 1)
         if size >= BLOCK:
             yield held
             held, size = [], 0
@@ -244,7 +338,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[o
 
 def leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
     """``doc_id``, ``item_id``, ``start``, ``end`` (code points of the document's text), ``edits`` and ``region`` of every
-    occurrence of a benchmark item in a document.
+    occurrence of a benchmark item in a document, whole or in part (see ``Search``).
 
     Empty and NULL texts have none; repeated documents give their regions each, repeated items are items each.  A stated
     benchmark against all documents: each block of items is broadcast (``BLOCK`` bounds it) and takes one pass, without
@@ -259,7 +353,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -
         def run(batches, shared=shared):
             import pyarrow as pa
 
-            index = Index(shared.value, edit_rate)
+            index = Search(shared.value, edit_rate)
             for batch in batches:
                 texts, rows = batch.column("text"), []
                 for i, regions in enumerate(index.search([normal(t.as_py()) for t in texts])):
@@ -269,7 +363,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -
                     where = places(text)
                     for item, start, end, edits in regions:
                         a, b = int(where[min(start, len(where) - 1)]), int(where[max(start, min(end, len(where)) - 1)]) + 1
-                        rows.append((i, index.ids[item], a, b, edits, text[a:b]))
+                        rows.append((i, item, a, b, edits, text[a:b]))
                 if rows:
                     who, *rest = zip(*rows)
                     ids = batch.column("doc_id").take(pa.array(who))
@@ -290,7 +384,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -
         def run(batches, shared=shared):
             import pyarrow as pa
 
-            index = Index(shared.value, edit_rate)
+            index = Search(shared.value, edit_rate)
             for batch in batches:
                 found = index.search([normal(t.as_py() or "") for t in batch.column("text")])
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))

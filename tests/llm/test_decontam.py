@@ -94,3 +94,18 @@ def test_blocks_change_nothing(spark, items, monkeypatch):
     whole = sorted(decontam.leaks(docs, items).collect())
     monkeypatch.setattr(decontam, "BLOCK", 10)
     assert sorted(decontam.leaks(docs, items).collect()) == whole and decontam.clean(docs, items).count() == 2
+
+
+def test_short_items_and_parts_of_long_ones(spark):
+    long = " ".join(f"{w} number {k * k} stands" for k, w in enumerate("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()))
+    known = [(1, "Who won it?"), (2, "東京は日本の首都ですか"), (3, long), (4, "who")]
+    benchmark = spark.createDataFrame(known, "item_id bigint, text string")
+    cut = len(long) * 15 // 100
+    rows = [(1, "then: who -- won it, he asked"), (2, "then who won items"), (3, "昔から東京は日本の首都ですかと言う"), (4, "see " + long[:-cut]), (5, long[cut:] + " so"), (6, "x " + long + " y")]
+    rows += [(7, long[:50]), (8, "a" * 200_000 + " who won it")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.end) for r in decontam.leaks(docs, benchmark).collect())
+    assert [g[:2] for g in got] == [(1, 1), (3, 2), (4, 3), (5, 3), (6, 3), (8, 1)]
+    assert got[1][2:] == (3, 14) and got[4][2:] == (2, 2 + len(long)) and got[5][2:] == (200_001, 200_011)
+    assert got[2][3] - got[2][2] > 0.7 * len(long) and got[3][3] - got[3][2] > 0.7 * len(long)
+    assert sorted(r.doc_id for r in decontam.clean(docs, benchmark).collect()) == [2, 7]
