@@ -5,11 +5,13 @@ Records are rows: the named fields of a WARC header and the block.  All steps ar
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: What stands before the plain text of a page: (pattern, replacement), in order.
+#: What the SQL takes from a page: (pattern, replacement), in order.  It holds for pages that close their head.
 TAGS = (
     (r"(?s)<!--.*?(?:-->|\z)", ""),
     (r"(?is)<head\b.*?(?:</head\s*>|\z)", ""),
@@ -18,17 +20,55 @@ TAGS = (
     (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|blockquote|pre)\b[^<>]*>", "\n"),
     (r"<[^<>]*>", ""),
 )
-#: Named characters, the ampersand last.
+#: Named characters of the SQL, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
 
 
+#: A head that is closed before the body begins, and the head's own tags where it is not closed.
+HEADS = (
+    r"(?is)<head(?=[\s/>])(?:[^<]|<(?!/head\b|/?body\b))*+</head\s*>",
+    r"(?is)<head(?=[\s/>])[^<>]*+>(?:\s*+(?:<title\b[^<>]*+>.*?(?:</title\s*>|\z)|</?(?:meta|link|base|basefont|bgsound|noscript|noframes|template)\b[^<>]*+>))*+",
+)
+REFERENCE = r"&(?:#[0-9]++|#[xX](?=[0-9A-Fa-f])0*+[0-9A-Fa-f]{0,8}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _names() -> str:
+    """All standard references by name, and the numeric ones that stand for signs of Windows-1252, as text for ``str_to_map``."""
+    signs = {name[:-1]: sign for name, sign in html.entities.html5.items() if name.endswith(";")} | {"nbsp": " "}
+    signs |= {f"#{n}": sign for n in range(128, 160) if (sign := bytes([n]).decode("cp1252", "ignore"))}
+    return "\x01".join(f"{name}\x02{sign}" for name, sign in sorted(signs.items()))
+
+
+def decoded(text: Column) -> Column:
+    """``text`` with numeric and standard named references replaced, once; a no-break space is a space, unknown names stay."""
+    named = F.str_to_map(F.lit(_names()), F.lit("\x01"), F.lit("\x02"))
+
+    def sign(reference: Column) -> Column:
+        name = F.substring_index(reference.substr(F.lit(2), F.length(reference)), ";", 1)
+        hexed = name.rlike("^#[xX]")
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        number = F.when(name.startswith("#"), F.coalesce(F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int"), F.lit(0)))
+        bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(number)), 8, "0")), "UTF-32")
+        numeric = F.when(number == 160, " ").otherwise(F.coalesce(F.try_element_at(named, F.concat(F.lit("#"), number.cast("string"))), point))
+        return F.when(name.startswith("#"), numeric).otherwise(F.coalesce(F.try_element_at(named, name), reference))
+
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    signs = F.concat(F.transform(found, sign), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(F.split(text, REFERENCE, -1), signs, lambda gap, s: F.concat(gap, s)), "")
+    return F.when(F.instr(text, "&") > 0, whole).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
-    """Text of a page, one line for each of its blocks; unclosed comments, scripts and styles reach to the end."""
-    for pattern, to in TAGS:
+    """Text of a page, one line for each of its blocks; unclosed comments, scripts and styles reach to the end.
+
+    Heads go without their text.  One that is not closed ends at the first text or tag that cannot stand in a head.
+    """
+    comments, _, scripts, styles, *others = TAGS
+    for pattern, to in (comments, scripts, styles, *((h, "") for h in HEADS), *others):
         html = F.regexp_replace(html, pattern, to)
-    for name, sign in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(sign))
+    html = decoded(html)
     for pattern, to in SPACES:
         html = F.regexp_replace(html, pattern, to)
     return F.trim(F.regexp_replace(html, r"^\n|\n$", ""))

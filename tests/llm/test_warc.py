@@ -60,3 +60,16 @@ def test_written_files_hold_whole_records(spark, tmp_path):
         assert rest[size : size + 4] == b"\r\n\r\n"
         data = rest[size + 4 :]
     assert found == {r.record_id: (r.record_type, r.refers_to, r.block) for r in records.collect()}
+
+
+def test_unclosed_heads_and_references(spark):
+    pages = {
+        "<html><head><title>T</title><meta charset=utf-8><body><p>One</p>": "One",
+        "<head><meta a=b><style>x{}</style><title>T</title><p>Two <b>b</b>": "Two b",
+        "<head><title>T</title>\nBare text": "Bare text",
+        "<head><script>if (a<b) '<body>'</script><title>T</title></head><p>x</p>": "x",
+        "<header>kept</header>": "kept",
+        "caf&eacute; &mdash; &#8364;&#x1F642; &#39;q&#39; &nosuch; &amp;eacute; &#128; a&#160;b &#0; &#xD800;": "café — €🙂 'q' &nosuch; &eacute; € a b � �",
+    }
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string").orderBy("i")
+    assert [r.t for r in rows.select(warc.plain_text(warc.F.col("html")).alias("t")).collect()] == list(pages.values())
