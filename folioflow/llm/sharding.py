@@ -40,10 +40,15 @@ def grown_shard_of(key: Column, weights: Sequence[float], new_weight: float = 1.
     return F.when(score(key, new, F.lit(float(new_weight))) > held["score"], new).otherwise(held["shard"]).cast("int")
 
 
+def bucket_of(names: Sequence[str], buckets: int = BUCKETS) -> Column:
+    """Bucket of a row by all its columns, so that different rows of one hot key are in different ones."""
+    return F.pmod(F.xxhash64(F.lit("slot"), *names), F.lit(buckets)).cast("int")
+
+
 def place(rows: DataFrame, key: str, weights: Sequence[float], new_weight: float = 1.0, buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with ``shard``, ``slot`` (gapless from 0 in each shard) and ``grown_shard``.
 
-    Slots follow (bucket of the key's hash, all columns of the row); rows alike in every column take one slot each.
+    Slots follow (bucket of the row's hash, all columns of the row); rows alike in every column take one slot each.
     Every column of ``rows`` must be orderable; columns named like the three new ones are replaced.  No rows give none.
 
     No shard is gathered in one task: like rows are counted before the shuffle, slots are numbered within a
@@ -55,7 +60,7 @@ def place(rows: DataFrame, key: str, weights: Sequence[float], new_weight: float
     one = one.select(
         *names,
         "__n",
-        F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int").alias("__bucket"),
+        bucket_of(names, buckets).alias("__bucket"),
         best(F.col(key), weights).alias("__best"),
     )
     new = F.lit(len(weights))

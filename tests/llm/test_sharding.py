@@ -35,3 +35,11 @@ def test_growth_agrees_with_the_grown_set_and_weights_count(spark):
     assert all(r.grown == r.new and r.new in (r.old, 9) for r in rows)
     assert abs(sum(r.new == 9 for r in rows) - 2000) < 250
     assert abs(sum(r.heavy == 1 for r in rows) - 15000) < 400 and not any(r.heavy == 2 for r in rows)
+
+
+def test_rows_of_a_hot_key_are_numbered_in_many_buckets(spark):
+    rows = spark.range(5000).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("id").alias("size"))
+    placed = sharding.place(rows, "doc_id", [1.0] * 4).collect()
+    assert len({r.shard for r in placed}) == 1 and sorted(r.slot for r in placed) == list(range(5000))
+    assert [r.size for r in sorted(placed, key=lambda r: r.slot)] != list(range(5000))  # one bucket would be in order
+    assert rows.select(sharding.bucket_of(rows.columns).alias("b")).distinct().count() > 900
