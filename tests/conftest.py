@@ -7,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from folioflow.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -64,7 +62,3 @@ def make_jobs(spark):
         return spark.createDataFrame(full, JOBS)
 
     return make
-
-
-def by(frame, key):
-    return {r[key]: r.asDict(recursive=True) for r in frame.collect()}

@@ -2,7 +2,7 @@ import json
 import sys
 
 import pytest
-from conftest import by
+from helpers import by
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F

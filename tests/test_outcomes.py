@@ -3,7 +3,7 @@
 import sys
 
 import pytest
-from conftest import by
+from helpers import by
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 

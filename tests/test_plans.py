@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SF
+from helpers import SF
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

@@ -1,5 +1,5 @@
 import pytest
-from conftest import by
+from helpers import by
 from pyspark.sql import functions as F
 
 from folioflow.operators import registry

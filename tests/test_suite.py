@@ -3,7 +3,7 @@
 import sys
 
 import pytest
-from conftest import SF
+from helpers import SF
 
 import __spark_entry__ as entry
 from folioflow import suite

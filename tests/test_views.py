@@ -1,4 +1,4 @@
-from conftest import by
+from helpers import by
 
 from folioflow.operators import registry
 from folioflow.plans import bundle, report, submission, views
