@@ -2,8 +2,7 @@ import os
 
 import duckdb
 import pytest
-
-SF = "/root/testdata/sf0.001"
+from llm_helpers import SF
 
 
 @pytest.fixture(scope="session")

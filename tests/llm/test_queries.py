@@ -5,7 +5,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF
+from llm_helpers import SF
 from folioflow.llm.queries import ORACLE, QUERIES
 
 sys.path.insert(0, "tools")
