@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_repeated_passages": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
     "op9_bpe_round_trip": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op10_personal_data": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op11_distinct_word_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 
 
@@ -29,7 +30,7 @@ def test_query(spark, name):
     frame = entry.queries()[name](spark, SF)
     kinds = dict(frame.dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
-    whole = {"op1", "op3", "op4", "op6", "op8", "op9", "op10"}
+    whole = {"op1", "op3", "op4", "op6", "op8", "op9", "op10", "op11", "op12", "op13"}
     n = frame.count()
     assert n == 200 if name.split("_")[0] in whole else n > 0
 
