@@ -1,11 +1,12 @@
 """Documents in chunks, in which repeated items are numbered, so that each is looked up once and put back in its places.
 
-A chunk is one row: its distinct items, each with the places where it stands, and its members (the documents).  Items are
+A chunk is one row: its distinct items, which of them stands at each place, and its members (the documents).  Items are
 exploded, joined with what stands for them, and come back to the chunk, whose members are then made anew by place.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +18,16 @@ CHUNK = 4_000_000
 ROW = 32
 
 
-def chunks(batches, column: str) -> Iterator[tuple[int, object]]:
+def chunks(batches, column: str, most: int | None = None) -> Iterator[tuple[int, object]]:
     """Number and record batch of the chunks of a task; ``column`` (text, bytes or list of 4-byte integers) gives the sizes.
 
-    Numbers are unique among the tasks of a stage.
+    Numbers are unique among the tasks of a stage.  A repeated task makes the same chunks if its rows come in the same order.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark import TaskContext
 
+    most = most or CHUNK
     number, held, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
         values = batch.column(column)
@@ -33,10 +35,10 @@ def chunks(batches, column: str) -> Iterator[tuple[int, object]]:
         ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW)
         at, done = 0, 0
         while at < batch.num_rows:
-            stop = min(batch.num_rows, int(np.searchsorted(ends, CHUNK - size + done)) + 1)
+            stop = min(batch.num_rows, int(np.searchsorted(ends, most - size + done)) + 1)
             held.append(batch.slice(at, stop - at))
             size, at, done = size + int(ends[stop - 1]) - done, stop, int(ends[stop - 1])
-            if size >= CHUNK:
+            if size >= most:
                 yield number, _one(held)
                 number, held, size = number + 1, [], 0
     if held:
@@ -50,21 +52,25 @@ def _one(held):
 
 
 def chunk_schema(keep: StructType, item: str) -> StructType:
-    """``chunk``, ``items`` (``item``, ``gaps``) and ``members`` (the kept columns in ``kept``, their number of items in ``size``)."""
-    items = ArrayType(StructType([StructField("item", _parse_datatype_string(item)), StructField("gaps", _parse_datatype_string("array<int>"))]))
+    """``chunk``, ``items``, ``places`` and ``members`` (the kept columns in ``kept``, their number of places in ``size``)."""
     members = ArrayType(StructType([StructField("kept", keep), StructField("size", _parse_datatype_string("int"))]))
-    return StructType([StructField("chunk", _parse_datatype_string("bigint")), StructField("items", items), StructField("members", members)])
+    head = _parse_datatype_string(f"chunk bigint, items array<{item}>, places binary").fields
+    return StructType([*head, StructField("members", members)])
 
 
 def chunk_row(number: int, items, sequence: np.ndarray, kept: list, names: list[str], sizes):
-    """The row of a chunk: ``items`` (an Arrow array), the number of the item at each place, and the members."""
+    """The row of a chunk: ``items`` (an Arrow array), the number of the item at each place, and the members.
+
+    Items go by their frequency, so that the common ones have short numbers.
+    """
     import pyarrow as pa
 
-    counts, gaps = inverted(sequence, len(items))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(gaps))
+    order = np.argsort(-np.bincount(sequence, minlength=len(items)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     members = pa.StructArray.from_arrays([pa.StructArray.from_arrays(kept, names=names), pa.array(sizes, pa.int32())], names=["kept", "size"])
-    columns = [pa.array([number], pa.int64()), one_list(pa.StructArray.from_arrays([items, lists], names=["item", "gaps"])), one_list(members)]
-    return pa.RecordBatch.from_arrays(columns, names=["chunk", "items", "members"])
+    columns = [pa.array([number], pa.int64()), one_list(items.take(pa.array(order))), pa.array([packed(rank[sequence])], pa.binary()), one_list(members)]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", "items", "places", "members"])
 
 
 def one_list(values):
@@ -74,24 +80,14 @@ def one_list(values):
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def inverted(sequence: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often each of ``n`` items occurs, and its places as gaps: the first place, then what each next one is further."""
-    counts = np.bincount(sequence, minlength=n)
-    places = np.argsort(sequence, kind="stable")
-    gaps = np.diff(places, prepend=0)
-    first = (np.cumsum(counts) - counts)[counts > 0]
-    gaps[first] = places[first]
-    return counts, gaps.astype(np.int32)
-
-
-def by_place(counts: np.ndarray, gaps: np.ndarray) -> np.ndarray:
-    """The number of the item at each place: what ``inverted`` was made from."""
-    sums = np.cumsum(gaps, dtype=np.int64)
-    first = np.cumsum(counts) - counts
-    before = np.where(first > 0, sums[np.maximum(first, 1) - 1], 0) if len(sums) else np.zeros(len(counts), np.int64)
-    out = np.empty(len(gaps), np.int64)
-    out[sums - np.repeat(before, counts)] = np.repeat(np.arange(len(counts)), counts)
-    return out
+def packed(sequence: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, their bytes by significance, compressed."""
+    return zlib.compress(sequence.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -1,9 +1,8 @@
 """Byte-level BPE by distinct words: explode pre-tokens with their places, encode each distinct word of the corpus once, join
 the ids back and reassemble by place; decoding joins the table of token bytes.
 
-A chunk of documents gives one row for each of its distinct words, which holds all places of the word, so the rows of the
-commonest word are as many as the chunks, however often it stands in them.  Places stay with the chunk; only words and ids are
-shuffled by word.
+A chunk of documents gives one row for each of its distinct words, whatever the number of its places, so the rows of the
+commonest word are as many as the chunks.  Places stay with the chunk; only words are shuffled by word, and only ids come back.
 """
 
 from __future__ import annotations
@@ -15,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from folioflow.llm.chunks import by_place, chunk_row, chunk_schema, chunks, ragged
+from folioflow.llm.chunks import chunk_row, chunk_schema, chunks, ragged, unpacked
 from folioflow.llm.frames import with_fields
-from folioflow.session import materialise
 
+#: Bytes of a chunk: the longer, the fewer rows a common word has.
+CHUNK = 16_000_000
 #: Code points split at a time, so that a very long text never stands in memory as a list of all its words.
 WINDOW = 1_000_000
 
@@ -85,14 +84,14 @@ class _Numbers(dict):
 
 
 def exploded(docs: DataFrame, pattern: str, text: str, keep: list[str]) -> DataFrame:
-    """Chunks of documents with their distinct words and the places of each; NULL counts as empty."""
+    """Chunks of documents with their distinct words and which stands at each place; NULL counts as empty."""
 
     def run(batches):
         import pyarrow as pa
         import regex
 
         compiled = regex.compile(pattern)
-        for number, batch in chunks(batches, "__text"):
+        for number, batch in chunks(batches, "__text", CHUNK):
             numbers, parts, sizes = _Numbers(), [], []
             for value in batch.column("__text"):
                 have = 0
@@ -107,19 +106,36 @@ def exploded(docs: DataFrame, pattern: str, text: str, keep: list[str]) -> DataF
     return given.mapInArrow(run, chunk_schema(docs.select(*keep).schema, "string"))
 
 
-def encoded_words(words_: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``ids`` (array of int) of every distinct ``item``; the ranks are one file of fixed size and broadcast."""
-    shared = words_.sparkSession.sparkContext.broadcast(ranks)
+def encoded_words(held: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``chunk``, ``k`` and ``ids`` (array of int) of every distinct word of every chunk.
+
+    Rows of a word meet in one task, which encodes it once for all of them.  The ranks are one file of fixed size and broadcast.
+    """
+    shared = held.sparkSession.sparkContext.broadcast(ranks)
+
+    def explode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for number, items in zip(batch.column("chunk").to_pylist(), batch.column("items")):
+                for at in range(0, len(items), 10_000):
+                    part = items.values.slice(at, 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), part], names=["chunk", "k", "item"])
 
     def run(batches):
         import pyarrow as pa
 
-        table = shared.value
+        table, word, ids = shared.value, None, []
         for batch in batches:
-            ids = [merged(word.as_py().encode(), table) for word in batch.column("item")]
-            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(ids, pa.list_(pa.int32()))], names=["item", "ids"])
+            out = []
+            for own in batch.column("item").to_pylist():
+                if own != word:
+                    word, ids = own, merged(own.encode(), table)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["chunk", "k", "ids"])
 
-    return words_.select("item").distinct().mapInArrow(run, "item string, ids array<int>")
+    rows = held.mapInArrow(explode, "chunk bigint, k int, item string")
+    return rows.repartition("item").sortWithinPartitions("item").mapInArrow(run, "chunk bigint, k int, ids array<int>")
 
 
 def _kept(keep: tuple[str, ...] | None, frame: DataFrame, *own: str) -> list[str]:
@@ -131,14 +147,15 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
     little-endian unsigned 32-bit integers in one binary.
 
     Every match of ``pattern`` is encoded by itself; strings of special tokens are plain text.  NULL and empty texts have no
-    ids, repeated rows give a row each, a column ``ids`` is replaced.  Each distinct word is encoded once, whatever its number.
+    ids, repeated rows give a row each, a column ``ids`` is replaced.
+
+    Chunks are shuffled once; their words are taken from, and their ids come back to, the same shuffled rows.  ``docs`` must come
+    in an order that a repeated task has again, as a scan does: write shuffled rows first.
     """
     keep = _kept(keep, docs, text, "ids")
-    held = materialise(exploded(docs, pattern, text, keep), "exploded-words")
-    places = held.select("chunk", F.posexplode("items.item").alias("k", "item"))
-    table = encoded_words(held.select(F.explode("items.item").alias("item")), rank_table(ranks))
-    back = places.join(table, "item").groupBy("chunk").agg(F.collect_list(F.struct("k", "ids")).alias("found"))
-    met = held.select("chunk", "items.gaps", "members").join(back, "chunk", "left")
+    held = exploded(docs, pattern, text, keep).repartition("chunk")
+    back = encoded_words(held, rank_table(ranks)).groupBy("chunk").agg(F.collect_list(F.struct("k", "ids")).alias("found"))
+    met = held.join(back, "chunk", "left")
     # The order of a repeated task must be that of the first one for whoever numbers these rows.
     met = met.sortWithinPartitions("chunk")
     schema = with_fields(docs.select(*keep), ids="binary" if packed else "array<int>")
@@ -148,12 +165,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
 
         for batch in batches:
             for row in range(batch.num_rows):
-                gaps, found, members = (batch.column(c)[row].values for c in ("gaps", "found", "members"))
+                found, members = (batch.column(c)[row].values for c in ("found", "members"))
                 order, lengths, flat = _found(found)
-                counts = np.diff(gaps.offsets.to_numpy()) if gaps is not None else np.zeros(0, np.int64)
-                sequence = by_place(counts, _flat(gaps))
-                starts = np.empty(len(lengths), np.int64)
-                sizes = np.empty(len(lengths), np.int64)
+                sequence = unpacked(batch.column("places")[row].as_py())
+                starts, sizes = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
                 starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
                 ids = flat[ragged(starts[sequence], sizes[sequence])]
                 tokens = np.concatenate(([0], np.cumsum(sizes[sequence])))
@@ -166,11 +181,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
                     own = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[members.field("kept").field(c) for c in keep], own], names=[*keep, "ids"])
 
-    return met.select("gaps", "found", "members").mapInArrow(run, schema)
-
-
-def _flat(lists) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False) if lists is not None else np.zeros(0, np.int32)
+    return met.mapInArrow(run, schema)
 
 
 def _found(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,11 +189,8 @@ def _found(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if found is None:
         return (np.zeros(0, np.int64),) * 3
     ids = found.field("ids")
-    if ids.offset or len(ids) != len(ids.offsets) - 1:
-        import pyarrow as pa
-
-        ids = pa.concat_arrays([ids])
-    return found.field("k").to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.int64), _flat(ids).astype(np.int64)
+    lengths = np.array(ids.value_lengths(), np.int64)
+    return found.field("k").to_numpy(), lengths, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def token_table(spark: SparkSession, ranks: str) -> DataFrame:
@@ -214,42 +222,39 @@ def decode(encoded: DataFrame, tokens: DataFrame, ids: str = "ids", keep: tuple[
             distinct, sequence = np.unique(flat, return_inverse=True)
             yield chunk_row(number, pa.array(distinct, pa.int32()), sequence, [batch.column(c) for c in keep], keep, sizes)
 
-    kept: StructType = encoded.select(*keep).schema
-    given = encoded.select(*keep, encoded[ids].alias("__ids")).mapInArrow(explode, chunk_schema(kept, "int"))
-    rows = given.select("chunk", "members", F.posexplode_outer("items").alias("k", "one"))
-    rows = rows.select("chunk", F.when(F.coalesce("k", F.lit(0)) == 0, F.col("members")).alias("members"), "k", F.col("one.item").alias("item"), F.col("one.gaps").alias("gaps"))
+    given = encoded.select(*keep, encoded[ids].alias("__ids")).mapInArrow(explode, chunk_schema(encoded.select(*keep).schema, "int"))
+    rows = given.select("places", "members", F.posexplode_outer("items").alias("k", "item"))
+    first = F.coalesce("k", F.lit(0)) == 0
+    rows = rows.select(*[F.when(first, F.col(c)).alias(c) for c in ("places", "members")], "k", "item")
     met = rows.join(F.broadcast(tokens.select(F.col("id").alias("item"), "token")), "item", "left")
 
     def reassemble(batches):
         import pyarrow as pa
 
-        def whole(members, bytes_, gaps):
-            counts = np.array([len(g) for g in gaps], np.int64)
-            sequence = by_place(counts, np.concatenate(gaps) if gaps else np.zeros(0, np.int32))
-            out, at = [], 0
+        def whole(members, places, bytes_):
+            sequence, out, at = unpacked(places).tolist(), [], 0
             for size in members.field("size").to_pylist():
-                out.append(b"".join(map(bytes_.__getitem__, sequence[at : at + size].tolist())))
+                out.append(b"".join(map(bytes_.__getitem__, sequence[at : at + size])))
                 at += size
             return pa.RecordBatch.from_arrays([*[members.field("kept").field(c) for c in keep], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-        members, bytes_, gaps = None, [], []
+        members, places, bytes_ = None, None, []
         for batch in batches:
-            of, ks, tokens_, gaps_ = (batch.column(c) for c in ("members", "k", "token", "gaps"))
-            for row, (k, token) in enumerate(zip(ks.to_pylist(), tokens_.to_pylist())):
+            of = batch.column("members")
+            for row, (k, token) in enumerate(zip(batch.column("k").to_pylist(), batch.column("token").to_pylist())):
                 if of[row].is_valid:
                     if members is not None:
-                        yield whole(members, bytes_, gaps)
-                    members, bytes_, gaps = of[row].values, [], []
+                        yield whole(members, places, bytes_)
+                    members, places, bytes_ = of[row].values, batch.column("places")[row].as_py(), []
                 if k is None:
                     continue
                 if token is None or k != len(bytes_):
                     raise ValueError("an id without a token" if token is None else "rows of a chunk out of order")
                 bytes_.append(token)
-                gaps.append(gaps_[row].values.to_numpy())
         if members is not None:
-            yield whole(members, bytes_, gaps)
+            yield whole(members, places, bytes_)
 
-    return met.select("members", "k", "token", "gaps").mapInArrow(reassemble, with_fields(encoded.select(*keep), decoded="binary"))
+    return met.select("places", "members", "k", "token").mapInArrow(reassemble, with_fields(encoded.select(*keep), decoded="binary"))
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:

@@ -50,6 +50,7 @@ def test_whole_texts_as_in_the_library(spark, odd, library):
 @pytest.mark.parametrize("size", [1, 700, 10**9])
 def test_chunks_of_any_size_give_the_same(spark, odd, library, monkeypatch, size):
     monkeypatch.setattr(chunks, "CHUNK", size)
+    monkeypatch.setattr(wordbpe, "CHUNK", size)
     got = wordbpe.digests(odd.repartition(3, "doc_id"), RANKS, PATTERN).collect()
     import hashlib
 
@@ -61,11 +62,19 @@ def test_chunks_of_any_size_give_the_same(spark, odd, library, monkeypatch, size
     assert sorted((tuple(r) for r in got), key=key) == sorted(((r["doc_id"], *want(r["text"])) for r in odd.select("doc_id", "text").collect()), key=key)
 
 
-def test_each_distinct_word_is_encoded_once(spark):
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two two three").alias("text")).repartition(7)
     held = wordbpe.exploded(docs, PATTERN, "text", ["doc_id"])
-    words = wordbpe.encoded_words(held.select(F.explode("items.item").alias("item")), wordbpe.rank_table(RANKS))
-    assert sorted(r["item"] for r in words.collect()) == [" three", " two", "one"]
+    calls = spark.sparkContext.accumulator(0)
+    merge = wordbpe.merged
+
+    def counted(word, ranks):
+        calls.add(1)
+        return merge(word, ranks)
+
+    monkeypatch.setattr(wordbpe, "merged", counted)
+    rows = wordbpe.encoded_words(held.repartition(5, "chunk"), wordbpe.rank_table(RANKS)).collect()
+    assert len(rows) == 3 * held.count() and calls.value == 3
 
 
 def test_decoding_of_any_ids(spark, library):
@@ -95,9 +104,14 @@ def test_a_very_long_text_among_others(spark, library):
     assert got == {1: library.encode_ordinary("short"), 2: library.encode_ordinary(long), 3: library.encode_ordinary("end")}
 
 
-def test_inverted_and_by_place():
+def test_packed_sequences():
     rng = np.random.default_rng(1)
-    for n, kinds in ((0, 0), (0, 3), (1, 1), (50, 7), (1000, 1200)):
-        sequence = rng.integers(0, max(1, kinds), n)
-        counts, gaps = chunks.inverted(sequence, kinds)
-        assert chunks.by_place(counts, gaps).tolist() == sequence.tolist()
+    for n in (0, 1, 50, 70_000):
+        sequence = rng.integers(0, 1 << 20, n)
+        assert chunks.unpacked(chunks.packed(sequence)).tolist() == sequence.tolist()
+
+
+def test_chunks_are_shuffled_once(spark, odd):
+    found = wordbpe.encode(odd, RANKS, PATTERN, keep=("doc_id",))
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
