@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, decontam, fingerprints, langid, pii, repeats, secrets, sharding, simhash, warc, wordbpe
+from folioflow.llm import alignment, bpe, decontam, fingerprints, langid, merkle, pii, repeats, secrets, sharding, simhash, warc, wordbpe
 from folioflow.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,20 @@ def op11_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.scored(table(spark, sf_dir, "documents"), *files, keep=("doc_id",))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def _sql(text: str) -> str:
     """A string for DuckDB."""
     return "'" + text.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'"
@@ -142,3 +156,54 @@ def _warc_sql() -> str:
 
 
 ORACLE["op7_warc_derivatives"] = _warc_sql()
+
+
+def _merkle_sql(levels: int = 8, tops: int = 4) -> str:
+    """Trees of up to 8 ** ``levels`` rows, of up to 8 ** ``tops`` groups, level by level."""
+    value = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(value.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    byte = "list_reduce([xor(crc, one)] || [0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))"
+    crc = f"xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda s: ascii(s)::bigint), lambda crc, one: {byte}), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"d as (select doc_id, lang, {leaf('text')} as h, case when {crc} % 3 = 0 then {leaf(lower)} else {leaf('text')} end as now from documents)",
+        "l0 as (select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 as place, count(*) over (partition by lang) as n from d)",
+        f"t0 as (select lang, h, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as n from l{levels})",
+    ]
+
+    def level(own: str, k: int, group: str) -> list[str]:
+        run = f"over (partition by {group} place // 8 order by place rows between"
+        return [
+            f"{own}s{k} as (select *, coalesce(string_agg(h, '') {run} unbounded preceding and 1 preceding), '') as b, "
+            f"coalesce(string_agg(h, '') {run} 1 following and unbounded following), '') as a from {own}{k})",
+            f"{own}{k + 1} as (select {group} place // 8 as place, (n + 7) // 8 as n, case when n = 1 then any_value(h) else sha256(string_agg(h, '' order by place)) end as h "
+            f"from {own}{k} group by {group} place // 8, n)",
+        ]
+
+    for k in range(levels):
+        parts += level("l", k, "lang,")
+    for k in range(tops):
+        parts += level("t", k, "")
+    steps = [(f"ls{k}", f"on ls{k}.lang is not distinct from l0.lang and ls{k}.place = l0.place // {8**k}") for k in range(levels)]
+    steps += [(f"ts{k}", f"on ts{k}.place = t0.place // {8**k}") for k in range(tops)]
+    joins = " ".join(f"join {name} {on}" for name, on in steps[:levels])
+    joins += " join t0 on t0.lang is not distinct from l0.lang " + " ".join(f"join {name} {on}" for name, on in steps[levels:])
+    columns = []
+    for i, (name, _) in enumerate(steps):
+        columns.append(f"{name}.n as n{i}, {name}.b as b{i}, {name}.a as a{i}")
+    proof = " || ".join(f"b{i} || a{i}" for i in range(len(steps)))
+    folds = []
+    for i in range(len(steps)):
+        before = "now" if i == 0 else f"f{i - 1}"
+        source = "j" if i == 0 else f"g{i - 1}"
+        folds.append(f"g{i} as (select *, case when n{i} = 1 then {before} else sha256(b{i} || {before} || a{i}) end as f{i} from {source})")
+    last = len(steps) - 1
+    ordered = parts[:2] + parts[3 : 3 + 2 * levels] + [parts[2]] + parts[3 + 2 * levels :]
+    chosen = f"j as (select l0.doc_id, l0.now, l0.h as leaf, t0.h as subroot, t{tops}.h as root, {', '.join(columns)} from l0 {joins} cross join t{tops})"
+    return (
+        "with " + ",\n".join([*ordered, chosen, *folds])
+        + f"\nselect doc_id, leaf, subroot, root, sha256({proof}) as proof_sha256, f{last} as folded_root, f{last} = root as verified from g{last}"
+    )
+
+
+ORACLE["op12_merkle_manifest"] = _merkle_sql()
