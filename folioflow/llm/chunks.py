@@ -87,7 +87,7 @@ def packed(sequence: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

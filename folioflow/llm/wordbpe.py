@@ -1,25 +1,28 @@
 """Byte-level BPE by distinct words: explode pre-tokens with their places, encode each distinct word of the corpus once, join
 the ids back and reassemble by place; decoding joins the table of token bytes.
 
-A chunk of documents gives one row for each of its distinct words, whatever the number of its places, so the rows of the
-commonest word are as many as the chunks.  Places stay with the chunk; only words are shuffled by word, and only ids come back.
+A chunk of documents names each of its distinct words once, whatever the number of its places, so the commonest word is
+shuffled as often as there are chunks.  Places stay with the chunk; words go by their hash, sorted and packed, to the task that
+encodes them, and only ids come back.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from folioflow.llm.chunks import chunk_row, chunk_schema, chunks, ragged, unpacked
+from folioflow.llm.chunks import chunk_row, chunk_schema, chunks, one_list, packed, ragged, unpacked
 from folioflow.llm.frames import with_fields
 
-#: Bytes of a chunk: the longer, the fewer rows a common word has.
-CHUNK = 16_000_000
+#: Bytes of a chunk: the longer, the less often a common word is shuffled.
+CHUNK = 8_000_000
 #: Code points split at a time, so that a very long text never stands in memory as a list of all its words.
 WINDOW = 1_000_000
 
@@ -83,8 +86,28 @@ class _Numbers(dict):
         return number
 
 
-def exploded(docs: DataFrame, pattern: str, text: str, keep: list[str]) -> DataFrame:
-    """Chunks of documents with their distinct words and which stands at each place; NULL counts as empty."""
+def _packed_words(all_: list[bytes]) -> bytes:
+    """Words in order: their number, lengths and bytes, compressed."""
+    lengths = np.array([len(w) for w in all_], "<u4")
+    return zlib.compress(len(all_).to_bytes(4, "little") + lengths.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(all_))
+
+
+def _unpacked_words(data: bytes) -> list[bytes]:
+    whole = zlib.decompress(data)
+    n = int.from_bytes(whole[:4], "little")
+    lengths = np.ascontiguousarray(np.frombuffer(whole, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").ravel()
+    ends = (np.cumsum(lengths, dtype=np.int64) + 4 + 4 * n).tolist()
+    return [whole[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
+def _by_class(classes: np.ndarray) -> np.ndarray:
+    """Words (by bucket and bytes) in the order of their numbers: frequent ones, by powers of two, first."""
+    return np.argsort(-classes.astype(np.int64), kind="stable")
+
+
+def exploded(docs: DataFrame, pattern: str, text: str, keep: list[str], buckets: int) -> DataFrame:
+    """Chunks of documents: their distinct words in ``packs`` (one for each bucket of hashes), the ``classes`` of their frequencies,
+    the number of the word at each of the ``places``, and the ``members``.  NULL counts as empty."""
 
     def run(batches):
         import pyarrow as pa
@@ -100,16 +123,34 @@ def exploded(docs: DataFrame, pattern: str, text: str, keep: list[str]) -> DataF
                     have += len(found)
                 sizes.append(have)
             sequence = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield chunk_row(number, pa.array(numbers, pa.string()), sequence, [batch.column(c) for c in keep], keep, sizes)
+            of_bucket: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+            for word, k in numbers.items():
+                own = word.encode()
+                of_bucket[zlib.crc32(own) % buckets].append((own, k))
+            for own in of_bucket:
+                own.sort()
+            order = np.array([k for own in of_bucket for _, k in own], np.int64)
+            counts = np.bincount(sequence, minlength=len(order))[order] if len(order) else np.zeros(0, np.int64)
+            classes = np.frexp(counts)[1].astype(np.uint8)
+            rank = np.empty(len(order), np.int64)
+            rank[order[_by_class(classes)]] = np.arange(len(order))
+            packs = pa.array([_packed_words([w for w, _ in own]) if own else None for own in of_bucket], pa.binary())
+            kept = pa.StructArray.from_arrays([batch.column(c) for c in keep], names=keep)
+            members = pa.StructArray.from_arrays([kept, pa.array(sizes, pa.int32())], names=["kept", "size"])
+            blobs = [pa.array([b], pa.binary()) for b in (zlib.compress(classes.tobytes()), packed(rank[sequence]))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one_list(packs), *blobs, one_list(members)], names=["chunk", "packs", "classes", "places", "members"])
 
     given = docs.select(*keep, docs[text].alias("__text"))
-    return given.mapInArrow(run, chunk_schema(docs.select(*keep).schema, "string"))
+    schema = chunk_schema(docs.select(*keep).schema, "int")
+    head = _parse_datatype_string("chunk bigint, packs array<binary>, classes binary, places binary")
+    return given.mapInArrow(run, StructType([*head.fields, schema["members"]]))
 
 
 def encoded_words(held: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``chunk``, ``k`` and ``ids`` (array of int) of every distinct word of every chunk.
+    """``chunk``, ``bucket``, ``lengths`` and ``ids`` (packed) of the words of every pack of every chunk.
 
-    Rows of a word meet in one task, which encodes it once for all of them.  The ranks are one file of fixed size and broadcast.
+    Packs of a bucket meet in one task, which encodes each distinct word once for all of them.  The ranks are one file of fixed
+    size and broadcast.
     """
     shared = held.sparkSession.sparkContext.broadcast(ranks)
 
@@ -117,64 +158,76 @@ def encoded_words(held: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for number, items in zip(batch.column("chunk").to_pylist(), batch.column("items")):
-                for at in range(0, len(items), 10_000):
-                    part = items.values.slice(at, 10_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), part], names=["chunk", "k", "item"])
+            for number, packs in zip(batch.column("chunk").to_pylist(), batch.column("packs")):
+                rows = [(number, bucket, pack) for bucket, pack in enumerate(packs.as_py()) if pack is not None]
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "pack"])
 
     def run(batches):
         import pyarrow as pa
 
-        table, word, ids = shared.value, None, []
+        table, known, before = shared.value, {}, None
         for batch in batches:
-            out = []
-            for own in batch.column("item").to_pylist():
-                if own != word:
-                    word, ids = own, merged(own.encode(), table)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["chunk", "k", "ids"])
-
-    rows = held.mapInArrow(explode, "chunk bigint, k int, item string")
-    return rows.repartition("item").sortWithinPartitions("item").mapInArrow(run, "chunk bigint, k int, ids array<int>")
+            rows = []
+            for number, bucket, pack in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "pack"))):
+                if bucket != before:
+                    known, before = {}, bucket
+                lengths, ids = [], []
+                for word in _unpacked_words(pack):
+                    own = known.get(word)
+                    if own is None:
+                        own = known[word] = merged(word, table)
+                    lengths.append(len(own))
+                    ids.extend(own)
+                rows.append((number, bucket, packed(np.array(lengths)), packed(np.array(ids))))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "lengths", "ids"])
+
+    rows = held.mapInArrow(explode, "chunk bigint, bucket int, pack binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk bigint, bucket int, lengths binary, ids binary")
 
 
 def _kept(keep: tuple[str, ...] | None, frame: DataFrame, *own: str) -> list[str]:
     return list(keep) if keep is not None else [c for c in frame.columns if c not in own]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep: tuple[str, ...] | None = None, packed: bool = False) -> DataFrame:
-    """The kept columns (all but the text, if none are named) and ``ids`` of every text: array of int, or ``packed`` as
-    little-endian unsigned 32-bit integers in one binary.
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep: tuple[str, ...] | None = None, binary: bool = False, buckets: int | None = None) -> DataFrame:
+    """The kept columns (all but the text, if none are named) and ``ids`` of every text: array of int, or, as
+    ``binary``, little-endian unsigned 32-bit integers.
 
     Every match of ``pattern`` is encoded by itself; strings of special tokens are plain text.  NULL and empty texts have no
     ids, repeated rows give a row each, a column ``ids`` is replaced.
 
-    Chunks are shuffled once; their words are taken from, and their ids come back to, the same shuffled rows.  ``docs`` must come
+    Words are dealt to ``buckets`` (as many as shuffle partitions, if no number is given), the distinct words of one of which stand
+    in memory.  Chunks are shuffled once; their words are taken from, and their ids come back to, the same shuffled rows.  ``docs`` must come
     in an order that a repeated task has again, as a scan does: write shuffled rows first.
     """
     keep = _kept(keep, docs, text, "ids")
-    held = exploded(docs, pattern, text, keep).repartition("chunk")
-    back = encoded_words(held, rank_table(ranks)).groupBy("chunk").agg(F.collect_list(F.struct("k", "ids")).alias("found"))
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = exploded(docs, pattern, text, keep, buckets).repartition("chunk")
+    back = encoded_words(held, rank_table(ranks)).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "lengths", "ids")).alias("found"))
     met = held.join(back, "chunk", "left")
     # The order of a repeated task must be that of the first one for whoever numbers these rows.
     met = met.sortWithinPartitions("chunk")
-    schema = with_fields(docs.select(*keep), ids="binary" if packed else "array<int>")
+    schema = with_fields(docs.select(*keep), ids="binary" if binary else "array<int>")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row in range(batch.num_rows):
-                found, members = (batch.column(c)[row].values for c in ("found", "members"))
-                order, lengths, flat = _found(found)
-                sequence = unpacked(batch.column("places")[row].as_py())
-                starts, sizes = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-                starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
-                ids = flat[ragged(starts[sequence], sizes[sequence])]
-                tokens = np.concatenate(([0], np.cumsum(sizes[sequence])))
+                members = batch.column("members")[row].values
+                order = _by_class(np.frombuffer(zlib.decompress(batch.column("classes")[row].as_py()), np.uint8))
+                lengths, flat = _found(batch.column("found")[row].as_py())
+                word = order[unpacked(batch.column("places")[row].as_py())]
+                sizes = lengths[word]
+                ids = flat[ragged((np.cumsum(lengths) - lengths)[word], sizes)]
+                del word
+                tokens = np.concatenate(([0], np.cumsum(sizes)))
                 ends = np.concatenate(([0], np.cumsum(members.field("size").to_numpy())))
                 cuts = tokens[ends]
-                if packed:
+                if binary:
                     raw = ids.astype("<u4").tobytes()
                     own = pa.array([raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
                 else:
@@ -184,13 +237,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
     return met.mapInArrow(run, schema)
 
 
-def _found(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the words as they came back, how many ids each has, and all ids."""
-    if found is None:
-        return (np.zeros(0, np.int64),) * 3
-    ids = found.field("ids")
-    lengths = np.array(ids.value_lengths(), np.int64)
-    return found.field("k").to_numpy(), lengths, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+def _found(packs: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word of a chunk has, and all ids, in the order of buckets."""
+    packs = sorted(packs or (), key=lambda p: p["bucket"])
+    joined = [np.concatenate([unpacked(p[c]) for p in packs]) if packs else np.zeros(0, np.int64) for c in ("lengths", "ids")]
+    return joined[0].astype(np.int64), joined[1].astype(np.int32)
 
 
 def token_table(spark: SparkSession, ranks: str) -> DataFrame:
@@ -259,7 +310,7 @@ def decode(encoded: DataFrame, tokens: DataFrame, ids: str = "ids", keep: tuple[
 
 def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text, encoded and decoded again."""
-    ids = encode(docs, ranks, pattern, text, keep=("doc_id",), packed=True)
+    ids = encode(docs, ranks, pattern, text, keep=("doc_id",), binary=True)
     named = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
     back = decode(named, token_table(docs.sparkSession, ranks))
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -63,8 +63,9 @@ def test_chunks_of_any_size_give_the_same(spark, odd, library, monkeypatch, size
 
 
 def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    monkeypatch.setattr(wordbpe, "CHUNK", 3000)
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two two three").alias("text")).repartition(7)
-    held = wordbpe.exploded(docs, PATTERN, "text", ["doc_id"])
+    held = wordbpe.exploded(docs, PATTERN, "text", ["doc_id"], 5)
     calls = spark.sparkContext.accumulator(0)
     merge = wordbpe.merged
 
@@ -74,7 +75,7 @@ def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
 
     monkeypatch.setattr(wordbpe, "merged", counted)
     rows = wordbpe.encoded_words(held.repartition(5, "chunk"), wordbpe.rank_table(RANKS)).collect()
-    assert len(rows) == 3 * held.count() and calls.value == 3
+    assert sum(len(chunks.unpacked(r["lengths"])) for r in rows) == 3 * held.count() and calls.value == 3
 
 
 def test_decoding_of_any_ids(spark, library):
@@ -115,3 +116,16 @@ def test_chunks_are_shuffled_once(spark, odd):
     found = wordbpe.encode(odd, RANKS, PATTERN, keep=("doc_id",))
     found.collect()
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_words():
+    rng = random.Random(2)
+    for n in (0, 1, 40):
+        given = sorted({rng.randbytes(rng.randrange(1, 9)) for _ in range(n)})
+        assert wordbpe._unpacked_words(wordbpe._packed_words(given)) == given
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 500])
+def test_any_number_of_buckets(spark, odd, library, buckets):
+    for row in wordbpe.encode(odd, RANKS, PATTERN, keep=("text",), buckets=buckets).collect():
+        assert row["ids"] == library.encode_ordinary(row["text"] or "")
