@@ -123,13 +123,20 @@ def _sql(text: str) -> str:
 
 
 def _warc_sql() -> str:
-    text = "html"
-    for pattern, to in warc.TAGS:
-        text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(to)}, 'g')"
-    for name, sign in warc.ENTITIES:
-        text = f"replace({text}, {_sql(name)}, {_sql(sign)})"
-    for pattern, to in warc.SPACES:
-        text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(to)}, 'g')"
+    def replaced(text, steps):
+        for pattern, to in steps:
+            text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(to)}, 'g')"
+        return text
+
+    def plain(text):
+        for name, sign in warc.ENTITIES:
+            text = f"replace({text}, {_sql(name)}, {_sql(sign)})"
+        return text
+
+    bare = replaced("html", (warc.TAGS[0], *warc.TAGS[2:4]))
+    text = plain(replaced("bare", (warc.TAGS[1], *warc.TAGS[4:])))
+    text = replaced(text, warc.SPACES)
+    title = plain(r"regexp_extract(bare, '(?is)<title\b[^<>]*>([^<]*)', 1)")
     text = f"trim(regexp_replace({text}, {_sql(r'^' + chr(92) + 'n|' + chr(92) + 'n$')}, '', 'g'), ' ')"
     crlf = "chr(13) || chr(10)"
 
@@ -139,12 +146,12 @@ def _warc_sql() -> str:
 
     head = f"'HTTP/1.1 200 OK' || {crlf} || 'http-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'http-header: Content-Length: ' || strlen(html)"
     return f"""
-      with p as (select page_id, url, coalesce(html, '') as html from pages),
+      with p as (select page_id, url, coalesce(html, '') as html, {bare.replace("html", "coalesce(html, '')", 1)} as bare from pages),
       q as (select *, {text} as txt, 'sha256:' || sha256(html) as source_digest,
               {urn("'response'", "coalesce(page_id::varchar, '')", "coalesce(url, '')")} as refers_to,
-              trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^<>]*>([^<]*)', 1), '\\s+', ' ', 'g'), ' ') as title,
-              regexp_extract(html, '(?i)<html\\b[^<>]*?\\blang=["'']?([A-Za-z-]+)', 1) as language,
-              len(regexp_extract_all(html, '(?i)<a\\b[^<>]*\\bhref=')) as links from p),
+              trim(regexp_replace({title}, '\\s+', ' ', 'g'), ' ') as title,
+              regexp_extract(bare, '(?i)<html\\b[^<>]*?\\blang=["'']?([A-Za-z-]+)', 1) as language,
+              len(regexp_extract_all(bare, '(?i)<a\\b[^<>]*\\bhref=')) as links from p),
       r as (select *, {urn("'conversion'", "refers_to")} as conversion_id, {urn("'metadata'", "refers_to")} as metadata_id,
               'source-payload-digest: ' || source_digest || {crlf} || 'http-status-line: ' || {head} || {crlf} || 'title: ' || title || {crlf}
               || 'language: ' || language || {crlf} || 'outlinks: ' || links || {crlf} || 'text-length: ' || strlen(txt) || {crlf} as fields from q),

@@ -40,8 +40,15 @@ def _names() -> str:
     return "\x01".join(f"{name}\x02{sign}" for name, sign in sorted(signs.items()))
 
 
+#: A reference other than the common ones.
+UNCOMMON = r"&(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + r");)(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z])[A-Za-z0-9]*;"
+
+
 def decoded(text: Column) -> Column:
-    """``text`` with numeric and standard named references replaced, once; a no-break space is a space, unknown names stay."""
+    """``text`` with numeric and standard named references replaced, once; a no-break space is a space, unknown names stay.
+
+    Names are looked up only in texts that hold an uncommon reference.  ``text`` is used several times: give a column, not a chain.
+    """
     named = F.str_to_map(F.lit(_names()), F.lit("\x01"), F.lit("\x02"))
 
     def sign(reference: Column) -> Column:
@@ -57,21 +64,44 @@ def decoded(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
     signs = F.concat(F.transform(found, sign), F.array(F.lit("")))
     whole = F.array_join(F.zip_with(F.split(text, REFERENCE, -1), signs, lambda gap, s: F.concat(gap, s)), "")
-    return F.when(F.instr(text, "&") > 0, whole).otherwise(text)
+    common = text
+    for name, to in ENTITIES:
+        common = F.replace(common, F.lit(name), F.lit(to))
+    return F.when(F.instr(text, "&") == 0, text).when(text.rlike(UNCOMMON), whole).otherwise(common)
+
+
+def _replaced(text: Column, steps) -> Column:
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def bare(html: Column) -> Column:
+    """A page without comments, scripts and styles; unclosed ones reach to the end."""
+    return _replaced(html, (TAGS[0], *TAGS[2:4]))
+
+
+def untagged(page: Column) -> Column:
+    """What is left of a bare page without heads and tags, one line for each of its blocks.
+
+    A head that is not closed ends at the first text or tag that cannot stand in it.
+    """
+    return _replaced(page, (*((head, "") for head in HEADS), *TAGS[4:]))
+
+
+def tidy(text: Column) -> Column:
+    return F.trim(F.regexp_replace(_replaced(text, SPACES), r"^\n|\n$", ""))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page, one line for each of its blocks; unclosed comments, scripts and styles reach to the end.
+def with_text(pages: DataFrame, html: str, text: str) -> DataFrame:
+    """``pages`` with ``__bare`` (see ``bare``) and the plain ``text`` of their html.
 
-    Heads go without their text.  One that is not closed ends at the first text or tag that cannot stand in a head.
+    Each step is a column that the next ones use more than once, so Spark computes it once.
     """
-    comments, _, scripts, styles, *others = TAGS
-    for pattern, to in (comments, scripts, styles, *((h, "") for h in HEADS), *others):
-        html = F.regexp_replace(html, pattern, to)
-    html = decoded(html)
-    for pattern, to in SPACES:
-        html = F.regexp_replace(html, pattern, to)
-    return F.trim(F.regexp_replace(html, r"^\n|\n$", ""))
+    given = pages.withColumn("__bare", bare(F.col(html)))
+    given = given.withColumn("__flat", untagged(F.col("__bare")))
+    given = given.withColumn("__flat", decoded(F.col("__flat")))
+    return given.withColumn(text, tidy(F.col("__flat"))).drop("__flat")
 
 
 def _from(text: Column, mark: str) -> Column:
@@ -114,23 +144,25 @@ def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record of every response record of ``records``; other record types give none.
 
     Both refer to the response, keep its target, date and payload digest; the metadata record names the conversion as made
-    with it and lists the HTTP status and headers.  A NULL block counts as empty, a block without an empty line has no body.
+    with it and lists the HTTP status and headers, the title with its references decoded, the language and the number of links;
+    what stands in comments, scripts and styles counts for none of them.  A NULL block counts as empty, a block without an empty line has no body.
     Columns beside those of ``responses`` are left behind, ``page_id`` stays.  No shuffle.
     """
     given = records.where("record_type = 'response'").withColumn("__block", F.coalesce("block", F.lit("")))
     cut = F.instr("__block", CRLF * 2)
     given = given.withColumn("__head", F.when(cut > 0, F.left("__block", cut - 1)).otherwise(F.col("__block")))
     given = given.withColumn("__html", F.when(cut > 0, F.col("__block").substr(cut + 4, F.length("__block"))).otherwise(F.lit("")))
-    given = given.withColumn("__text", plain_text(F.col("__html")))
+    given = with_text(given, "__html", "__text")
     converted, described = urn(F.lit("conversion"), F.col("record_id")), urn(F.lit("metadata"), F.col("record_id"))
-    title = F.trim(F.regexp_replace(F.regexp_extract("__html", r"(?is)<title\b[^<>]*>([^<]*)", 1), r"\s+", " "))
-    language = F.regexp_extract("__html", r"(?i)<html\b[^<>]*?\blang=[\x22']?([A-Za-z-]+)", 1)
+    given = given.withColumn("__title", F.regexp_extract("__bare", r"(?is)<title\b[^<>]*>([^<]*)", 1))
+    title = F.trim(F.regexp_replace(decoded(F.col("__title")), r"\s+", " "))
+    language = F.regexp_extract("__bare", r"(?i)<html\b[^<>]*?\blang=[\x22']?([A-Za-z-]+)", 1)
     fields = F.concat(
         *[F.lit("source-payload-digest: "), F.coalesce("payload_digest", F.lit("")), F.lit(CRLF)],
         *[F.lit("http-status-line: "), F.substring_index("__head", CRLF, 1)],
         F.when(F.instr("__head", CRLF) > 0, F.replace(_from(F.col("__head"), CRLF), F.lit(CRLF), F.lit(CRLF + "http-header: "))).otherwise(F.lit(CRLF)),
         *[F.lit(CRLF + "title: "), title, F.lit(CRLF + "language: "), language],
-        *[F.lit(CRLF + "outlinks: "), F.regexp_count("__html", F.lit(r"(?i)<a\b[^<>]*\bhref=")).cast("string"), F.lit(CRLF)],
+        *[F.lit(CRLF + "outlinks: "), F.regexp_count("__bare", F.lit(r"(?i)<a\b[^<>]*\bhref=")).cast("string"), F.lit(CRLF)],
         *[F.lit("text-length: "), F.octet_length("__text").cast("string"), F.lit(CRLF)],
     )
     own = F.array(

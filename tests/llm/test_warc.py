@@ -14,7 +14,7 @@ def test_plain_text(spark):
         "<p>open <!-- never closed <p>x",
         "<" * 20000 + "p>",
     ]
-    got = [r.t for r in spark.createDataFrame(list(enumerate(pages)), "i int, html string").orderBy("i").select(warc.plain_text(warc.F.col("html")).alias("t")).collect()]
+    got = [r.t for r in warc.with_text(spark.createDataFrame(list(enumerate(pages)), "i int, html string"), "html", "t").orderBy("i").collect()]
     assert got[:4] == ["One&two\na b\nc", "", "no tags here <b> &lt;", "open"]
 
 
@@ -72,4 +72,22 @@ def test_unclosed_heads_and_references(spark):
         "caf&eacute; &mdash; &#8364;&#x1F642; &#39;q&#39; &nosuch; &amp;eacute; &#128; a&#160;b &#0; &#xD800;": "café — €🙂 'q' &nosuch; &eacute; € a b � �",
     }
     rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string").orderBy("i")
-    assert [r.t for r in rows.select(warc.plain_text(warc.F.col("html")).alias("t")).collect()] == list(pages.values())
+    assert [r.t for r in warc.with_text(rows, "html", "t").orderBy("i").collect()] == list(pages.values())
+
+
+def test_titles_links_and_references(spark):
+    """Expected by hand, without the module's own patterns."""
+    page = (
+        "<html lang=de><head><!-- <title>no</title> --><title>A &amp; B &eacute;&#8212;&#x41;\n c</title><script>var x = '<a href=1>'</script></head>"
+        "<body><!-- <a href=2> --><a href=3>x</a><A class=k HREF='4'>y</A><style><a href=5></style>&amp;eacute; &copy; &unknown; &nbsp;z</body></html>"
+    )
+    long = "<p>a &eacute; b</p>" * 60_000
+    rows = [(1, "u", page), (2, "u", long), (2, "u", long), (3, "u", "<title>x &lt;b&gt;</title>&amp;lt; &lt")]
+    records = warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()
+    meta = {r.page_id: dict(line.split(": ", 1) for line in r.block.split("\r\n") if ": " in line) for r in records if r.record_type == "metadata"}
+    text = {r.page_id: r.block for r in records if r.record_type == "conversion"}
+    assert (meta[1]["title"], meta[1]["language"], meta[1]["outlinks"]) == ("A & B é—A c", "de", "2")
+    assert text[1] == "xy&eacute; © &unknown; z"
+    assert meta[3]["title"] == "x <b>" and text[3] == "x <b>&lt; &lt"
+    assert text[2] == "\n".join(["a é b"] * 60_000)
+    assert len(records) == 8 and len({r.record_id for r in records}) == 6  # repeated pages have the same identifiers
