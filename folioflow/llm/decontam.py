@@ -7,7 +7,6 @@ by half; bands that reach the bound are verified by an alignment confined to the
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +18,24 @@ Q = 9
 EDIT_RATE = 0.08
 #: Shared q-grams asked for at least; a short item is allowed fewer edits for it.
 LEAST_SHARED = 4
-#: Items of fewer normalised code points are searched for without edits, at word bounds; but for lone words under ``Q``.
+#: Items of fewer normalised code points are searched for without edits, at word bounds.
 MIN_ITEM = 24
-#: Items of half as much again are searched for by their segments too, of which each sign is in two.
+#: Items of half as much again are searched for by their segments too, of which each sign is in two; shorter ones, from half as
+#: much again as ``MIN_ITEM``, by stretches of two thirds.
 SEGMENT = 64
+
+
+def segments(size: int) -> list[tuple[int, int]]:
+    """Start and length of the parts of an item of ``size`` code points that are searched for."""
+    if 2 * size >= 3 * SEGMENT:
+        last = size - SEGMENT
+        return [(at, SEGMENT) for at in [*range(0, last, SEGMENT // 2), last]]
+    if 2 * size >= 3 * MIN_ITEM:
+        own = max(MIN_ITEM, -(-2 * size // 3))
+        return [(at, own) for at in sorted({0, (size - own) // 2, size - own})]
+    return []
+
+
 #: Code points by which short items are looked up.
 PREFIX = 8
 #: Normalised code points of benchmark text that are searched for in one pass; a larger benchmark takes several.
@@ -38,9 +51,14 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@functools.cache
+#: Which code points are letters or digits, once made; travels with the functions that use it.
+_ALPHANUMERIC: list[np.ndarray] = []
+
+
 def _alphanumeric() -> np.ndarray:
-    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    if not _ALPHANUMERIC:
+        _ALPHANUMERIC.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    return _ALPHANUMERIC[0]
 
 
 def _kept(lowered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,11 +305,9 @@ class Search:
         self.whole, parts = len(long), []
         self.owner = list(range(len(long)))
         for k, (id_, signs) in enumerate(long):
-            if 2 * len(signs) >= 3 * SEGMENT:
-                last = len(signs) - SEGMENT
-                for at in [*range(0, last, SEGMENT // 2), last]:
-                    parts.append((id_, signs[at : at + SEGMENT]))
-                    self.owner.append(k)
+            for at, own in segments(len(signs)):
+                parts.append((id_, signs[at : at + own]))
+                self.owner.append(k)
         self.index = Index(long + parts, edit_rate)
 
     def search(self, texts: list[np.ndarray]) -> list[list[tuple[object, int, int, int]]]:
@@ -325,10 +341,10 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[o
     held, size = [], 0
     for row in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
         own = normal(row["t"])
-        if not len(own) or (len(own) < Q and _SPACE not in own and _spaced(own).all()):
+        if not len(own):
             continue
         held.append((row["i"], own))
-        size += len(own) * (3 if 2 * len(own) >= 3 * SEGMENT else 1)
+        size += len(own) + sum(n for _, n in segments(len(own)))
         if size >= BLOCK:
             yield held
             held, size = [], 0
