@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from folioflow.suite import derived
 from folioflow.suite.derived import AS_OF, sql_with
 from folioflow.session import materialise, new_path
 from folioflow.sources.objects import put_objects
-from folioflow.streaming import streams
+from folioflow.streaming import stateful, streams
 from folioflow.suite import query
 from folioflow.suite.catalog import SUPPORTED_SQL
 from folioflow.suite.registry import COLUMNS
@@ -120,17 +121,87 @@ def _(spark, sf_dir):
     return registry.apply_updates(jobs, updates.drop("seq"))
 
 
-@query("r4_submission_guard", sql_with("jobs", body="select distinct file_key from jobs"))
+def _in_order(spark, rows, parts, run):
+    """Feed rows (clock ``at``) to a stream in time order: ``parts`` periods of one length, each a run over what is new."""
+    source = new_path(spark, "source")
+    clock = F.unix_micros("at")
+    first, last = rows.agg(F.min(clock), F.max(clock)).first()
+    length = (last - first) // parts + 1 if first is not None else 1
+    for part in range(parts):
+        own = F.floor((clock - F.lit(first)) / length) == part
+        rows.where(own).write.mode("append").parquet(source)
+        run(streams.read_stream(spark, source, rows.schema))
+
+
+def _zoned_events(spark, sf_dir):
+    return derived.table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+GUARD_HOURS, SWEEP_HOURS = 12, 5
+
+
+@query(
+    "r4_submission_guard",
+    f"""with recursive files as ({derived.FILES}),
+      seen as (select key as file_key, ts, event_type = 'purchase' as ended,
+        min(case when event_type = 'purchase' then ts end) over (partition by key order by ts rows between 1 following and unbounded following) as done
+        from events join files on doc_id = user_id),
+      requests as (select file_key, ts, least(ts + interval '{GUARD_HOURS}' hour, coalesce(done, ts + interval '{GUARD_HOURS}' hour)) as until from seen where not ended),
+      next as (select a.file_key, a.ts, min(b.ts) as after from requests a join requests b on b.file_key = a.file_key and b.ts > a.ts and b.ts >= a.until group by a.file_key, a.ts),
+      admitted as (select file_key, min(ts) as ts from requests group by file_key
+        union all select next.file_key, next.after from admitted join next on next.file_key = admitted.file_key and next.ts = admitted.ts)
+      select file_key, ts as at from admitted""",
+)
 def _(spark, sf_dir):
-    keyed = _event_stream(spark, sf_dir).join(derived.files(spark, sf_dir), F.col("user_id") == F.col("doc_id"))
-    requests = keyed.select(F.col("key").alias("file_key"), "at")
-    return _collect(spark, streams.guarded_submissions(requests)).select("file_key").distinct()
+    """Every event but a purchase asks for a job of its user's file, a purchase ends it; three micro-batches."""
+    keyed = _zoned_events(spark, sf_dir).join(derived.files(spark, sf_dir), F.col("user_id") == F.col("doc_id"))
+    events = keyed.select(F.col("key").alias("file_key"), "at", (F.col("event_type") == "purchase").alias("ended"))
+    out, progress = new_path(spark, "admitted"), new_path(spark, "progress")
+    _in_order(spark, events, 3, lambda stream: stateful.run_states(stateful.guarded_until_done(stream, F.col("ended"), GUARD_HOURS), progress, out))
+    return spark.read.parquet(out).select("file_key", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@query(
+    "r3_timer_sweep",
+    f"""select job_id, ts as started_at, ts + interval '{SWEEP_HOURS}' hour as failed_at from (select concat('job-', user_id) as job_id, event_type, ts,
+        lead(ts) over (partition by user_id order by ts) as after, max(ts) over () as last from events)
+      where event_type = 'view' and (after > ts + interval '{SWEEP_HOURS}' hour or (after is null and ts + interval '{SWEEP_HOURS}' hour < last))""",
+)
+def _(spark, sf_dir):
+    """Jobs that say nothing for hours after they began to run, in three micro-batches."""
+    labels = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    events = _zoned_events(spark, sf_dir).select(F.concat(F.lit("job-"), "user_id").alias("job_id"), labels[F.col("event_type")].alias("status"), "at")
+    out, progress = new_path(spark, "swept"), new_path(spark, "progress")
+    _in_order(spark, events, 3, lambda stream: stateful.run_states(stateful.sweep_by_timers(stream, SWEEP_HOURS), progress, out))
+    return spark.read.parquet(out).select("job_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "failed_at")])
+
+
+@query("r2_held_status", f"select concat('job-', user_id) as job_id, arg_max({STATUS_SQL}, ts) as status, max(ts) as at from events group by user_id")
+def _(spark, sf_dir):
+    """The last status of every job, read from the state of the stream that saw its reports."""
+    labels = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    events = _zoned_events(spark, sf_dir)
+    events = events.select(F.concat(F.lit("job-"), "user_id").alias("job_id"), labels[F.col("event_type")].alias("status"), "at", "event_id")
+    progress = new_path(spark, "progress")
+    _in_order(spark, events, 3, lambda stream: stateful.run_states(stateful.status_changes(stream, F.col("event_id")), progress, mode="update"))
+    return stateful.held_status(spark, progress).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("r5_resume", "select event_id, concat('job-', user_id) as job_id from events")
 def _(spark, sf_dir):
-    """Run, stop, and run again from the same progress folder: nothing is lost and nothing is doubled."""
-    out, progress = new_path(spark, "stream"), new_path(spark, "progress")
-    for _ in range(2):
-        streams.run_to_end(_status_events(spark, sf_dir), out, progress)
+    """Three periods arrive; the run over the second one fails on a row and the third run takes up from there."""
+    out, progress, runs = new_path(spark, "stream"), new_path(spark, "progress"), []
+
+    def run(stream):
+        runs.append(stream)
+        rows = stream.select("event_id", F.concat(F.lit("job-"), "user_id").alias("job_id"))
+        if len(runs) != 2:
+            return streams.run_to_end(rows, out, progress)
+        lost = F.when(F.pmod("event_id", F.lit(7)) == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("job_id"))
+        try:
+            streams.run_to_end(rows.withColumn("job_id", lost.cast("string")), out, progress)
+        except StreamingQueryException:
+            pass
+
+    _in_order(spark, _zoned_events(spark, sf_dir).select("event_id", "user_id", "at"), 3, run)
     return spark.read.parquet(out).select("event_id", "job_id")
