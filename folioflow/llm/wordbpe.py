@@ -22,7 +22,9 @@ from folioflow.llm.chunks import chunk_row, chunk_schema, chunks, one_list, pack
 from folioflow.llm.frames import with_fields
 
 #: Bytes of a chunk: the longer, the less often a common word is shuffled.
-CHUNK = 8_000_000
+CHUNK = 5_000_000
+#: Places whose ids are put in order at a time (more only where a document has more).
+STRETCH = 200_000
 #: Code points split at a time, so that a very long text never stands in memory as a list of all its words.
 WINDOW = 1_000_000
 
@@ -122,11 +124,12 @@ def exploded(docs: DataFrame, pattern: str, text: str, keep: list[str], buckets:
                     parts.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                     have += len(found)
                 sizes.append(have)
-            sequence = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            sequence, parts = np.concatenate(parts) if parts else np.zeros(0, np.int32), []
             of_bucket: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
             for word, k in numbers.items():
                 own = word.encode()
                 of_bucket[zlib.crc32(own) % buckets].append((own, k))
+            numbers.clear()
             for own in of_bucket:
                 own.sort()
             order = np.array([k for own in of_bucket for _, k in own], np.int64)
@@ -218,25 +221,35 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
         for batch in batches:
             for row in range(batch.num_rows):
                 members = batch.column("members")[row].values
-                order = _by_class(np.frombuffer(zlib.decompress(batch.column("classes")[row].as_py()), np.uint8))
+                kept, held_sizes = members.field("kept"), members.field("size").to_numpy()
+                order = _by_class(np.frombuffer(zlib.decompress(batch.column("classes")[row].as_py()), np.uint8)).astype(np.int32)
                 lengths, flat = _found(batch.column("found")[row].as_py())
-                word = order[unpacked(batch.column("places")[row].as_py())]
-                sizes = lengths[word]
-                ids = flat[ragged((np.cumsum(lengths) - lengths)[word], sizes)]
-                del word
-                tokens = np.concatenate(([0], np.cumsum(sizes)))
-                ends = np.concatenate(([0], np.cumsum(members.field("size").to_numpy())))
-                cuts = tokens[ends]
-                if binary:
-                    raw = ids.astype("<u4").tobytes()
-                    own = pa.array([raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
-                else:
-                    own = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[members.field("kept").field(c) for c in keep], own], names=[*keep, "ids"])
+                starts, places = np.cumsum(lengths) - lengths, unpacked(batch.column("places")[row].as_py())
+                ends = np.concatenate(([0], np.cumsum(held_sizes)))
+                for a, b in _stretches(ends):
+                    word = order[places[ends[a] : ends[b]]]
+                    sizes = lengths[word]
+                    ids = flat[ragged(starts[word], sizes)]
+                    cuts = np.concatenate(([0], np.cumsum(sizes)))[ends[a : b + 1] - ends[a]]
+                    if binary:
+                        raw = ids.astype("<u4").tobytes()
+                        own = pa.array([raw[4 * x : 4 * y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
+                    else:
+                        own = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*[kept.field(c).slice(a, b - a) for c in keep], own], names=[*keep, "ids"])
 
     return met.mapInArrow(run, schema)
 
 
+def _stretches(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Members, from one to before another, that have about ``STRETCH`` places together."""
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + STRETCH, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def _found(packs: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     """How many ids each word of a chunk has, and all ids, in the order of buckets."""
     packs = sorted(packs or (), key=lambda p: p["bucket"])

@@ -51,6 +51,7 @@ def test_whole_texts_as_in_the_library(spark, odd, library):
 def test_chunks_of_any_size_give_the_same(spark, odd, library, monkeypatch, size):
     monkeypatch.setattr(chunks, "CHUNK", size)
     monkeypatch.setattr(wordbpe, "CHUNK", size)
+    monkeypatch.setattr(wordbpe, "STRETCH", size // 10 + 1)
     got = wordbpe.digests(odd.repartition(3, "doc_id"), RANKS, PATTERN).collect()
     import hashlib
 
