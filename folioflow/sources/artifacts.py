@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import fmt, paths, text
-from folioflow.sources import catalog
 from folioflow.sources.objects import fetch_objects, list_objects, put_objects
+from folioflow.sources.objectstore import objects
 
 
 def pick_preferred(candidates: DataFrame, document: str, path: str, expected: Column) -> DataFrame:
@@ -21,9 +21,9 @@ def pick_preferred(candidates: DataFrame, document: str, path: str, expected: Co
 
 
 def markdown(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """``target_key, md, error`` of the Markdown objects below the prefix; only those are read."""
-    keys = catalog.all_files(spark, root, prefix).where(F.col("key").endswith(".md"))
-    docs = fetch_objects(keys, root)
+    """``target_key, md, error`` of the Markdown objects below the prefix; only those are read, by the tasks that list them."""
+    docs = objects(spark, root, content=True).where(F.col("key").endswith(".md"))
+    docs = docs.where(F.col("key").startswith(prefix)) if prefix else docs
     md = text.decode_utf8("content")
     error = F.when(md.isNull(), F.coalesce("fetch_error", F.lit("not UTF-8")))
     return docs.select(F.col("key").alias("target_key"), md.alias("md"), error.alias("error"))

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import paths
-from folioflow.sources.objects import fetch_objects, list_objects, put_objects
+from folioflow.sources.objects import put_objects
+from folioflow.sources.objectstore import objects
 
 
 def all_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """``key, size`` of everything below ``root`` whose key starts with ``prefix``; no name is left out.
 
-    Only the folder that can hold the prefix is listed; see :func:`list_objects`.
+    Nothing is listed before an action, and then only the folder that can hold the prefix (see :mod:`.objectstore`).  The listing
+    is made anew by each action; :func:`folioflow.session.materialise` keeps one.
     """
-    files = list_objects(spark, root, below=prefix.rpartition("/")[0])
+    files = objects(spark, root)
     return files.where(F.col("key").startswith(prefix)) if prefix else files
 
 
@@ -32,7 +34,8 @@ def documents(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
 
     To isolate unreadable documents, extract by key: ``extract(list_files(...), extractor, root)``.
     """
-    found = fetch_objects(all_files(spark, root, prefix), root)
+    found = objects(spark, root, content=True)
+    found = found.where(F.col("key").startswith(prefix)) if prefix else found
     reason = F.concat(F.lit("cannot read "), F.col("key"), F.lit(": "), F.col("fetch_error"))
     content = F.when(F.col("fetch_error").isNotNull(), F.raise_error(reason).cast("binary")).otherwise(F.col("content"))
     return found.select("key", "size", content.alias("content"))

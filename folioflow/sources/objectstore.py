@@ -21,24 +21,23 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from folioflow.sources.objects import RowBatcher, _open_root, persistently, read_object
 
 NAME = "folioflow_objects"
-#: Folders among which planning stops going down, and keys that one task looks up.
-FOLDERS, KEYS = 256, 500
+#: Planning goes down until there are this many folders for each task; keys that one task looks up.
+SHARE, KEYS = 4, 500
 _COLUMNS = [StructField("key", StringType()), StructField("size", LongType())]
 _CONTENT = [StructField("content", BinaryType()), StructField("fetch_error", StringType())]
 
 
 @dataclass
 class Part(InputPartition):
-    """What one task lists: ``folder`` with all below it or its own objects alone, or some ``keys``."""
+    """What one task lists: folders with all below them, or (not ``deep``) their own objects alone, or some ``keys``."""
 
-    folder: str = ""
-    deep: bool = True
+    folders: tuple[tuple[str, bool], ...] = ()
     keys: tuple[str, ...] | None = None
 
 
 class ObjectReader(DataSourceReader):
-    def __init__(self, schema: StructType, root: str, folders: int) -> None:
-        self.schema, self.root, self.folders = schema, root, folders
+    def __init__(self, schema: StructType, root: str, tasks: int) -> None:
+        self.schema, self.root, self.tasks = schema, root, tasks
         self.prefix, self.endings, self.keys, self.nothing = "", [], None, False
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -72,14 +71,15 @@ class ObjectReader(DataSourceReader):
             named = sorted(k for k in self.keys if k is not None and self._wanted(k))
             return [Part(keys=tuple(named[i : i + KEYS])) for i in range(0, len(named), KEYS)] or [Part(keys=())]
         shallow, front = [], [self.prefix.rpartition("/")[0]]
-        while front and len(front) < self.folders:
+        while front and len(front) < SHARE * self.tasks:
             below = []
             for folder in front:
                 found = filesystem.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True))
                 names = [info.path[len(base) + 1 :] for info in found if info.type == fs.FileType.Directory]
                 below += [n for n in names if f"{n}/".startswith(self.prefix) or self.prefix.startswith(f"{n}/")]
             shallow, front = shallow + front, below
-        return [Part(f, deep=False) for f in shallow] + [Part(f) for f in front]
+        every = [*((folder, False) for folder in shallow), *((folder, True) for folder in front)]
+        return [Part(tuple(every[i :: self.tasks])) for i in range(min(self.tasks, len(every)))]
 
     def _listed(self, part: Part) -> Iterator[tuple[str, int]]:
         from pyarrow import fs
@@ -90,12 +90,13 @@ class ObjectReader(DataSourceReader):
                 if info.type == fs.FileType.File:
                     yield info.path[len(base) + 1 :], info.size
             return
-        pending = [f"{base}/{part.folder}".rstrip("/")]
+        pending = [(f"{base}/{folder}".rstrip("/"), deep) for folder, deep in part.folders]
         while pending:
-            for info in filesystem.get_file_info(fs.FileSelector(pending.pop(), allow_not_found=True)):
+            folder, deep = pending.pop()
+            for info in filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
                 if info.type == fs.FileType.Directory:
-                    if part.deep:
-                        pending.append(info.path)
+                    if deep:
+                        pending.append((info.path, True))
                 elif self._wanted(key := info.path[len(base) + 1 :]):
                     yield key, info.size
 
@@ -195,7 +196,7 @@ class ObjectWriter(DataSourceArrowWriter):
 
 
 class ObjectStore(DataSource):
-    """Options: ``root``; ``content`` (``true``: the bytes too, or ``fetch_error``); ``folders`` (see ``FOLDERS``)."""
+    """Options: ``root``; ``content`` (``true``: the bytes too, or ``fetch_error``); ``tasks`` among which folders are dealt."""
 
     @classmethod
     def name(cls) -> str:
@@ -206,7 +207,7 @@ class ObjectStore(DataSource):
         return StructType([*_COLUMNS, *(_CONTENT if content else ())])
 
     def reader(self, schema: StructType) -> ObjectReader:
-        return ObjectReader(schema, self.options["root"], int(self.options.get("folders", FOLDERS)))
+        return ObjectReader(schema, self.options["root"], max(1, int(self.options.get("tasks", 64))))
 
     def writer(self, schema: StructType, overwrite: bool) -> ObjectWriter:
         if overwrite:
@@ -223,7 +224,8 @@ def registered(spark: SparkSession) -> SparkSession:
 
 def objects(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """``key, size`` (and ``content, fetch_error``) of every object below ``root``, listed when an action runs."""
-    return registered(spark).read.format(NAME).option("root", root).option("content", str(content).lower()).load()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return registered(spark).read.format(NAME).option("root", root).option("tasks", tasks).option("content", str(content).lower()).load()
 
 
 def store(rows: DataFrame, root: str) -> None:

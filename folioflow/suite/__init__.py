@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the query modules, which fill the two tables above."""
-    from folioflow.suite import catalog, display, documents, registry, streams, texts, views  # noqa: F401
+    from folioflow.suite import catalog, display, documents, registry, stores, streams, texts, views  # noqa: F401

@@ -25,9 +25,9 @@ def jobs_run(spark):
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
 
 
-@pytest.mark.parametrize("folders", [1, 3, 256])
-def test_lists_every_name(spark, root, folders):
-    frame = objectstore.registered(spark).read.format(objectstore.NAME).option("root", root).option("folders", folders).load()
+@pytest.mark.parametrize("tasks", [1, 3, 256])
+def test_lists_every_name(spark, root, tasks):
+    frame = objectstore.registered(spark).read.format(objectstore.NAME).option("root", root).option("tasks", tasks).load()
     assert {r.key: r["size"] for r in frame.collect()} == {k: len(v) for k, v in tree(root).items()}
 
 
