@@ -7,6 +7,7 @@ learnt for it.  A text gets the language whose prototype has the greatest cosine
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from folioflow.llm.frames import with_fields
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Code points worked on at a time; n-grams of a longer text do not cross its parts.
+#: Code points worked on at a time; parts of a longer text overlap so that each of its n-grams is in one of them.
 PART = 1_000_000
 #: Up to so many distinct letters in a part, n-grams are counted in a table of all combinations.
 DENSE_LETTERS = 128
@@ -42,11 +43,15 @@ class Letters:
             found = self.vectors[point] = signs * np.int8(2) - np.int8(1)
         return found
 
-    def counts(self, texts: list[str], owners: np.ndarray, n_owners: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (owner by n-gram) and vectors (n-gram by dimension) of the lower-cased texts' n-grams."""
-        lowered = [t.lower() for t in texts]
-        lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 2
-        points = np.frombuffer(("\0" + "\0\0".join(lowered) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    def counts(self, texts: list[str], owners: np.ndarray, n_owners: int, ends: list[tuple[bool, bool]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (owner by n-gram) and vectors (n-gram by dimension) of the lower-cased texts' n-grams.
+
+        ``ends`` tells for parts of texts whether the text begins and ends with them; nothing stands beside a part's other ends.
+        """
+        lowered = [t.lower() for t in texts] if ends is None else ["\0" * a + t.lower() + "\0" * b for t, (a, b) in zip(texts, ends)]
+        lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 2 * (ends is None)
+        joined = "\0" + "\0\0".join(lowered) + "\0" if ends is None else "".join(lowered)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         points = np.where(self.is_letter[points], points, 0)
         text_of = np.repeat(np.arange(len(lowered)), lengths)
         keep = np.ones(len(points), bool)
@@ -89,21 +94,44 @@ def _dense(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return letters, place[points]
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """Texts in groups of about ``PART`` code points, with the index of each; long ones are cut."""
+_TWO_LETTERS = re.compile(r"[^\W\d_]{%d}" % (GRAM - 1))
+
+
+def _cuts(lowered: str) -> list[int]:
+    """Where a long lower-cased text is cut: behind as many letters as two neighbouring n-grams share."""
+    cuts, at = [0], 0
+    while (found := _TWO_LETTERS.search(lowered, at + PART - GRAM + 1)) and found.end() < len(lowered):
+        at = found.end()
+        if found[0].isalpha():
+            cuts.append(at)
+        else:
+            at = found.start() + 1 - PART + GRAM - 1
+    return cuts
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[list[str], list[int], list[tuple[bool, bool]] | None]]:
+    """Texts in groups of about ``PART`` code points, with the index of each; long ones are cut, each a group of its own."""
     held: list[str] = []
     whose: list[int] = []
     size = 0
     for i, text in enumerate(texts):
-        for k in range(0, len(text), PART):
-            held.append(text[k : k + PART])
+        if len(text) > PART:
+            if held:
+                yield held, whose, None
+                held, whose, size = [], [], 0
+            lowered = text.lower()
+            cuts = _cuts(lowered)
+            for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(lowered)])):
+                yield [lowered[max(0, a - GRAM + 1) : b]], [i], [(k == 0, k == len(cuts) - 1)]
+        elif text:
+            held.append(text)
             whose.append(i)
-            size += len(held[-1])
+            size += len(text)
             if size >= PART or len(held) >= 2000:
-                yield held, whose
+                yield held, whose, None
                 held, whose, size = [], [], 0
     if held:
-        yield held, whose
+        yield held, whose, None
 
 
 def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
@@ -121,9 +149,9 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
             numbers = {name: i for i, name in enumerate(names)}
-            for texts, whose in _parts(batch.column("text").to_pylist()):
+            for texts, whose, ends in _parts(batch.column("text").to_pylist()):
                 owners = np.array([numbers[langs[i]] for i in whose])
-                table, vectors = letters.counts(texts, owners, len(names))
+                table, vectors = letters.counts(texts, owners, len(names), ends)
                 for name, total in zip(names, table.astype(np.float64) @ vectors):
                     sums[name] = sums.get(name, 0) + total
         for name, total in sums.items():
@@ -152,10 +180,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             texts = [t or "" for t in batch.column(text).to_pylist()]
             cosines, norms, lettered = np.zeros((len(texts), len(names))), np.zeros(len(texts)), np.zeros(len(texts), bool)
             cut: dict[int, np.ndarray] = {}
-            for held, whose in _parts(texts):
+            for held, whose, ends in _parts(texts):
                 first = whose[0]
                 owners = np.array(whose) - first
-                table, vectors = letters.counts(held, owners, int(owners[-1]) + 1)
+                table, vectors = letters.counts(held, owners, int(owners[-1]) + 1, ends)
                 sums = (table @ vectors).astype(np.float64)
                 for k in range(len(sums)):
                     if len(texts[first + k]) > PART:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import langid
@@ -51,3 +52,20 @@ def test_odd_rows(spark, odd, monkeypatch):
     monkeypatch.setattr(langid, "PART", 1000)
     cut = {(r.doc_id, r.text): r.lang_pred for r in langid.predict(odd, prototypes).collect()}
     assert sum(cut[k] == whole[k][0] for k in cut) >= len(cut) - 1
+
+
+@pytest.mark.parametrize("part", [3, 10, 64])
+def test_parts_of_a_long_text_have_the_n_grams_of_the_whole(monkeypatch, part):
+    import random
+
+    rng, letters = random.Random(part), langid.Letters(16)
+    for _ in range(60):
+        text = "".join(rng.choices("abcÀİΣß  .1²_\n日", k=rng.randrange(200)))
+        monkeypatch.setattr(langid, "PART", 10**9)
+        table, vectors = letters.counts([text], np.array([0]), 1)
+        monkeypatch.setattr(langid, "PART", part)
+        sums = 0
+        for held, whose, ends in langid._parts([text]):
+            own, bound = letters.counts(held, np.zeros(len(held), int), 1, ends)
+            sums = sums + (own @ bound).sum(axis=0)
+        assert np.allclose((table @ vectors).sum(axis=0), sums)
