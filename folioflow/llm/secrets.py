@@ -56,12 +56,22 @@ NEAR = 60
 LABELLED = 20_000
 #: A word is in the dictionary if this share of the documents has it; D distinct words a document bound it to D / SHARE words.
 SHARE = 0.002
-WORD = (3, 8)
+#: Letters of a dictionary word at least; there is no greatest length.
+WORD = 3
 #: Places of a value that are looked at together.
 PIECE = 256
 BUCKETS = 16
 TREES, DEPTH, SEED = 24, 6, 7
 
+#: Forms that are keys wherever they stand (fixed values): access key ids, tokens with a provider's prefix, signed tokens.
+KNOWN = (
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}",
+    r"gh[pousr]_[A-Za-z0-9]{36,}",
+    r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    r"(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}",
+    r"AIza[A-Za-z0-9_-]{35}",
+    r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*",
+)
 _CREDENTIAL = r"(?:token|secret|passw(?:or)?d|api[_-]?key|private_?key|credential)[\x22']?\s*[=:]\s*[\x22']?$"
 
 
@@ -94,13 +104,20 @@ def findings(docs: DataFrame, text: str = "text", path: str = "source") -> DataF
 
 
 def weak_label(before: Column, value: Column) -> Column:
-    """Label of a finding by rule, for corpora without reviewed ones: 1 if it is assigned to a credential's name and has a digit."""
-    return (F.lower(before).rlike(_CREDENTIAL) & value.rlike("[0-9]")).cast("double")
+    """Label of a finding by rule, for corpora without reviewed ones, and NULL for what the rule cannot judge.
+
+    1: assigned to a credential's name with a digit in it, or of a form that is ``KNOWN``.  0: letters alone, words of letters
+    joined by one kind of sign, or digits alone, and not assigned to such a name.
+    """
+    assigned = F.lower(before).rlike(_CREDENTIAL)
+    known = value.rlike("^(?:" + "|".join(KNOWN) + ")$")
+    prose = value.rlike(r"^\p{L}+(?:(?:_\p{L}+)*|(?:-\p{L}+)*|(?:/\p{L}+)*)$|^[0-9]+$")
+    return F.when(known | (assigned & value.rlike("[0-9]")), 1.0).when(prose & ~assigned, 0.0)
 
 
 def dictionary(docs: DataFrame, text: str = "text", share: float = SHARE) -> DataFrame:
-    """``word``: lower-case words of ``WORD`` letters that at least ``share`` of the documents have; counted over all of them."""
-    letters = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?<!\p{L})\p{L}{%d,%d}+(?!\p{L})" % WORD), F.lit(0))
+    """``word``: lower-case words of ``WORD`` letters or more that at least ``share`` of the documents have; counted over all of them."""
+    letters = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}{%d,}+" % WORD), F.lit(0))
     words = docs.select(F.explode(F.array_distinct(letters)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return words.where(F.col("n") >= docs.count() * share).select("word")
 
@@ -109,15 +126,17 @@ def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     """``__key`` (digest of the value), ``covered``: the share of each distinct value's signs that lie in a dictionary word.
 
     Only digests go with the parts of a value, and parts are taken from pieces of ``PIECE`` places, so that a long value
-    costs no more than its length.
+    costs no more than its length.  Parts have the lengths that words of the dictionary have: a handful of numbers, at
+    the driver, that do not grow with the corpus.
     """
+    lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect()) or [WORD]
     values = found.select(F.sha2("value", 256).alias("__key"), "value").dropDuplicates(["__key"])
-    size, most = F.length("value"), WORD[1]
+    size, most = F.length("value"), lengths[-1]
     pieces = values.select("__key", "value", size.alias("size"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / PIECE).cast("int"))).alias("p"))
     pieces = pieces.where("size > 0").select("__key", "size", (F.col("p") * PIECE).alias("p"), F.col("value").substr(F.col("p") * PIECE + 1, F.lit(PIECE + most - 1)).alias("piece"))
     long = F.length("piece")
-    at = pieces.where(long >= WORD[0]).select("__key", "size", "p", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), long - WORD[0] + 1))).alias("at"))
-    part = at.select("__key", "size", "p", "piece", "at", F.explode(F.sequence(F.lit(WORD[0]), F.least(F.lit(most), F.length("piece") - F.col("at") + 1))).alias("n"))
+    at = pieces.where(long >= lengths[0]).select("__key", "size", "p", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), long - lengths[0] + 1))).alias("at"))
+    part = at.select("__key", "size", "p", "piece", "at", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.col("n") <= F.length("piece") - F.col("at") + 1)
     part = part.select("__key", "size", (F.col("p") + F.col("at")).alias("at"), "n", F.lower(F.col("piece").substr(F.col("at"), F.col("n"))).alias("word"))
     met = part.join(words, "word").groupBy("__key", "size", "at").agg(F.max("n").alias("n"))
     signs = met.select("__key", "size", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("sign")).distinct()
