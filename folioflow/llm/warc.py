@@ -22,7 +22,8 @@ TAGS = (
 )
 #: Named characters of the SQL, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
+#: Only what changes is matched: most spaces stand alone.
+SPACES = ((r"[ \t\r\f]{2,}|[\t\r\f]", " "), (r" \n[ \n]*|\n[ \n]+", "\n"))
 
 
 #: A head that is closed before the body begins, and the head's own tags where it is not closed.
