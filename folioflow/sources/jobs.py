@@ -1,79 +1,33 @@
-"""The job table on disk: numbered snapshots, each written whole to a new folder."""
+"""The job table on disk, by Spark's own readers and writers.
 
-from __future__ import annotations
+Registry operators give the new table; where it goes is the caller's: a new folder, or a table of whatever format the session
+knows, whose own commits then decide between concurrent writers.
+"""
 
-import re
+from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.schemas import align_jobs
 
 
-def _store(spark: SparkSession, root: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _numbers(spark: SparkSession, root: str, pattern: str) -> list[int]:
-    path, fs = _store(spark, root)
-    if not fs.exists(path):
-        return []
-    found = (re.fullmatch(pattern, status.getPath().getName()) for status in fs.listStatus(path))
-    return sorted(int(m.group(1)) for m in found if m)
-
-
-def _snapshots(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of complete snapshots: one counts once its commit marker is there."""
-    path, fs = _store(spark, root)
-    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return [n for n in _numbers(spark, root, r"snapshot=(\d+)") if fs.exists(made(path, f"snapshot={n:012d}/_SUCCESS"))]
-
-
-def latest_version(spark: SparkSession, root: str) -> int:
-    """Number of the latest complete snapshot, 0 before the first."""
-    return max(_snapshots(spark, root), default=0)
-
-
-def load_jobs(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """A complete snapshot (the latest), brought to the current columns; an empty table before the first."""
-    version = latest_version(spark, root) if version is None else version
-    if not version:
-        return align_jobs(spark.createDataFrame([], "job_id string, submitted_at timestamp"))
-    return align_jobs(spark.read.parquet(f"{root}/snapshot={version:012d}"))
-
-
-class ConcurrentChange(RuntimeError):
-    """Another writer has changed the table since it was read."""
+def load_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at ``path``, brought to the current columns."""
+    return align_jobs(spark.read.parquet(path))
 
 
-def folded_upto(spark: SparkSession, root: str, version: int) -> int:
-    """Last batch of a status log that a snapshot holds, -1 for none."""
-    found = _numbers(spark, f"{root}/folded={version:012d}", r"batch=(\d+)") if version else []
-    return max(found, default=-1)
+def save_jobs(jobs: DataFrame, path: str) -> None:
+    """Write a table to a new folder; one that is there is an error, so what ``jobs`` derives from is never overwritten."""
+    align_jobs(jobs).write.mode("errorifexists").parquet(path)
 
 
-def save_jobs(jobs: DataFrame, root: str, read_version: int | None = None, folded: int | None = None) -> int:
-    """Write the next snapshot.  The one being read stays as it is, so ``jobs`` may derive from it.
+def save_bucketed(jobs: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Write a table of the session's catalog with rows of a file in one bucket, and give it.
 
-    ``read_version`` is the snapshot ``jobs`` derives from; a table that has changed since then is not overwritten.  A number
-    is claimed by creating its claim file, which one of two writers can do; the other one fails.  A claim without snapshot is
-    left by a writer that died; its number is not used again.  ``folded`` is the last batch of a status log that ``jobs`` holds;
-    without it the snapshot holds what the one before held.
+    The latest job of each file, and joins with the jobs on ``file_key``, then need no shuffle of the jobs.  A bucket is read by
+    one task: keep a registry in which one file has a large share of all jobs in plain Parquet (``save_jobs``), which
+    adaptive execution can split.
     """
-    spark = jobs.sparkSession
-    path, fs = _store(spark, root)
-    latest = latest_version(spark, root)
-    if read_version is not None and read_version != latest:
-        raise ConcurrentChange(f"{root} is at version {latest}, not {read_version}")
-    number = max([latest, *_numbers(spark, root, r"claim=(\d+)")]) + 1
-    claim = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"claim={number:012d}")
-    try:
-        fs.create(claim, False).close()
-    except Py4JJavaError as taken:
-        raise ConcurrentChange(f"another writer makes version {number} of {root}") from taken
-    held = folded_upto(spark, root, latest) if folded is None else folded
-    if held >= 0:  # before the snapshot counts
-        fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"folded={number:012d}/batch={held:012d}"), True).close()
-    align_jobs(jobs).write.mode("errorifexists").parquet(f"{root}/snapshot={number:012d}")
-    return number
+    writer = align_jobs(jobs).write.mode("errorifexists").format("parquet").bucketBy(buckets, "file_key").sortBy("file_key")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return align_jobs(jobs.sparkSession.table(table))

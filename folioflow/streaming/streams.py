@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,6 @@ from folioflow.functions import paths
 from folioflow.operators import registry
 from folioflow.schemas import TERMINAL
 from folioflow.sources.catalog import list_files
-from folioflow.sources.jobs import folded_upto, latest_version, load_jobs, save_jobs
 
 #: A second submission of a key counts as a repeat while the first job may still be running.
 GUARD_DELAY = "2 hours"
@@ -36,19 +36,20 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 # ---- discovery -----------------------------------------------------------------------------
 
 
-def discover_on_ticks(ticks: DataFrame, root: str, jobs: Callable[[], DataFrame], log: str, checkpoint: str, prefix: str = "") -> None:
+def discover_on_ticks(ticks: DataFrame, root: str, jobs: Callable[[], DataFrame], log: str, checkpoint: str, prefix: str = "", look_back: int | None = None) -> None:
     """List below ``root`` once per micro-batch of ``ticks(at)`` and log pending jobs for documents that have none.
 
     ``jobs`` gives the registry as it is when the batch runs; documents of earlier batches count as known, too.  Each batch
     owns the folder ``batch=<id>`` of the log and overwrites it, so a replay logs every document once.  Listing and anti join
-    run in tasks; nothing remembers the files seen but the log.
+    run in tasks; nothing remembers the files seen but the log.  Where the registry takes up logged jobs within some batches,
+    ``look_back`` says how many, and older parts of the log are not read.
     """
 
     def discover(batch: DataFrame, batch_id: int) -> None:
         at = batch.agg(F.max("at").cast("string").alias("at")).first()["at"]
         if at is not None:
             fresh = discovered_jobs(list_files(batch.sparkSession, root, prefix), jobs(), at)
-            earlier = _earlier(batch.sparkSession, log, batch_id)
+            earlier = _earlier(batch.sparkSession, log, batch_id, look_back)
             if earlier is not None:
                 fresh = fresh.join(earlier.select("file_key"), "file_key", "left_anti")
             fresh.write.mode("overwrite").parquet(f"{log}/batch={batch_id:012d}")
@@ -60,10 +61,16 @@ def _each_batch(ticks: DataFrame, action: Callable[[DataFrame, int], None], chec
     ticks.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _earlier(spark: SparkSession, log: str, batch_id: int) -> DataFrame | None:
-    """The log of the batches before ``batch_id``; None if there are none."""
-    before = [f"{log}/batch={n:012d}" for n in _batches(spark, log) if n < batch_id]
-    return spark.read.parquet(*before) if before else None
+def _earlier(spark: SparkSession, log: str, batch_id: int, look_back: int | None) -> DataFrame | None:
+    """The log of the ``look_back`` batches before ``batch_id`` (of all, if no number is given); None if there is none."""
+    try:
+        held = spark.read.parquet(log)
+    except AnalysisException as absent:
+        if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    held = held.where(F.col("batch") < batch_id)
+    return held if look_back is None else held.where(F.col("batch") >= batch_id - look_back)
 
 
 def discovered_jobs(arrivals: DataFrame, jobs: DataFrame, at: datetime | str | Column) -> DataFrame:
@@ -96,35 +103,6 @@ def log_batches(updates: DataFrame, log: str, checkpoint: str) -> None:
     _each_batch(updates, append, checkpoint)
 
 
-def _batches(spark: SparkSession, log: str) -> list[int]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(path)]
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
-
-
-def live_jobs(spark: SparkSession, base: str, log: str, order: str) -> DataFrame:
-    """The table at ``base`` (see :mod:`folioflow.sources.jobs`) with the batches of the log that it does not hold yet."""
-    version = latest_version(spark, base)
-    jobs, held = load_jobs(spark, base, version), folded_upto(spark, base, version)
-    newer = [f"{log}/batch={n:012d}" for n in _batches(spark, log) if n > held]
-    return current_jobs(jobs, spark.read.parquet(*newer), order) if newer else jobs
-
-
-def compact(spark: SparkSession, base: str, log: str, order: str) -> int:
-    """Fold the batches of the log into the next snapshot of ``base``, so that later reads fold only newer ones.
-
-    Batches must be complete and in order of time: an update of a later batch counts after those of earlier ones.
-    """
-    version, done = latest_version(spark, base), _batches(spark, log)
-    if not done or done[-1] <= folded_upto(spark, base, version):
-        return version
-    upto = done[-1]
-    return save_jobs(live_jobs(spark, base, log, order), base, read_version=version, folded=upto)
-
-
 def watched_status(events: DataFrame, *order: str) -> DataFrame:
     """What a poller that stops at the first terminal state shows last, per job.
 
@@ -142,20 +120,20 @@ def watched_status(events: DataFrame, *order: str) -> DataFrame:
 
 
 def sweep_on_ticks(
-    ticks: DataFrame, jobs: DataFrame | Callable[[], DataFrame], log: str, checkpoint: str, max_hours: float = registry.MAX_HOURS
+    ticks: DataFrame, jobs: DataFrame | Callable[[], DataFrame], log: str, checkpoint: str, max_hours: float = registry.MAX_HOURS, look_back: int | None = None
 ) -> None:
     """Sweep on every tick of ``ticks(at)``: a job is failed at the first tick at which it is stuck, and never again.
 
     ``jobs`` is the registry, or a function that gives it as it is when a batch runs; what earlier batches failed is left out.
     Each batch owns the folder ``batch=<id>`` of the log and overwrites it, so a batch replayed after a crash leaves the same
-    log, which has one row for each swept job.
+    log, which has one row for each swept job.  ``look_back`` is that of :func:`discover_on_ticks`.
     """
 
     def sweep(batch: DataFrame, batch_id: int) -> None:
         # The ticks of one batch in order, one small row.
         order = batch.where("at is not null").agg(F.array_sort(F.collect_set("at")).alias("ticks"))
         current = jobs() if callable(jobs) else jobs
-        earlier = _earlier(batch.sparkSession, log, batch_id)
+        earlier = _earlier(batch.sparkSession, log, batch_id, look_back)
         if earlier is not None:
             current = current.join(earlier.select("job_id"), "job_id", "left_anti")
         updates = registry.first_stuck(current, order, max_hours).withColumn("seq", F.lit(batch_id))

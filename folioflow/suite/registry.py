@@ -19,9 +19,9 @@ LATEST_SQL = f"select {COLUMNS} from jobs qualify row_number() over (partition b
 
 @query("s7_job_table", sql_with("jobs", body=f"select {COLUMNS} from jobs"))
 def _(spark, sf_dir):
-    """Through a snapshot on disk."""
+    """Through a table on disk."""
     root = new_path(spark, "registry")
-    stored.save_jobs(derived.jobs(spark, sf_dir), root, read_version=0)
+    stored.save_jobs(derived.jobs(spark, sf_dir), root)
     return stored.load_jobs(spark, root)
 
 
@@ -36,6 +36,17 @@ def _(spark, sf_dir):
     return registry.latest_per_key(derived.jobs(spark, sf_dir))
 
 
+def _bucketed(spark, sf_dir):
+    root = new_path(spark, "bucketed")
+    return stored.save_bucketed(derived.jobs(spark, sf_dir), f"jobs_{root[-32:]}", 8, root)
+
+
+@query("w1_latest_bucketed", sql_with("jobs", body=LATEST_SQL))
+def _(spark, sf_dir):
+    """The latest job of each file from a bucketed table: no shuffle."""
+    return registry.latest_per_key(_bucketed(spark, sf_dir))
+
+
 @query(
     "j4_latest_for_keys",
     sql_with(
@@ -182,12 +193,10 @@ def _new_rows(spark, sf_dir, jobs):
 
 @query("k4_insert", sql_with("jobs", "files", body=f"select {COLUMNS} from jobs union all {NEW_SQL}"))
 def _(spark, sf_dir):
-    """Read one snapshot, insert, and commit the next one."""
-    root = new_path(spark, "registry")
-    first = stored.save_jobs(derived.jobs(spark, sf_dir), root)
-    jobs = stored.load_jobs(spark, root, first)
-    second = stored.save_jobs(registry.insert(jobs, _new_rows(spark, sf_dir, jobs)), root, read_version=first)
-    return stored.load_jobs(spark, root, second)
+    """The table with new rows, written and read again."""
+    jobs, root = derived.jobs(spark, sf_dir), new_path(spark, "registry")
+    stored.save_jobs(registry.insert(jobs, _new_rows(spark, sf_dir, jobs)), root)
+    return stored.load_jobs(spark, root)
 
 
 @query(

@@ -5,6 +5,7 @@ import sys
 import pytest
 from helpers import by
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from folioflow.operators import registry
@@ -115,15 +116,11 @@ def test_unreadable_is_not_absent(spark, tmp_path, monkeypatch):
     assert pages["d1"] == (1, True) and pages["d2"] == (0, True) and pages["d3"] in ((None, False), (0, True))
 
 
-def test_commits_fail_rather_than_overwrite(spark, make_jobs, tmp_path):
+def test_a_table_on_disk_is_never_overwritten(spark, make_jobs, tmp_path):
     root = str(tmp_path / "jobs")
-    assert jobs.load_jobs(spark, root).count() == 0
-    table = make_jobs({"job_id": "a", "file_key": "x"})
-    assert jobs.save_jobs(table, root, read_version=0) == 1
-    with pytest.raises(jobs.ConcurrentChange):
-        jobs.save_jobs(table, root, read_version=0)
-    (tmp_path / "jobs/claim=000000000002").write_text("")  # a writer that died
-    assert jobs.save_jobs(table, root, read_version=1) == 3 and jobs.latest_version(spark, root) == 3
+    jobs.save_jobs(make_jobs({"job_id": "a", "file_key": "x"}), root)
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        jobs.save_jobs(jobs.load_jobs(spark, root).limit(0), root)
     assert jobs.load_jobs(spark, root).count() == 1
 
 

@@ -159,3 +159,18 @@ def test_top_k_needs_no_full_sort(spark):
 
 def test_the_sweep_needs_no_shuffle_of_its_own(spark, make_jobs):
     assert "Exchange" not in plan(registry.sweep(make_jobs({"job_id": "a", "file_key": "x"}), derived.AS_OF))
+
+
+def test_bucketed_jobs_are_not_shuffled(spark, make_jobs, tmp_path):
+    from folioflow.sources import jobs as stored
+
+    rows = [{"job_id": f"{k}", "file_key": f"f{k % 17}", "submitted_at": f"2024-01-01T00:{k % 60:02d}:00+00:00"} for k in range(300)]
+    table = stored.save_bucketed(make_jobs(*rows), f"bucketed_{tmp_path.name}", 4, str(tmp_path / "t"))
+    latest = registry.latest_per_key(table)
+    assert "Exchange" not in latest._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, registry.latest_per_key(make_jobs(*rows)).collect()))
+    files = spark.createDataFrame([(f"f{k}", k) for k in range(30)], "key string, size bigint")
+    listing = views.file_listing(files.hint("merge"), table, show_all=True)
+    listing.collect()
+    plan = listing._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 1  # that of the files

@@ -121,9 +121,9 @@ def test_older_tables_gain_the_new_columns(spark):
     assert (got.first()["status"], got.first()["file_size"], got.first()["backend"]) == ("pending", 0, None)
 
 
-def test_snapshots_derive_from_one_another(spark, make_jobs, tmp_path):
+def test_tables_derive_from_one_another(spark, make_jobs, tmp_path):
     root = str(tmp_path / "jobs")
-    assert save_jobs(make_jobs({"job_id": "a", "file_key": "x", "status": "running"}), root) == 1
-    assert save_jobs(registry.recover(load_jobs(spark, root)), root) == 2
-    (tmp_path / "jobs" / "snapshot=000000000003").mkdir()
+    save_jobs(make_jobs({"job_id": "a", "file_key": "x", "status": "running"}), root)
+    save_jobs(registry.recover(load_jobs(spark, root)), root + "-next")
+    root += "-next"
     assert load_jobs(spark, root).first()["status"] == "pending"

@@ -104,25 +104,13 @@ def test_a_crash_in_the_middle_is_resumed_without_loss_or_repeats(spark, tmp_pat
     assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
 
 
-def test_compaction_leaves_newer_batches_to_fold(spark, make_jobs, tmp_path):
-    from folioflow.sources import jobs as stored
-
-    base, log, source, progress = (str(tmp_path / n) for n in ("base", "log", "source", "progress"))
-    stored.save_jobs(make_jobs({"job_id": "a", "file_key": "x"}, {"job_id": "b", "file_key": "y"}), base)
-
-    def report(*rows):
-        for row in rows:
-            spark.createDataFrame([row], "job_id string, seq int, status string").coalesce(1).write.mode("append").parquet(source)
-        stream = streams.read_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
-        streams.log_batches(stream, log, progress)
-        return {k: v["status"] for k, v in by(streams.live_jobs(spark, base, log, "seq"), "job_id").items()}
-
-    assert report(("a", 1, "running"), ("b", 1, "running")) == {"a": "running", "b": "running"}
-    assert streams.compact(spark, base, log, "seq") == 2 and streams.compact(spark, base, log, "seq") == 2
-    assert stored.folded_upto(spark, base, 2) == 1 and by(stored.load_jobs(spark, base), "job_id")["a"]["status"] == "running"
-    assert report(("a", 2, "success")) == {"a": "success", "b": "running"}
-    read = " ".join(streams.live_jobs(spark, base, log, "seq").inputFiles())
-    assert "batch=000000000002" in read and "batch=000000000000" not in read
+@pytest.mark.parametrize("look_back", [None, 1])
+def test_earlier_batches_are_looked_at_as_far_back_as_asked(spark, tmp_path, look_back):
+    log = str(tmp_path / "log")
+    assert streams._earlier(spark, log, 3, look_back) is None
+    for batch in range(4):
+        spark.createDataFrame([(batch,)], "n int").write.parquet(f"{log}/batch={batch:012d}")
+    assert sorted(r.n for r in streams._earlier(spark, log, 3, look_back).collect()) == ([0, 1, 2] if look_back is None else [2])
 
 
 def test_a_hot_key_is_reduced_before_the_guard(spark):
