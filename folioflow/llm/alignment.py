@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -21,11 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatype_string
 
-from folioflow.llm.bpe import byte_signs
+from folioflow.llm.bpe import PATTERN, byte_signs
 from folioflow.llm.chunks import chunks, one_list, ragged
 from folioflow.llm.frames import with_fields
+from folioflow.llm.wordbpe import words
 from folioflow.session import materialise
 
+#: Words whose ids a task keeps; then it starts anew.
+KNOWN = 300_000
 #: Bytes whose incidences stand in memory at a time (more only where a single group is longer).
 SEGMENT = 1_000_000
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
@@ -102,19 +106,19 @@ class Tokenizers:
     """Both tokenizers in a task, made from the contents of their files."""
 
     def __init__(self, a: str, b: bytes) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        import regex
         import sentencepiece
         import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_str(a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        given = json.loads(a)
+        if given.get("normalizer") or (given.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+            raise ValueError("the first tokenizer must be byte-level, without a normalizer")
+        self.model, self.pattern = tokenizers.Tokenizer.from_str(a).model, regex.compile(PATTERN)
+        self.known: dict[str, list[int]] = {}
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         signs = {sign: byte for byte, sign in enumerate(byte_signs())}
-        vocabulary = json.loads(a)["model"]["vocab"]
+        self.signs = "".join(byte_signs())
+        vocabulary = given["model"]["vocab"]
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             if all(s in signs for s in token):
@@ -133,14 +137,25 @@ class Tokenizers:
         """Ids of both for each text; none where one of them does not keep the bytes of a space and the text."""
         have = [k for k, text in enumerate(texts) if text]
         given = [texts[k] for k in have]
-        a_all = self.a.encode_batch_fast([" " + text for text in given], add_special_tokens=False)
         a_out, b_out = [[] for _ in texts], [[] for _ in texts]
-        for k, text, encoded, b in zip(have, given, a_all, self.b.encode(given, num_threads=1)):
-            whole, a = b" " + text.encode(), encoded.ids
+        for k, text, b in zip(have, given, self.b.encode(given, num_threads=1)):
+            whole, a = b" " + text.encode(), self._first(" " + text)
             if b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
                 a_out[k], b_out[k] = a, b
         return a_out, b_out
 
+    def _first(self, text: str) -> list[int]:
+        """Ids of the first tokenizer: its model sees each word once as long as the task remembers it."""
+        known, ids = self.known, []
+        for found in words(self.pattern, text):
+            for word in set(found).difference(known):
+                signs = "".join(map(self.signs.__getitem__, word.encode()))
+                known[word] = [token.id for token in self.model.tokenize(signs)]
+            ids.extend(chain.from_iterable(map(known.__getitem__, found)))
+            if len(known) > KNOWN:
+                known.clear()
+        return ids
+
 
 class Aligned:
     """The alignment of several texts, one after the other on one axis of bytes."""

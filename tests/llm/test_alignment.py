@@ -118,3 +118,15 @@ def test_empty_tables_and_rows_without_tokens(spark):
     assert alignment.scored(empty, *FILES).count() == 0 and alignment.alignments(empty, *FILES).count() == 0
     nothing = spark.createDataFrame([(1, ""), (2, None)], "doc_id bigint, text string")
     assert {tuple(r[c] for c in COLUMNS) for r in alignment.scored(nothing, *FILES).collect()} == {(0, 0, 0, 0, 0, "", 0, 0)}
+
+
+def test_the_first_tokenizer_is_that_of_the_library(corpus):
+    import random
+
+    rng = random.Random(8)
+    library = tokenizers.Tokenizer.from_file(FILES[0])
+    library.encode_special_tokens = True
+    both = alignment.Tokenizers(open(FILES[0], encoding="utf-8").read(), open(FILES[1], "rb").read())
+    texts = [*ODD, *[t for _, t, _ in corpus if t]] + ["".join(rng.choices("ab' slt1,.\n\t é日🙂\u00a0\u3000", k=30)) for _ in range(2000)]
+    for text in texts:
+        assert both._first(" " + text) == library.encode(" " + text, add_special_tokens=False).ids
