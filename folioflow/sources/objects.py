@@ -162,6 +162,42 @@ def fetch_objects(
     return keys.mapInArrow(fetch, schema)
 
 
+def fetch_parts(keys: DataFrame, root: str, part_bytes: int, tasks: int | None = None, retries: int = RETRIES, pause: float = PAUSE) -> DataFrame:
+    """``key, part, offset, content, fetch_error`` of the objects in ``keys`` (``key``, ``size``), ``part_bytes`` a row.
+
+    Parts of one object are read by several tasks, each asking the store for its range only, so an object may be larger than
+    a row or a task's memory.  An empty object has one empty part; a missing one has rows with an error.
+    """
+    last = F.greatest(F.ceil(F.col("size") / part_bytes) - 1, F.lit(0))
+    parts = keys.select(F.col("key"), F.col("size").alias("__size"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    parts = parts.select("key", "part", (F.col("part") * part_bytes).alias("offset"), F.least(F.lit(part_bytes), F.col("__size") - F.col("part") * part_bytes).alias("size"))
+    if tasks is None:
+        total = parts.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
+        tasks = max(1, min(total["n"], max(parts.sparkSession.sparkContext.defaultParallelism, -(-(total["b"] or 0) // BYTES_PER_TASK))))
+    schema = T.StructType([*parts.schema.fields[:3], T.StructField("content", T.BinaryType()), T.StructField("fetch_error", T.StringType())])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = _open_root(root)
+        out = RowBatcher(schema)
+
+        def read(row: dict) -> bytes:
+            with filesystem.open_input_file(f"{base}/{row['key']}") as file:
+                return file.read_at(row["size"], row["offset"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                content, error = None, None
+                try:
+                    content = persistently(lambda: read(row), retries, pause)
+                except Exception as problem:
+                    error = str(problem) or type(problem).__name__
+                made = {"key": row["key"], "part": row["part"], "offset": row["offset"], "content": content, "fetch_error": error}
+                yield from out.add(made, len(content or b""))
+        yield from out.flush()
+
+    return parts.repartition(tasks, "key", "part").mapInArrow(fetch, schema)
+
+
 def put_objects(
     objects: DataFrame,
     root: str,

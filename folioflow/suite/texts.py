@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
+from folioflow.operators.agreement import line_agreement
 from folioflow.suite import derived
 from folioflow.suite.derived import sql_with
 from folioflow.suite import query
@@ -119,6 +120,22 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "a4_line_agreement",
+    sql_with(
+        "artifacts",
+        body="""select doc_id, n as lines_a, n as lines_b, greatest(n - 1, 0) as common, case when n > 0 then 2 * (n - 1) / (2.0 * n)::double else 1.0 end as agreement
+          from (select doc_id, coalesce(len(string_split(regexp_replace(md, '\\n\\z', ''), chr(10))), 0) as n from artifacts)""",
+    ),
+)
+def _(spark, sf_dir):
+    """Each text against one that lacks its first line and has a new last one: all other lines are common, in order."""
+    made = derived.artifacts(spark, sf_dir)
+    lines = F.split(F.regexp_replace("md", r"\n\z", ""), "\n", -1)
+    other = F.array_join(F.concat(F.slice(lines, F.lit(2), F.size(lines)), F.array(F.lit("\u00a7 new"))), "\n")
+    return line_agreement(made.select("doc_id", "md", other.alias("other")), "md", "other")
+
+
 @query(
     "t10_image_refs",
     sql_with(

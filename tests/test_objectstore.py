@@ -89,3 +89,19 @@ def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
         spark.createDataFrame([("a", "z")], "key string, content string").write.format(objectstore.NAME).option("root", root).mode("overwrite").save()
     objectstore.store(spark.createDataFrame([], "key string, content string"), root)
     assert tree(root) == {"a": "new", "b": "old", "x/y": ""}
+
+
+@pytest.mark.parametrize("part", [1, 7, 10**6])
+def test_parts_of_objects(spark, root, part):
+    from folioflow.sources.objects import fetch_parts
+
+    open(os.path.join(root, "empty"), "w").close()
+    keys = objectstore.objects(spark, root).union(spark.createDataFrame([("gone", 3)], "key string, size bigint"))
+    got = {}
+    for r in sorted(fetch_parts(keys, root, part, retries=0).collect(), key=lambda r: (r.key, r.part)):
+        if r.key == "gone":
+            assert r.content is None and r.fetch_error
+            continue
+        assert r.offset == r.part * part and len(r.content) <= part
+        got[r.key] = got.get(r.key, "") + bytes(r.content).decode()
+    assert got == tree(root)
