@@ -102,10 +102,29 @@ def overlaps(a_lengths: np.ndarray, b_lengths: np.ndarray, ends: np.ndarray, a_g
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def ranked_by_id(a: str) -> bool:
+    """Whether ids alone say how a byte-level vocabulary merges: merges make ascending ids, and every token merges to itself.
+
+    Adjacent parts that make up a token are then always a merge of the vocabulary: parts of a text that end where a token does
+    merge as the token alone does, and a token that is left in two such parts would not merge to itself.
+    """
+    import tokenizers
+
+    given, model = json.loads(a)["model"], tokenizers.Tokenizer.from_str(a).model
+    pairs = (pair.split(" ") if isinstance(pair, str) else pair for pair in given["merges"])
+    made = [given["vocab"][left + right] for left, right in pairs]
+    signs = set(byte_signs())
+    own = (token for token in given["vocab"] if signs.issuperset(token))
+    return made == sorted(set(made)) and all([t.value for t in model.tokenize(token)] == [token] for token in own)
+
+
 class Tokenizers:
-    """Both tokenizers in a task, made from the contents of their files."""
+    """Both tokenizers in a task, made from the contents of their files.
+
+    Where the first one's ids say how it merges (see ``ranked_by_id``), its texts are encoded by ranks, else word by word.
+    """
 
-    def __init__(self, a: str, b: bytes) -> None:
+    def __init__(self, a: str, b: bytes, ranked: bool = False) -> None:
         import regex
         import sentencepiece
         import tokenizers
@@ -125,6 +144,11 @@ class Tokenizers:
                 self.a_bytes[i] = bytes(signs[s] for s in token)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in table]) for table in (self.a_bytes, self.b_bytes))
+        self.ranks = None
+        if ranked:
+            import tiktoken
+
+            self.ranks = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.a_bytes) if t}, special_tokens={})
         # What a token is in the text of the groups: with a comma, or with the sign that ends its side.
         a_ids, b_ids = range(len(self.a_bytes)), range(len(self.b_bytes))
         self.shown = [*(f"{i}," for i in a_ids), *(f"{i}|" for i in a_ids), *(f"{i}," for i in b_ids), *(f"{i};" for i in b_ids)]
@@ -145,7 +169,9 @@ class Tokenizers:
         return a_out, b_out
 
     def _first(self, text: str) -> list[int]:
-        """Ids of the first tokenizer: its model sees each word once as long as the task remembers it."""
+        """Ids of the first tokenizer; without ranks its model sees each word once as long as the task remembers it."""
+        if self.ranks:
+            return self.ranks.encode_ordinary(text)
         known, ids = self.known, []
         for found in words(self.pattern, text):
             for word in set(found).difference(known):
@@ -201,7 +227,8 @@ class Aligned:
 def _files(docs: DataFrame, a: str, b: str):
     """The two files, read on the driver (their sizes are fixed) and broadcast."""
     with open(a, encoding="utf-8") as first, open(b, "rb") as second:
-        return docs.sparkSession.sparkContext.broadcast((first.read(), second.read()))
+        definition = first.read()
+        return docs.sparkSession.sparkContext.broadcast((definition, second.read(), ranked_by_id(definition)))
 
 
 def alignments(docs: DataFrame, a: str, b: str, text: str = "text", keep: tuple[str, ...] | None = None, shared: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
@@ -126,7 +127,15 @@ def test_the_first_tokenizer_is_that_of_the_library(corpus):
     rng = random.Random(8)
     library = tokenizers.Tokenizer.from_file(FILES[0])
     library.encode_special_tokens = True
-    both = alignment.Tokenizers(open(FILES[0], encoding="utf-8").read(), open(FILES[1], "rb").read())
-    texts = [*ODD, *[t for _, t, _ in corpus if t]] + ["".join(rng.choices("ab' slt1,.\n\t é日🙂\u00a0\u3000", k=30)) for _ in range(2000)]
-    for text in texts:
-        assert both._first(" " + text) == library.encode(" " + text, add_special_tokens=False).ids
+    definition = open(FILES[0], encoding="utf-8").read()
+    assert alignment.ranked_by_id(definition)
+    given = json.loads(definition)
+    given["model"]["merges"] = given["model"]["merges"][::-1]
+    assert not alignment.ranked_by_id(json.dumps(given))
+    signs = "ab' slt1,.\n\t é日🙂\u00a0\u3000\x1c\x85\u2028"
+    texts = [*ODD, *[t for _, t, _ in corpus if t]] + ["".join(rng.choices(signs, k=30)) for _ in range(2000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(20)) for _ in range(500)]
+    for ranked in (False, True):
+        both = alignment.Tokenizers(definition, open(FILES[1], "rb").read(), ranked)
+        for text in texts:
+            assert both._first(" " + text) == library.encode(" " + text, add_special_tokens=False).ids
