@@ -30,6 +30,8 @@ from folioflow.session import materialise
 
 #: Words whose ids a task keeps; then it starts anew.
 KNOWN = 300_000
+#: Bytes of a chunk: its tokens stand in memory as numbers, several for each.
+CHUNK = 2_000_000
 #: Bytes whose incidences stand in memory at a time (more only where a single group is longer).
 SEGMENT = 1_000_000
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
@@ -132,7 +134,7 @@ class Tokenizers:
         given = json.loads(a)
         if given.get("normalizer") or (given.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             raise ValueError("the first tokenizer must be byte-level, without a normalizer")
-        self.model, self.pattern = tokenizers.Tokenizer.from_str(a).model, regex.compile(PATTERN)
+        self.model, self.pattern = None if ranked else tokenizers.Tokenizer.from_str(a).model, regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         signs = {sign: byte for byte, sign in enumerate(byte_signs())}
@@ -255,7 +257,7 @@ def alignments(docs: DataFrame, a: str, b: str, text: str = "text", keep: tuple[
             arrays = [pa.array(c, pa.int32()) for c in columns]
             return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays(arrays, names=names) if names else arrays[0])
 
-        for _, batch in chunks(batches, "__text"):
+        for _, batch in chunks(batches, "__text", CHUNK):
             got = Aligned(tokenizers, batch.column("__text").to_pylist())
             own_a, own_b = (np.arange(int(at[-1])) - np.repeat(at[:-1], np.diff(at)) for at in (got.a_at, got.b_at))
             first_a, first_b = (np.searchsorted(g, np.arange(got.groups)) for g in (got.a_group, got.b_group))
@@ -280,7 +282,7 @@ def _chunked(docs: DataFrame, a: str, b: str, text: str, keep: list[str]) -> Dat
         import pyarrow as pa
 
         tokenizers = Tokenizers(*files.value)
-        for number, batch in chunks(batches, "__text"):
+        for number, batch in chunks(batches, "__text", CHUNK):
             got = Aligned(tokenizers, batch.column("__text").to_pylist())
             pairs, which = np.unique(got.a[got.link_a] << 32 | got.b[got.link_b], return_inverse=True)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(got.links_to))

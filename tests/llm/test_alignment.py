@@ -11,7 +11,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from folioflow.llm import alignment, chunks
+from folioflow.llm import alignment
 from folioflow.llm.bpe import byte_signs
 
 FILES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -100,7 +100,7 @@ def test_links_and_groups_of_odd_texts(spark, walk, monkeypatch, segment):
 
 @pytest.mark.parametrize("size", [1, 2000, 10**9])
 def test_counts_over_the_corpus(spark, walk, corpus, monkeypatch, size):
-    monkeypatch.setattr(chunks, "CHUNK", size)
+    monkeypatch.setattr(alignment, "CHUNK", size)
     texts = [*ODD, None, *[t for _, t, _ in corpus[:25]], *[corpus[0][1]] * 12]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3, "doc_id")
     got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment.scored(docs, *FILES).collect()}
