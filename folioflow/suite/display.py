@@ -15,8 +15,9 @@ SIZES_SQL = "sizes as (select o_orderkey, cast(o_orderkey as bigint) * o_orderke
 
 
 def _sizes(spark, sf_dir):
-    key = F.col("o_orderkey")
-    return derived.table(spark, sf_dir, "orders").select("o_orderkey", (key * key * (F.col("o_custkey") + 1)).alias("size"))
+    """The product outgrows a long from some million orders on, a decimal holds it exactly."""
+    key, customer = (F.col(c).cast("decimal(19,0)") for c in ("o_orderkey", "o_custkey"))
+    return derived.table(spark, sf_dir, "orders").select("o_orderkey", (key * key * (customer + 1)).alias("size"))
 
 
 @query(
