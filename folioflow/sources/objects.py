@@ -56,8 +56,9 @@ class RowBatcher:
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows of a batch one at a time, so that only one document is a Python object at once."""
+    names, columns = batch.schema.names, batch.columns
     for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
+        yield {name: column[i].as_py() for name, column in zip(names, columns)}
 
 
 def _open_root(root: str):
@@ -96,16 +97,32 @@ def write_object(root: str, retries: int = RETRIES, pause: float = PAUSE):
     """A ``(key, bytes, content type)`` writer bound to ``root``, to be made once per task.
 
     On file systems with rename the object appears whole or not at all; it grows in a folder beside the root, so that a
-    listing never meets it.  A store with object metadata gets the content type.
+    listing never meets it.  Each writer has a folder there of its own, as tasks that make files in one folder wait for each
+    other.  A store with object metadata gets the content type.
+
+    In place of the bytes there may be a whole number: that many zero bytes, which take no room on a local file system.
     """
     import uuid
 
     filesystem, base = _open_root(root)
     renames = filesystem.type_name in ("local", "hdfs")
     above, _, own = base.rpartition("/")
-    parts, made = f"{above}/.{own}.parts", set()
+    parts, made = f"{above}/.{own}.parts/{uuid.uuid4().hex}", set()
+    zeros = bytes(1024 * 1024)
+
+    def fill(place: str, body: bytes | int, metadata: dict | None) -> None:
+        if isinstance(body, int) and filesystem.type_name == "local":
+            with open(place, "wb") as file:
+                file.truncate(body)
+            return
+        with filesystem.open_output_stream(place, metadata=metadata) as stream:
+            if not isinstance(body, int):
+                stream.write(body)
+                return
+            for begin in range(0, body, len(zeros)):
+                stream.write(zeros[: body - begin])
 
-    def once(key: str, body: bytes, content_type: str | None) -> None:
+    def once(key: str, body: bytes | int, content_type: str | None) -> None:
         path = f"{base}/{key}"
         parent = path.rpartition("/")[0]
         if renames:
@@ -114,8 +131,7 @@ def write_object(root: str, retries: int = RETRIES, pause: float = PAUSE):
                 made.add(folder)
         place = f"{parts}/{uuid.uuid4().hex}" if renames else path
         metadata = {"Content-Type": content_type} if content_type and not renames else None
-        with filesystem.open_output_stream(place, metadata=metadata) as stream:
-            stream.write(body)
+        fill(place, body, metadata)
         if renames:
             filesystem.move(place, path)
 
@@ -207,7 +223,7 @@ def put_objects(
     retries: int = RETRIES,
     pause: float = PAUSE,
 ) -> DataFrame:
-    """Write each row's bytes (or text) to ``root/key`` and report ``key, size, error`` per object.
+    """Write each row's bytes (or text, or as many zero bytes as a whole number says) to ``root/key`` and report ``key, size, error`` per object.
 
     Writing the same key again gives the same object, so a retried or doubled task does no harm.
     One failed object does not fail the others; see :func:`write_object`.  The writes happen when the
@@ -230,7 +246,8 @@ def put_objects(
                     write(name, body, row["content_type"])
                 except Exception as problem:
                     error = str(problem) or type(problem).__name__
-                yield from out.add({"key": name, "size": len(body) if body is not None else 0, "error": error}, 64)
+                size = body if isinstance(body, int) else len(body or b"")
+                yield from out.add({"key": name, "size": size, "error": error}, 64)
         yield from out.flush()
 
     body = F.col(content)

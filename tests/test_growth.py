@@ -1,6 +1,7 @@
 """Queries on keys and sizes that only larger tables have."""
 
 from folioflow import suite
+from folioflow.session import run_folder
 
 suite.load()
 
@@ -18,3 +19,20 @@ def test_sizes_beyond_a_long(spark, tmp_path):
     assert report[9_000_000] == f"{exact[9_000_000] / 1024**4:.1f} TB" and listing[9_000_000] == "69522857666015.63 MB"  # a tie, half up
     assert report[149_999] == f"{exact[149_999] / 1024**4:.1f} TB" and report[3] == f"{exact[3] / 1024**4:.1f} TB"
     assert (report[1], listing[1]) == ("2.0 B", "2 B") and (report[None], listing[None]) == (None, "—")
+
+
+def test_discovered_files_take_no_room(spark, tmp_path):
+    import os
+    from datetime import datetime
+
+    numbers = [0, 1, 30_000_002, 40_000_008, 16_000_000_000]
+    documents = [(n, "some text", "en", "web", 9) for n in numbers]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(1, datetime(2024, 1, 1), 40_000_008, "signup")]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    with run_folder(spark) as folder:
+        found = suite.QUERIES["r1_file_discovery"](spark, str(tmp_path)).collect()
+        held = [os.lstat(f"{at}/{name}").st_blocks * 512 for at, _, names in os.walk(folder.removeprefix("file:")) for name in names]
+    assert sorted(r["file_size"] for r in found) == [0, 1, 30_000_002, 16_000_000_000]
+    assert len(held) > len(numbers)
+    assert sum(held) < 10_000_000
