@@ -6,10 +6,12 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.session import bounded
+
 # Character classes and the ligature table.
 ZERO_WIDTH = "\u200b-\u200d\ufeff"
 CONTROL = "\u0000-\u0008\u000b-\u000c\u000e-\u001f\u007f-\u009f"
@@ -45,6 +47,7 @@ def nfkc(text: Column | str, where: Column | None = None) -> Column:
     Spark has no such built-in.  ASCII text is its own NFKC form, so only other rows carry a
     payload to Python; the rest travel as NULL and keep the JVM-side value.
     """
+    bounded(SparkSession.getActiveSession())
     text = _col(text)
     needed = F.octet_length(text) != F.length(text)
     if where is not None:
@@ -126,6 +129,7 @@ def fix_direction(
     text = _col(text)
     if reorder is None or (isinstance(mode, str) and mode not in DIRECTION_MODES):
         return text
+    bounded(SparkSession.getActiveSession())
     needed = has_arabic(text)
     if not isinstance(mode, str):
         needed = mode.isin(*DIRECTION_MODES) & needed

@@ -1,7 +1,13 @@
 """Queries on keys and sizes that only larger tables have."""
 
+from pyspark.sql import functions as F
+
 from folioflow import suite
-from folioflow.session import run_folder
+from folioflow.functions import text
+from folioflow.operators.extraction import Extracted, extract
+from folioflow.session import BATCHES, DEFAULTS, bounded, run_folder
+from folioflow.sources import artifacts
+from folioflow.sources.objects import fetch_objects, put_objects
 
 suite.load()
 
@@ -36,3 +42,53 @@ def test_discovered_files_take_no_room(spark, tmp_path):
     assert sorted(r["file_size"] for r in found) == [0, 1, 30_000_002, 16_000_000_000]
     assert len(held) > len(numbers)
     assert sum(held) < 10_000_000
+
+
+def test_arrow_batches_are_bounded_in_any_session(spark):
+    held = {name: spark.conf.get(name) for name in BATCHES}
+    rows = spark.createDataFrame([("a.pdf", 1, b"x")], "key string, size long, content binary")
+    uses = {
+        "nfkc": lambda: text.nfkc(F.lit("x")),
+        "direction": lambda: text.fix_direction(F.lit("x"), "auto", lambda line: line),
+        "extract": lambda: extract(rows, lambda *_: Extracted("x")),
+        "put": lambda: put_objects(rows, "file:///nowhere"),
+        "fetch": lambda: fetch_objects(rows.select("key"), "file:///nowhere", tasks=1),
+    }
+    try:
+        for name, use in uses.items():
+            spark.conf.set(BATCHES[0], "64m")
+            spark.conf.set(BATCHES[1], "10000")
+            use()
+            assert [spark.conf.get(b).removesuffix("b") for b in BATCHES] == [DEFAULTS[b] for b in BATCHES], name
+        spark.conf.set(BATCHES[0], "1m")
+        spark.conf.set(BATCHES[1], "7")
+        bounded(spark)
+        assert [spark.conf.get(b).removesuffix("b") for b in BATCHES] == ["1m", "7"]
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+
+
+def test_objects_of_one_folder_are_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    for i in range(60):
+        (tmp_path / "out" / f"{i}.md").write_text(f"text {i}")
+    (tmp_path / "out" / "bad.md").write_bytes(b"\xff")
+    found = artifacts.markdown(spark, f"file://{tmp_path}", "out/").withColumn("task", F.spark_partition_id()).collect()
+    assert {r["target_key"]: r["md"] for r in found} == {f"out/{i}.md": f"text {i}" for i in range(60)} | {"out/bad.md": None}
+    assert [r["error"] for r in found if r["error"]] == ["not UTF-8"]
+    assert len({r["task"] for r in found}) > 4
+
+
+def test_work_folders_are_listed_once(spark, tmp_path):
+    for name in ("a/a/images", "a/b/images", "c/x/images"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "1.png").write_bytes(b"x")
+    (tmp_path / "a/a/a.md").write_text("hello")
+    work = spark.createDataFrame([("a",), ("c",), ("none",)], "folder string")
+    images = artifacts.work_images(spark, f"file://{tmp_path}", work)
+    assert sorted(r["key"] for r in images.collect()) == ["a/a/images/1.png", "c/x/images/1.png"]
+    assert "MapInArrow" not in images._jdf.queryExecution().executedPlan().toString()
+    md = artifacts.work_markdown(spark, f"file://{tmp_path}", work)
+    assert {r["folder"]: r["md"] for r in md.collect()} == {"a": "hello", "c": None, "none": None}
+    assert md._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
