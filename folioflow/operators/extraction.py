@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from folioflow.functions import paths
 from folioflow.schemas import IMAGE_TYPE
+from folioflow.session import bounded
 from folioflow.sources.objects import RowBatcher, read_object, rows_of, spread
 
 
@@ -67,6 +68,7 @@ def extract(docs: DataFrame, extractor: Extractor, root: str | None = None, task
 
     Unsupported files become ``skipped`` rows without reaching Python.
     """
+    bounded(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != "content"]
     schema = T.StructType([*kept, *OUTCOME])
     ok = paths.is_supported("key")
@@ -83,7 +85,7 @@ def extract(docs: DataFrame, extractor: Extractor, root: str | None = None, task
                 name, content = row.pop("_name"), row.pop("content", None)
                 read = (lambda: fetch(row["key"])) if fetch else (lambda: content)
                 outcome = _run(extractor, read, row, name)
-                size = len(outcome["md"] or "") + sum(len(i["content"] or b"") for i in outcome["images"])
+                size = len(outcome["md"] or "") + len(outcome["layout_json"] or "") + sum(len(i["content"] or b"") for i in outcome["images"])
                 yield from out.add({**row, **outcome}, size)
         yield from out.flush()
 

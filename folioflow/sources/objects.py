@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from folioflow.session import materialise
+from folioflow.session import bounded, materialise
 
 #: What one task of :func:`spread` gets at most on average.
 ROWS_PER_TASK = 1000
@@ -31,7 +31,10 @@ RETRIES, PAUSE = 3, 5.0
 FOLDERS_PER_CORE = 4
 
 #: Output batches are handed over once they hold this many bytes.
-FLUSH_BYTES = 16 * 1024 * 1024
+FLUSH_BYTES = 4 * 1024 * 1024
+
+#: A writer remembers so many folders that it has made.
+FOLDERS_HELD = 10_000
 
 
 class RowBatcher:
@@ -126,6 +129,8 @@ def write_object(root: str, retries: int = RETRIES, pause: float = PAUSE):
         path = f"{base}/{key}"
         parent = path.rpartition("/")[0]
         if renames:
+            if len(made) > FOLDERS_HELD:
+                made.clear()
             for folder in {parent, parts} - made:
                 filesystem.create_dir(folder, recursive=True)
                 made.add(folder)
@@ -158,6 +163,7 @@ def fetch_objects(
     keys: DataFrame, root: str, key: str = "key", tasks: int | None = None, retries: int = RETRIES, pause: float = PAUSE
 ) -> DataFrame:
     """Add ``content`` and ``fetch_error`` to a table of keys.  A missing object is a row, not a crash."""
+    bounded(keys.sparkSession)
     keys = spread(keys, tasks)
     schema = T.StructType(
         [*keys.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("fetch_error", T.StringType())]
@@ -250,6 +256,7 @@ def put_objects(
                 yield from out.add({"key": name, "size": size, "error": error}, 64)
         yield from out.flush()
 
+    bounded(objects.sparkSession)
     body = F.col(content)
     if isinstance(objects.schema[content].dataType, T.StringType):
         body = F.encode(body, "UTF-8")
