@@ -8,9 +8,10 @@ import json
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-#: Distinct pieces whose ids a task keeps; then it starts anew.
+#: Distinct pieces whose ids a task keeps; then those not seen among the last so many go.
 CACHE = 300_000
 #: Code points split at a time, so that a very long text never stands in memory as a list of all its pieces.
 WINDOW = 1_000_000
@@ -36,72 +37,86 @@ class Codec:
         given = json.loads(definition)
         vocab = given["model"]["vocab"]
         signs = {s: b for b, s in enumerate(byte_signs())}
-        self.strings = {i: bytes(signs[c] for c in token) for token, i in vocab.items()}
+        strings = {i: bytes(signs[c] for c in token) for token, i in vocab.items()}
+        self.added = {t["content"]: t["id"] for t in given.get("added_tokens", [])}
+        strings |= {i: content.encode() for content, i in self.added.items()}
+        self.strings = np.full(max(strings) + 1, None, object)
+        for i, string in strings.items():
+            self.strings[i] = string
         self.of_byte = [vocab[s] for s in byte_signs()]
-        self.merges = {}
+        # By rank, the pair and what it becomes; by left symbol, the rank of each right one (none after the last symbol, -1).
+        self.left, self.right, self.joined = [], [], []
+        ranks: dict[int, dict[int, int]] = {}
         for rank, pair in enumerate(given["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        self.added = {t["content"]: t["id"] for t in given.get("added_tokens", [])}
-        self.strings |= {i: content.encode() for content, i in self.added.items()}
+            self.left.append(vocab[left])
+            self.right.append(vocab[right])
+            self.joined.append(vocab[left + right])
+            ranks.setdefault(vocab[left], {})[vocab[right]] = rank
+        nothing: dict[int, int] = {}
+        self.rank_with = [ranks.get(i, nothing).get for i in range(len(self.strings))]
+        self.rank_of_bytes = [[self.rank_with[i](j) for j in self.of_byte] for i in self.of_byte]
         longest_first = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("|".join(map(regex.escape, longest_first))) if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Merge adjacent symbols, lowest rank first, leftmost among equals, until no pair has a rank.
+    def merge(self, data: bytes) -> list[int]:
+        """Merge adjacent symbols, at first one for each byte, lowest rank first, leftmost among equals, until no pair has a rank.
 
-        The heap holds (rank, place, left, right); an entry is stale if either symbol has changed or gone since.
+        The heap holds rank and place in one integer; an entry is stale if either symbol has changed or gone since.
         """
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        merges, heap = self.merges, []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (found := merges.get((symbols[i], symbols[j]))):
-                heapq.heappush(heap, (found[0], i, symbols[i], symbols[j]))
-
-        for i in range(n - 1):
-            offer(i)
+        n, pairs = len(data), self.rank_of_bytes
+        bits = n.bit_length()
+        symbols = [self.of_byte[b] for b in data]
+        heap = [rank << bits | i for i, (a, b) in enumerate(zip(data, data[1:])) if (rank := pairs[a][b]) is not None]
+        if not heap:
+            return symbols
+        heapq.heapify(heap)
+        pop, push, place = heapq.heappop, heapq.heappush, (1 << bits) - 1
+        left, right, joined, rank_with = self.left, self.right, self.joined, self.rank_with
+        symbols.append(-1)
+        before, after = list(range(-1, n)), list(range(1, n + 1))
         while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+            entry = pop(heap)
+            i, rank = entry & place, entry >> bits
+            if symbols[i] != left[rank] or symbols[j := after[i]] != right[rank]:
                 continue
-            symbols[i], symbols[j] = merges[left, right][1], -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
+            symbols[i] = whole = joined[rank]
+            symbols[j] = -1
+            after[i] = k = after[j]
+            before[k] = i
+            if (rank := rank_with[whole](symbols[k])) is not None:
+                push(heap, rank << bits | i)
+            if (h := before[i]) >= 0 and (rank := rank_with[symbols[h]](whole)) is not None:
+                push(heap, rank << bits | h)
         return [s for s in symbols if s >= 0]
 
     def packed(self, piece: str) -> bytes:
         """Ids of one piece as little-endian 32-bit integers."""
-        ids = array("I", self.merge([self.of_byte[b] for b in piece.encode()]))
-        return ids.tobytes()
+        return array("I", self.merge(piece.encode())).tobytes()
+
+    def _ids(self, piece: str) -> bytes:
+        """``packed``, kept for short pieces: the last ``CACHE`` ones, and those before them until as many new ones have come."""
+        have = self.known.get(piece)
+        if have is None:
+            have = self.older.pop(piece, None) or self.packed(piece)
+            if len(piece) <= 100:
+                if len(self.known) >= CACHE:
+                    self.known, self.older = {}, self.known
+                self.known[piece] = have
+        return have
 
     def _plain(self, text: str, start: int, stop: int) -> Iterator[bytes]:
-        known, findall = self.known, self.pattern.findall
+        findall = self.pattern.findall
         while start < stop:
             upto = min(stop, start + WINDOW)
             pieces = findall(text, start, upto) if upto == stop == len(text) else self._cut(text, start, upto, stop)
             start += sum(map(len, pieces))
-            out = [known.get(p) for p in pieces]
+            out = list(map(self.known.get, pieces))
             if None in out:
-                for k, have in enumerate(out):
-                    if have is None:
-                        piece = pieces[k]
-                        if (have := known.get(piece)) is None:
-                            have = self.packed(piece)
-                            if len(piece) <= 100:
-                                if len(known) >= CACHE:
-                                    known.clear()
-                                known[piece] = have
-                        out[k] = have
+                out = [self._ids(p) if have is None else have for p, have in zip(pieces, out)]
             yield b"".join(out)
 
     def _cut(self, text: str, start: int, upto: int, stop: int) -> list[str]:
@@ -125,9 +140,7 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        whole = array("I")
-        whole.frombytes(ids)
-        return b"".join(map(self.strings.__getitem__, whole)).decode("utf-8", "replace")
+        return b"".join(self.strings[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
 def _definition(path: str) -> str:

@@ -64,6 +64,17 @@ def test_windows_change_nothing(codec, library, monkeypatch):
         assert ids(codec, text) == want
 
 
+def test_pieces_in_use_are_merged_once_however_many_others_come(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    codec = bpe.Codec(bpe._definition(vocabulary()))
+    merged, packed = [], codec.packed
+    monkeypatch.setattr(codec, "packed", lambda piece: merged.append(piece) or packed(piece))
+    for i in range(600):
+        check(codec, library, f"x{i:o} ever \u00e9{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}")
+    assert merged.count(" ever") == 1
+    assert len(codec.known) + len(codec.older) <= 2 * 50
+
+
 def test_query_form(spark, library):
     texts = ["some text", None, "", "some text", "café <|endoftext|> x"]
     docs = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, n_tokens string")
