@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -87,3 +88,41 @@ def test_odd_rows(spark, odd):
     got = Counter((r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in repeats.remove(odd, keep_bytes=False).collect())
     assert got == Counter(brute(rows, 400))
     assert repeats.remove(odd.limit(0)).count() == 0
+
+
+def test_a_block_is_compared_in_bounded_memory():
+    """A worker for each core holds a block's suffix array; it was some 145 bytes for each byte."""
+    random.seed(4)
+    passage = random.randbytes(400)
+    strings = [random.randbytes(a) + passage + random.randbytes(352 - a) for a in random.choices(range(353), k=400)]
+    tracemalloc.start()
+    try:
+        assert len(Suffixes(strings, 400).covered()[0]) >= 400
+        assert tracemalloc.get_traced_memory()[1] < 90 * sum(map(len, strings))
+    finally:
+        tracemalloc.stop()
+
+
+def test_blocks_keep_keys_whole_and_exceed_the_bound_for_one_key_only(monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 100)
+    sizes = {1: [60, 30], 2: [99], 3: [80, 80, 80], 4: [1], 5: [10], 6: [89], 7: [1]}
+    rows = [{"key": k, "content": b"x" * n} for k, all_ in sizes.items() for n in all_]
+    found = list(repeats._blocks(iter(rows)))
+    assert [sorted({r["key"] for r in b}) for b in found] == [[1], [2], [3], [4, 5, 6], [7]]
+    assert [r for b in found for r in b] == rows
+    assert list(repeats._blocks(iter([]))) == []
+
+
+@pytest.mark.parametrize("most", [1, 3000])
+def test_an_anchor_of_many_bytes_is_halved(spark, monkeypatch, most):
+    halved = []
+    monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "_halved", lambda contents, least, f=repeats._halved: halved.append(contents) or f(contents, least))
+    random.seed(6)
+    passage = "".join(random.choices("abcdefgh ", k=160))
+    all_ = ["".join(random.choices("ijklmnop ", k=150)) + passage + "".join(random.choices("qrstuvwx ", k=150)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(all_)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in repeats.remove(docs, least=120, keep_bytes=False).collect()}
+    for i, want in enumerate(brute(all_, 120)):
+        assert (got[i].n_bytes, got[i].n_removed, len(got[i].removed), got[i].kept_sha256) == want
+    assert halved
