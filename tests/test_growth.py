@@ -7,7 +7,8 @@ from folioflow.functions import text
 from folioflow.operators.extraction import Extracted, extract
 from folioflow.session import BATCHES, DEFAULTS, bounded, run_folder
 from folioflow.sources import artifacts
-from folioflow.sources.objects import fetch_objects, put_objects
+from folioflow.sources.objects import fetch_objects, put_objects, remove_folders
+from folioflow.suite import stores
 
 suite.load()
 
@@ -92,3 +93,44 @@ def test_work_folders_are_listed_once(spark, tmp_path):
     md = artifacts.work_markdown(spark, f"file://{tmp_path}", work)
     assert {r["folder"]: r["md"] for r in md.collect()} == {"a": "hello", "c": None, "none": None}
     assert md._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_work_folders_do_not_lie_on_disk_all_at_once(spark, tmp_path, monkeypatch):
+    import os
+
+    documents = [(n, f"{n} é" * (n % 5)) for n in range(120)] + [(4, None), (None, "no folder"), (8, "8 é" * 3)]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(stores, "SHARE_ROWS", 10, raising=False)
+    seen, operator = [], artifacts.work_images
+
+    def watched(session, root, work):
+        seen.append((sorted(os.listdir(root.removeprefix("file:"))), [r["folder"] for r in work.collect()]))
+        return operator(session, root, work)
+
+    monkeypatch.setattr(artifacts, "work_images", watched)
+    with run_folder(spark) as folder:
+        found = suite.QUERIES["s6_work_images"](spark, str(tmp_path)).collect()
+        left = [name for _, folders, names in os.walk(folder.removeprefix("file:")) for name in folders + names if name.endswith(".png") or name[:1] == "w" and name[1:].isdigit()]
+    wanted = []
+    for number, text in documents:
+        places = {0: ("w{0}/w{0}/images/b.png", "w{0}/w{0}/images/a.png"), 1: ("w{0}/a/images/c.png", "w{0}/a/images/d.png"), 3: ()}
+        places[2] = places[0]
+        for place in places[number % 4] if number is not None else ():
+            wanted.append((f"w{number}", place[-5:], place.format(number)))
+    assert sorted((r["folder"], r["name"], r["key"]) for r in found) == sorted(wanted)
+    assert {(r["key"], r["size"]) for r in found if r["folder"] not in ("w4", "w8")} == {
+        (key, len((documents[int(folder[1:])][1]).encode())) for folder, _, key in wanted if folder not in ("w4", "w8")
+    }
+    assert sorted(f for _, work in seen for f in work if f) == sorted(f"w{n}" for n, _ in documents if n is not None)
+    assert len(seen) > 4 and max(len(there) for there, _ in seen) < 60
+    assert not left
+
+
+def test_folders_are_removed_with_all_below_them(spark, tmp_path):
+    for name in ("root/a/b/c", "root/d", "root/e", "beside"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "1.png").write_bytes(b"x")
+    folders = spark.createDataFrame([("a",), ("a",), ("d",), ("none",), ("",), (None,)], "folder string")
+    for _ in range(2):
+        remove_folders(folders, f"file://{tmp_path}/root")
+        assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.png")) == ["beside/1.png", "root/e/1.png"]
